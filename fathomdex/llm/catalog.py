@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomdex.llm import exact_dedup, mixing
+from fathomdex.llm import bpe, exact_dedup, language, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix_sources": mixing.query,
+        "op3_language_id": language.query,
         "op5_exact_dedup": exact_dedup.query,
+        "op6_bpe_encoding": bpe.query,
     }
 
 
