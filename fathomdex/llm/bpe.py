@@ -148,7 +148,10 @@ class Bpe:
             keep[here + 1] = False
             here -= np.arange(len(here))  # one symbol goes behind each place before it
             sym, word, rank, product = sym[keep], word[keep], rank[keep], product[keep]
-            self._look_up(np.union1d(here, np.maximum(here - 1, 0)), sym, word, rank, product)
+            changed = np.zeros(len(sym), dtype=bool)
+            changed[here] = True
+            changed[np.maximum(here - 1, 0)] = True
+            self._look_up(np.flatnonzero(changed), sym, word, rank, product)
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
         return sym[order], np.cumsum(np.bincount(word, minlength=len(raw)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomdex.llm import bpe, exact_dedup, language, mixing
+from fathomdex.llm import bpe, exact_dedup, jaccard_join, language, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": language.query,
         "op5_exact_dedup": exact_dedup.query,
         "op6_bpe_encoding": bpe.query,
+        "op8_jaccard_join": jaccard_join.query,
     }
 
 
