@@ -57,12 +57,13 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int)
     key, and weight says how many of the rows have it.
 
     Keys with a ten-thousandth of all rows or more number ten thousand at most, so their
-    part of the table is broadcast; every other key is small enough for a shuffled join.
+    part of the table is broadcast; every other key is small enough for a shuffled join,
+    which is asked for so that the plan is the same at every size.
     """
     least = max(2, -(-total // MOST_HOT_KEYS))
     hot = rows.join(F.broadcast(table.filter(F.col(weight) >= least)), key)
     cold = rows.join(F.broadcast(table.filter(F.col(weight) >= least).select(key)), key, "left_anti")
-    return hot.unionByName(cold.join(table.filter(F.col(weight) < least), key))
+    return hot.unionByName(cold.join(table.filter(F.col(weight) < least).hint("merge"), key))
 
 
 def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
