@@ -2,22 +2,21 @@
 
 Jaccard distance is a metric, so pivots, Voronoi regions and triangle-inequality windows
 apply. Unrelated documents are all at distance one from each other, which no choice of
-document pivots can tell apart, so the first level takes single shingles as pivots: a
-document's cell is that of its first shingle in one global order, and the window around it
-follows from the same metric. A document whose k first shingles another one lacks is at a
-distance of at least k over its size, so documents are copied to the cells of their first
-`size - ceil(0.85 * size) + SHARED` shingles: two linked documents meet in SHARED cells. The
-order puts shingles of many documents last; this is for speed only, any order is exact.
-
-Small cells give pairs, counted over cells; cells of more than SMALL_CELL documents give a
-star for each run of sizes that could link. Pairs that met often enough, and stars, form
-candidate regions. Within a region the second level has document pivots: those within the
-radius of a pivot are linked with it; of the rest, those within twice the radius are also
-compared with them; those farther away can't link with them, and are joined recursively.
-Regions too large for one task are first cut into the Voronoi cells of several pivots, with
-windows of twice the radius, and cells too large are joined part by part, every pair of
-parts in a task of its own; documents inside a pivot's radius need not be compared with each
-other, so a large group of near copies is one star.
+document pivots can tell apart, so a first level narrows them down by the same metric seen
+in slices: the shingle universe is dealt by hash over more slices than two linked sets can
+have differing shingles, so in some slice they are at distance zero. Documents whose slices
+are equal, that is, whose nearest point in the slice is the same, share a cell; sets of
+sizes that lie across the bound of two size classes are copied to the cells of both. Each
+cell is linked as a star from its smallest id, and the components of the stars are the
+candidate regions, which hold every link inside.
+
+Within a region the second level has document pivots: those within the radius of a pivot are
+linked with it; of the rest, those within twice the radius are also compared with them;
+those farther away can't link with them, and are joined recursively. Regions too large for
+one task are first cut into the Voronoi cells of several pivots, with windows of twice the
+radius, and cells too large are joined part by part, every pair of parts in a task of its
+own; documents inside a pivot's radius need not be compared with each other, so a large
+group of near copies is one star.
 
 Documents of equal sets are joined as one. Links that connect the same components as all
 links are given; no link between different components is lost.
@@ -41,16 +40,12 @@ from fathomdex.llm.shingles import mix, shingle_sets
 
 WIDTH = 4
 NUM, DEN = 85, 100
-SHARED = 4
-SMALL_CELL = 16
-#: Shingles in more than this share of the documents come last in the order.
-OFTEN = 1 / 2000
-OFTEN_LEAST = 16
-CHUNK = 1_000_000
+#: Size classes: each begins at one and a half times the one before. Two different sets can
+#: be linked only if the smaller has LEAST shingles.
+LEAST = next(n for n in range(1, 10_000) if NUM * (n + 1) <= DEN * n)
 #: Shingles that a task holds at once, from each of two parts.
 PART = 2_000_000
-PIVOTS = 16
-HELD_ROWS = 200_000
+PIVOTS = 4
 
 
 def linked(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -63,115 +58,83 @@ def _digest(s: np.ndarray) -> bytes:
     return np.array([one, two, np.uint64(len(s))], dtype="<u8").tobytes()
 
 
-def _often(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a few of these documents share, and in how many they are."""
-    value, count = np.unique(np.concatenate(sets), return_counts=True)
-    least = max(3, int(len(sets) * OFTEN / 2))
-    return value[count >= least], count[count >= least]
-
-
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each document (size, digest of the set), and rows of shingles met repeatedly."""
-    held: list[np.ndarray] = []
-    size = 0
-
-    def frame(**columns) -> pd.DataFrame:
-        return pd.DataFrame({k: columns.get(k) for k in ("doc_id", "n", "digest", "shingle", "count")}, index=range(len(next(iter(columns.values())))))
-
-    def often() -> pd.DataFrame:
-        value, count = _often(held)
-        return frame(shingle=value.view(np.int64), count=count)
-
+    """Size and digest of each document's set."""
     for batch in batches:
-        n, digest = [], []
-        for s in shingle_sets(list(batch["text"]), WIDTH):
-            n.append(len(s))
-            digest.append(_digest(s))
-            held.append(s)
-            size += len(s)
-            if size >= CHUNK:
-                yield often()
-                held, size = [], 0
-        yield frame(doc_id=batch["doc_id"], n=n, digest=digest)
-    if held:
-        yield often()
-
-
-def prefix_length(n: int) -> int:
-    return min(n, n - -(-NUM * n // DEN) + SHARED)
+        sets = list(shingle_sets(list(batch["text"]), WIDTH))
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "digest": [_digest(s) for s in sets]})
 
 
-#: The least size of the larger of two different sets that can be linked: one shingle apart.
-LEAST = next(n for n in range(1, 10_000) if NUM * (n + 1) <= DEN * n)
-
-
-def _cells(often: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            digests, prefixes, sizes, ids = [], [], [], []
-            for i, s in zip(batch["doc_id"], shingle_sets(list(batch["text"]), WIDTH), strict=True):
-                if len(s) < LEAST:
-                    continue
-                last = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s if len(often) else np.zeros(len(s), dtype=bool)
-                ids.append(i)
-                digests.append(_digest(s))
-                prefixes.append(np.concatenate((s[~last], s[last]))[: prefix_length(len(s))].view(np.int64))
-                sizes.append(len(s))
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "digest": digests, "n": pd.Series(sizes, dtype="int32"), "prefix": prefixes})
-
-    return run
-
-
-def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidate links of cells; rows come sorted by cell and size, a cell never over two tasks."""
-    held: pd.DataFrame | None = None
+def _cell_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each cell that a document is in."""
     for batch in batches:
-        now = batch if held is None else pd.concat((held, batch), ignore_index=True)
-        cell = now["cell"].to_numpy()
+        cells = [cells_of(s) for s in shingle_sets(list(batch["text"]), WIDTH)]
+        if cells:
+            yield pd.DataFrame({"cell": np.concatenate(cells).view(np.int64), "doc_id": np.repeat(batch["doc_id"].to_numpy(), list(map(len, cells)))})
+
+
+
+def class_bounds(n: int) -> tuple[int, int]:
+    """The size class [low, high) of a set of n shingles, n from LEAST on."""
+    low = LEAST
+    while (high := low + low // 2) <= n:
+        low = high
+    return low, high
+
+
+def slices(high: int) -> tuple[int, int]:
+    """How many slices a size class is dealt over, and how many of them may be empty in both sets.
+
+    Linked sets below high differ in at most so many shingles; one slice more, besides the
+    empty ones, is equal in both.
+    """
+    differ = (DEN - NUM) * 2 * (high - 1) // (DEN + NUM)
+    spare = 3 + differ * 3 // 100
+    return differ + 1 + spare, spare
+
+
+def cells_of(s: np.ndarray) -> np.ndarray:
+    """The cells of a set: one number for each slice that isn't empty, in one or two classes.
+
+    A set with more empty slices than its class spares also goes to the cells of those.
+    """
+    n = len(s)
+    if n < LEAST:
+        return np.zeros(0, dtype=np.uint64)
+    low, high = class_bounds(n)
+    tops = [high]
+    if DEN * n >= NUM * high:  # a linked set can lie in the next class
+        tops.append(high + high // 2)
+    spread, value = mix(s ^ np.uint64(0x2545F4914F6CDD1D)), mix(s ^ np.uint64(0x9FB21C651E98DF25))
+    out = []
+    for top in tops:
+        count, spare = slices(top)
+        place = (spread % np.uint64(count)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        first = np.flatnonzero(np.diff(np.r_[-1, place[order]]))
+        used = place[order][first]
+        sums = np.add.reduceat(value[order], first)
+        if count - len(used) > spare:
+            empty = np.setdiff1d(np.arange(count), used)
+            used, sums = np.concatenate((used, empty)), np.concatenate((sums, np.zeros(len(empty), dtype=np.uint64)))
+        out.append(mix(sums + mix(used.astype(np.uint64) + (np.uint64(top) << np.uint64(32)))))
+    return np.concatenate(out)
+
+
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links from the first document of each cell; rows come sorted by cell and id, a cell in one task."""
+    last_cell, last_head = None, None
+    for batch in batches:
+        cell, doc = batch["cell"].to_numpy(), batch["doc_id"].to_numpy()
         if not len(cell):
             continue
-        cut = int(np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])[-1])
-        if len(cell) - cut > HELD_ROWS:  # a very large cell goes on from its last documents, still as a large one
-            yield from _links_of(now)
-            held = now.iloc[-SMALL_CELL - 1 :]
-            continue
-        if cut:
-            yield from _links_of(now.iloc[:cut])
-        held = now.iloc[cut:]
-    if held is not None and len(held):
-        yield from _links_of(held)
-
-
-def _links_of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    cell, doc, n = (rows[c].to_numpy() for c in ("cell", "doc_id", "n"))
-    n = n.astype(np.int64)
-    start = np.r_[True, cell[1:] != cell[:-1]]
-    first = np.flatnonzero(start)
-    count = np.diff(np.r_[first, len(cell)])
-    members = np.repeat(count, count)
-    a, b, weight = [], [], []
-    small = np.flatnonzero((members > 1) & (members <= SMALL_CELL))
-    for k in range(1, SMALL_CELL):
-        at = small[small + k < len(cell)]
-        at = at[(cell[at] == cell[np.minimum(at + k, len(cell) - 1)])]
-        if not len(at):
-            break
-        at = at[DEN * n[at] >= NUM * n[at + k]]
-        a.append(doc[at])
-        b.append(doc[at + k])
-        weight.append(np.ones(len(at), dtype=np.int64))
-    large = np.flatnonzero(members > SMALL_CELL)
-    if len(large):
-        gap = np.r_[True, DEN * n[:-1] < NUM * n[1:]] | start
-        head = np.maximum.accumulate(np.where(gap, np.arange(len(cell)), 0))
-        at = large[head[large] != large]
-        a.append(doc[head[at]])
-        b.append(doc[at])
-        weight.append(np.full(len(at), SHARED, dtype=np.int64))
-    if a and sum(map(len, a)):
-        x, y = np.concatenate(a), np.concatenate(b)
-        keep = x != y
-        yield pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep], "met": np.concatenate(weight)[keep]})
+        start = np.r_[last_head is None or cell[0] != last_cell, cell[1:] != cell[:-1]]
+        at = np.maximum.accumulate(np.where(start, np.arange(len(cell)), -1))
+        head = np.where(at >= 0, doc[np.maximum(at, 0)], 0 if last_head is None else last_head)
+        last_cell, last_head = cell[-1], head[-1]
+        link = head != doc
+        if link.any():
+            yield pd.DataFrame({"a": head[link], "b": doc[link]}).drop_duplicates()
 
 
 def shared_counts(flat: np.ndarray, starts: np.ndarray, pivot: np.ndarray) -> np.ndarray:
@@ -227,42 +190,32 @@ def _voronoi(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             far = 1.0 - both / (np.array([len(p) for p in ps]) + len(s) - both)
             for k in np.flatnonzero(far <= far.min() + 2.0 * (1.0 - NUM / DEN) + 1e-9):
                 inside = bool(linked(both[k], len(ps[k]), len(s)))
-                out.append((i, n, region, int(k), inside, int(pivot_ids[k]), text))
-        yield pd.DataFrame(out, columns=["doc_id", "n", "region", "cell", "inside", "pivot_id", "text"])
-
-
-def similar_links(docs: DataFrame, described: DataFrame, part: int = PART) -> DataFrame:
-    """Links (a, b) between documents (doc_id, text) of different sets."""
-    meta = described.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
-    total = meta.count()
-    often = described.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("count").alias("c"))
-    often = often.filter(F.col("c") >= max(OFTEN_LEAST, int(total * OFTEN))).select("shingle")
-    # Bounded by the mean size over OFTEN, whatever the number of documents.
-    last = np.sort(np.array([r[0] for r in often.toLocalIterator()], dtype=np.int64).view(np.uint64))
-    prefixes = docs.filter("doc_id IS NOT NULL").mapInPandas(_cells(last), "doc_id long, digest binary, n int, prefix array<long>")
-    one = prefixes.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    cells = one.select(F.explode("prefix").alias("cell"), "doc_id", "n")
-    met = cells.repartition("cell").sortWithinPartitions("cell", "n", "doc_id").mapInPandas(_meet, "a long, b long, met long")
-    sizes = meta.groupBy("doc_id").agg(F.max("n").alias("n"))
-    pairs = met.groupBy("a", "b").agg(F.sum("met").alias("met"))
-    # Two linked sets share at least SHARED first shingles; both have that many, as LEAST is larger.
-    regions = materialize(components(pairs.filter(F.col("met") >= min(SHARED, LEAST - 1)).select("a", "b"), "candidates"), "regions")
-    members = regions.withColumnsRenamed({"node": "doc_id", "root": "region"}).join(sizes, "doc_id")
-    members = materialize(members.join(docs.select("doc_id", "text"), "doc_id"), "members")
+                out.append((i, n, region, int(k), inside, int(pivot_ids[k])))
+        yield pd.DataFrame(out, columns=["doc_id", "n", "region", "cell", "inside", "pivot_id"])
+
+
+def similar_links(docs: DataFrame, sets: DataFrame, part: int = PART) -> DataFrame:
+    """Links (a, b) between documents (doc_id, text) of different sets; sets: one row
+    (node, n) for each distinct set, node its smallest id."""
+    cells = docs.filter("doc_id IS NOT NULL").mapInPandas(_cell_rows, "cell long, doc_id long")
+    stars = cells.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInPandas(_stars, "a long, b long")
+    regions = components(stars, "candidates").withColumnsRenamed({"node": "doc_id", "root": "region"})
+    members = regions.join(sets.select(F.col("node").alias("doc_id"), "n").hint("merge"), "doc_id")
+    members = materialize(docs.select("doc_id", "text").join(members.hint("merge"), "doc_id"), "members")
     weights = materialize(members.groupBy("region").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("docs")), "weights")
-    large = weights.filter(F.col("weight") > part).select("region")
-    small = members.join(large, "region", "left_anti").select(F.col("region").alias("key"), "doc_id", "text")
+    large = weights.filter(F.col("weight") > part)
+    small = members.join(large.select("region"), "region", "left_anti").select(F.col("region").alias("key"), "doc_id", "text")
     links = small.groupBy("key").applyInPandas(_join_part, "a long, b long")
     if not large.head(1):
         return links
-    whole = members.join(large, "region")
+    whole = members.join(large.select("region", "docs"), "region")
     order = F.xxhash64(F.lit("pivot"), "doc_id")
-    chosen = whole.join(weights, "region").filter(F.abs(order % 1_000_003).cast("double") * F.col("docs") < 1_000_003.0 * 4 * PIVOTS)
+    chosen = whole.filter(F.abs(order % 1_000_003).cast("double") * F.col("docs") < 1_000_003.0 * 4 * PIVOTS)
     few = F.slice(F.sort_array(F.collect_list(F.struct(order.alias("o"), "doc_id", "text"))), 1, PIVOTS)
     pivots = chosen.groupBy("region").agg(few.alias("p")).select("region", F.col("p.doc_id").alias("pivot_ids"), F.col("p.text").alias("pivots"))
-    placed = whole.join(pivots, "region").mapInPandas(_voronoi, "doc_id long, n long, region long, cell int, inside boolean, pivot_id long, text string")
+    placed = whole.join(pivots, "region").mapInPandas(_voronoi, "doc_id long, n long, region long, cell int, inside boolean, pivot_id long")
     placed = materialize(placed, "voronoi")
-    stars = placed.filter("inside AND doc_id != pivot_id").select(F.col("pivot_id").alias("a"), F.col("doc_id").alias("b"))
+    spokes = placed.filter("inside AND doc_id != pivot_id").select(F.col("pivot_id").alias("a"), F.col("doc_id").alias("b"))
     parts = placed.groupBy("region", "cell", "inside").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts"))
     outside = parts.filter("NOT inside").select("region", "cell", F.col("parts").alias("out_parts"))
     inside = parts.filter("inside").select("region", "cell", F.col("parts").alias("in_parts"))
@@ -272,19 +225,21 @@ def similar_links(docs: DataFrame, described: DataFrame, part: int = PART) -> Da
     # Every pair of parts of which one at least lies outside is a task.
     others = F.when(F.col("inside"), F.sequence(F.lit(0), F.col("out_parts") - 1)).otherwise(F.sequence(F.lit(0), F.col("out_parts") + F.col("in_parts") - 1))
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(others))
-    rows = rows.select(F.concat_ws("/", "region", "cell", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "doc_id", "text")
-    return links.unionByName(stars).unionByName(rows.groupBy("key").applyInPandas(_join_part, "a long, b long"))
+    rows = rows.select(F.concat_ws("/", "region", "cell", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "doc_id")
+    rows = members.select("doc_id", "text").join(rows, "doc_id")
+    return links.unionByName(spokes).unionByName(rows.groupBy("key").applyInPandas(_join_part, "a long, b long"))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = materialize(rows.mapInPandas(_describe, "doc_id long, n long, digest binary, shingle long, count long"), "described")
-    links = materialize(similar_links(rows, described, part), "links")
+    described = materialize(rows.mapInPandas(_describe, "doc_id long, n long, digest binary"), "described")
+    meta = described.select("doc_id", "n", "digest")
+    sets = meta.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.count(F.lit(1)).alias("weight"))
+    sets = materialize(sets, "sets")
+    links = materialize(similar_links(rows, sets.filter("node IS NOT NULL"), part), "links")
     root = components(links, "links")
-    meta = described.filter("digest IS NOT NULL").select("doc_id", "n", "digest")
-    sets = meta.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("weight"))
-    table = materialize(sets.join(root, "node", "left").select("digest", "weight", F.coalesce("root", "node").alias("root")), "sets")
+    table = materialize(sets.join(root.hint("merge"), "node", "left").select("digest", "weight", F.coalesce("root", "node").alias("root")), "roots")
     total = table.agg(F.sum("weight")).first()[0] or 0
     found = lookup(meta.filter("n > 0"), table, "digest", "weight", total)
     component = F.when(F.col("doc_id").isNotNull(), F.col("root"))
