@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -19,3 +21,20 @@ def local_session(cpus: int | str = 8, partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", os.environ.get("FATHOMDEX_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to Python workers, unless they find it by themselves: through
+    PYTHONPATH, or as the working folder. Once for each application."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or any(p and os.path.realpath(p) == os.path.realpath(root) for p in paths):
+        return
+    folder = tempfile.mkdtemp(prefix="fathomdex-package-")
+    archive = shutil.make_archive(os.path.join(folder, "fathomdex"), "zip", root, "fathomdex")
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
+_shipped: set[str] = set()
