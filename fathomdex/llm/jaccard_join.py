@@ -6,8 +6,14 @@ document pivots can tell apart, so a first level narrows them down by the same m
 in slices: the shingle universe is dealt by hash over more slices than two linked sets can
 have differing shingles, so in some slice they are at distance zero. Documents whose slices
 are equal, that is, whose nearest point in the slice is the same, share a cell; sets of
-sizes that lie across the bound of two size classes are copied to the cells of both. Each
-cell is linked as a star from its smallest id, and the components of the stars are the
+sizes that lie across the bound of two size classes are copied to the cells of both.
+
+Slices that hold little but a common passage bring unrelated documents together. A second
+metric tells those apart: counts of shingles by hash, one for each eight shingles, differ by
+no more than the sets do. Pairs of small cells stay if that bound lets them link; in a large
+cell every document is compared with leaders, is tied to each within one and a half times
+the bound, and becomes a leader itself unless it is within half the bound of one, which by
+the triangle inequality ties all that can link. The components of these ties are the
 candidate regions, which hold every link inside.
 
 Within a region the second level has document pivots: those within the radius of a pivot are
@@ -46,6 +52,10 @@ LEAST = next(n for n in range(1, 10_000) if NUM * (n + 1) <= DEN * n)
 #: Shingles that a task holds at once, from each of two parts.
 PART = 2_000_000
 PIVOTS = 4
+SMALL_CELL = 16
+HELD_ROWS = 100_000
+#: Shingles for each count of the second metric.
+PER_COUNT = 8
 
 
 def linked(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -59,19 +69,27 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Size and digest of each document's set."""
+    """Size, digest and counts of each document's set."""
     for batch in batches:
-        sets = list(shingle_sets(list(batch["text"]), WIDTH))
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "digest": [_digest(s) for s in sets]})
+        out = []
+        for i, s in zip(batch["doc_id"], shingle_sets(list(batch["text"]), WIDTH), strict=True):
+            tops = classes_of(len(s))
+            out.append((i, len(s), _digest(s), *(counts_of(s, tops[k]) if k < len(tops) else None for k in (0, 1))))
+        yield pd.DataFrame(out, columns=["doc_id", "n", "digest", "counts_own", "counts_next"])
 
 
 def _cell_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each cell that a document is in."""
+    """A row for each cell that a document is in; own is false in the cells of the next class."""
     for batch in batches:
-        cells = [cells_of(s) for s in shingle_sets(list(batch["text"]), WIDTH)]
+        ids, cells, own = [], [], []
+        for i, s in zip(batch["doc_id"], shingle_sets(list(batch["text"]), WIDTH), strict=True):
+            for k, top in enumerate(classes_of(len(s))):
+                c = cells_of(s, top)
+                ids.append(np.full(len(c), i, dtype=np.int64))
+                cells.append(c)
+                own.append(np.full(len(c), k == 0))
         if cells:
-            yield pd.DataFrame({"cell": np.concatenate(cells).view(np.int64), "doc_id": np.repeat(batch["doc_id"].to_numpy(), list(map(len, cells)))})
-
+            yield pd.DataFrame({"cell": np.concatenate(cells).view(np.int64), "doc_id": np.concatenate(ids), "own": np.concatenate(own)})
 
 
 def class_bounds(n: int) -> tuple[int, int]:
@@ -93,48 +111,140 @@ def slices(high: int) -> tuple[int, int]:
     return differ + 1 + spare, spare
 
 
-def cells_of(s: np.ndarray) -> np.ndarray:
-    """The cells of a set: one number for each slice that isn't empty, in one or two classes.
+def classes_of(n: int) -> list[int]:
+    """Upper bounds of the size classes that a set of n shingles goes to."""
+    if n < LEAST:
+        return []
+    _, high = class_bounds(n)
+    # A linked set can lie in the next class if this one is near its bound.
+    return [high, high + high // 2] if DEN * n >= NUM * high else [high]
+
+
+def cells_of(s: np.ndarray, top: int) -> np.ndarray:
+    """The cells of a set in a class: one number for each slice that isn't empty.
 
     A set with more empty slices than its class spares also goes to the cells of those.
     """
-    n = len(s)
-    if n < LEAST:
-        return np.zeros(0, dtype=np.uint64)
-    low, high = class_bounds(n)
-    tops = [high]
-    if DEN * n >= NUM * high:  # a linked set can lie in the next class
-        tops.append(high + high // 2)
     spread, value = mix(s ^ np.uint64(0x2545F4914F6CDD1D)), mix(s ^ np.uint64(0x9FB21C651E98DF25))
-    out = []
-    for top in tops:
-        count, spare = slices(top)
-        place = (spread % np.uint64(count)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        first = np.flatnonzero(np.diff(np.r_[-1, place[order]]))
-        used = place[order][first]
-        sums = np.add.reduceat(value[order], first)
-        if count - len(used) > spare:
-            empty = np.setdiff1d(np.arange(count), used)
-            used, sums = np.concatenate((used, empty)), np.concatenate((sums, np.zeros(len(empty), dtype=np.uint64)))
-        out.append(mix(sums + mix(used.astype(np.uint64) + (np.uint64(top) << np.uint64(32)))))
-    return np.concatenate(out)
-
-
-def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links from the first document of each cell; rows come sorted by cell and id, a cell in one task."""
-    last_cell, last_head = None, None
+    count, spare = slices(top)
+    place = (spread % np.uint64(count)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    first = np.flatnonzero(np.diff(np.r_[-1, place[order]]))
+    used = place[order][first]
+    sums = np.add.reduceat(value[order], first)
+    if count - len(used) > spare:
+        empty = np.setdiff1d(np.arange(count), used)
+        used, sums = np.concatenate((used, empty)), np.concatenate((sums, np.zeros(len(empty), dtype=np.uint64)))
+    return mix(sums + mix(used.astype(np.uint64) + (np.uint64(top) << np.uint64(32))))
+
+
+def counts_of(s: np.ndarray, top: int) -> bytes:
+    """How many shingles fall in each of the class's counts, as bytes (255 stands for more)."""
+    many = top // PER_COUNT + 1
+    at = (mix(s ^ np.uint64(0x6A09E667F3BCC909)) % np.uint64(many)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=many), 255).astype(np.uint8).tobytes()
+
+
+def most_apart(a, b):
+    """Most differing shingles of linked sets of these sizes."""
+    return (DEN - NUM) * (a + b) // (DEN + NUM)
+
+
+def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of small cells, and the rows (cell in a, document in b) of large ones.
+
+    Rows come sorted by cell and id, a cell in one task; cells of one document give nothing.
+    """
+    held: pd.DataFrame | None = None
     for batch in batches:
-        cell, doc = batch["cell"].to_numpy(), batch["doc_id"].to_numpy()
+        now = batch if held is None else pd.concat((held, batch), ignore_index=True)
+        cell = now["cell"].to_numpy()
         if not len(cell):
             continue
-        start = np.r_[last_head is None or cell[0] != last_cell, cell[1:] != cell[:-1]]
-        at = np.maximum.accumulate(np.where(start, np.arange(len(cell)), -1))
-        head = np.where(at >= 0, doc[np.maximum(at, 0)], 0 if last_head is None else last_head)
-        last_cell, last_head = cell[-1], head[-1]
-        link = head != doc
-        if link.any():
-            yield pd.DataFrame({"a": head[link], "b": doc[link]}).drop_duplicates()
+        cut = int(np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])[-1])
+        if cut:
+            yield from _met(now.iloc[:cut])
+        held = now.iloc[cut:]
+        if len(held) > HELD_ROWS:  # of a large cell only enough is kept to know it as one
+            yield from _met(held)
+            held = held.iloc[-SMALL_CELL - 1 :]
+    if held is not None and len(held):
+        yield from _met(held)
+
+
+def _met(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    cell, doc, own = (rows[c].to_numpy() for c in ("cell", "doc_id", "own"))
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    count = np.diff(np.r_[first, len(cell)])
+    members = np.repeat(count, count)
+    large = members > SMALL_CELL
+    if large.any():
+        yield pd.DataFrame({"a": cell[large], "b": doc[large], "own_a": own[large], "own_b": own[large], "large": True})
+    small = np.flatnonzero((members > 1) & ~large)
+    ends = np.repeat(np.r_[first[1:], len(cell)], count)
+    out = []
+    for k in range(1, SMALL_CELL):
+        at = small[small + k < ends[small]]
+        if not len(at):
+            break
+        out.append(pd.DataFrame({"a": doc[at], "b": doc[at + k], "own_a": own[at], "own_b": own[at + k], "large": False}))
+    if out:
+        found = pd.concat(out)
+        yield found[found["a"] != found["b"]].drop_duplicates()
+
+
+def _close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs that the counts let link."""
+    for batch in batches:
+        keep = []
+        for m, n, x, y in zip(batch["n_a"], batch["n_b"], batch["counts_a"], batch["counts_b"], strict=True):
+            apart = np.abs(np.frombuffer(x, dtype=np.uint8).astype(np.int16) - np.frombuffer(y, dtype=np.uint8)).sum()
+            keep.append(DEN * min(m, n) >= NUM * max(m, n) and apart <= most_apart(m, n))
+        yield batch.loc[keep, ["a", "b"]]
+
+
+def _leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ties of the documents of large cells; rows come sorted by cell, a cell in one task."""
+    now, ids, counts = None, [], np.zeros((0, 0), dtype=np.int16)
+    used = bound = 0
+    for batch in batches:
+        ties = []
+        for cell, doc, n, x in zip(batch["cell"], batch["doc_id"], batch["n"], batch["counts"], strict=True):
+            x = np.frombuffer(x, dtype=np.uint8).astype(np.int16)
+            if cell != now:
+                now, ids, used = cell, [], 0
+                counts = np.zeros((16, len(x)), dtype=np.int16)
+                # every size of the class lies below its upper bound
+                bound = most_apart(len(x) * PER_COUNT, len(x) * PER_COUNT)
+            apart = np.abs(counts[:used] - x).sum(axis=1)
+            near = np.flatnonzero(2 * apart <= 3 * bound)
+            ties += [(ids[k], doc) for k in near.tolist() if ids[k] != doc]
+            if not (2 * apart <= bound).any():
+                if used == len(counts):
+                    counts = np.concatenate((counts, np.zeros_like(counts)))
+                counts[used] = x
+                used += 1
+                ids.append(doc)
+        if ties:
+            yield pd.DataFrame(ties, columns=["a", "b"]).drop_duplicates()
+
+
+def candidate_ties(docs: DataFrame, described: DataFrame) -> DataFrame:
+    """Ties (a, b) whose components hold all linked documents together."""
+    cells = docs.filter("doc_id IS NOT NULL").mapInPandas(_cell_rows, "cell long, doc_id long, own boolean")
+    met = cells.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInPandas(_meet, "a long, b long, own_a boolean, own_b boolean, large boolean")
+    met = materialize(met.distinct(), "met")
+    both = F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("counts_own").alias("counts")), F.struct(F.lit(False).alias("own"), F.col("counts_next").alias("counts"))))
+    known = described.filter("doc_id IS NOT NULL").select("doc_id", "n", both.alias("x")).select("doc_id", "n", "x.own", "x.counts").filter("counts IS NOT NULL")
+    known = known.dropDuplicates(["doc_id", "own"])
+
+    def side(s: str) -> DataFrame:
+        return known.select(F.col("doc_id").alias(s), F.col("own").alias(f"own_{s}"), F.col("n").alias(f"n_{s}"), F.col("counts").alias(f"counts_{s}")).hint("merge")
+
+    pairs = met.filter("NOT large").join(side("a"), ["a", "own_a"]).join(side("b"), ["b", "own_b"]).mapInPandas(_close, "a long, b long")
+    large = met.filter("large").select(F.col("a").alias("cell"), F.col("b").alias("doc_id"), F.col("own_b").alias("own")).join(known.hint("merge"), ["doc_id", "own"])
+    tied = large.select("cell", "doc_id", "n", "counts").repartition("cell").sortWithinPartitions("cell", "doc_id").mapInPandas(_leaders, "a long, b long")
+    return pairs.unionByName(tied)
 
 
 def shared_counts(flat: np.ndarray, starts: np.ndarray, pivot: np.ndarray) -> np.ndarray:
@@ -194,12 +304,10 @@ def _voronoi(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "n", "region", "cell", "inside", "pivot_id"])
 
 
-def similar_links(docs: DataFrame, sets: DataFrame, part: int = PART) -> DataFrame:
+def similar_links(docs: DataFrame, described: DataFrame, sets: DataFrame, part: int = PART) -> DataFrame:
     """Links (a, b) between documents (doc_id, text) of different sets; sets: one row
     (node, n) for each distinct set, node its smallest id."""
-    cells = docs.filter("doc_id IS NOT NULL").mapInPandas(_cell_rows, "cell long, doc_id long")
-    stars = cells.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInPandas(_stars, "a long, b long")
-    regions = components(stars, "candidates").withColumnsRenamed({"node": "doc_id", "root": "region"})
+    regions = components(candidate_ties(docs, described), "candidates").withColumnsRenamed({"node": "doc_id", "root": "region"})
     members = regions.join(sets.select(F.col("node").alias("doc_id"), "n").hint("merge"), "doc_id")
     members = materialize(docs.select("doc_id", "text").join(members.hint("merge"), "doc_id"), "members")
     weights = materialize(members.groupBy("region").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("docs")), "weights")
@@ -233,11 +341,11 @@ def similar_links(docs: DataFrame, sets: DataFrame, part: int = PART) -> DataFra
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = materialize(rows.mapInPandas(_describe, "doc_id long, n long, digest binary"), "described")
+    described = materialize(rows.mapInPandas(_describe, "doc_id long, n long, digest binary, counts_own binary, counts_next binary"), "described")
     meta = described.select("doc_id", "n", "digest")
     sets = meta.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.count(F.lit(1)).alias("weight"))
     sets = materialize(sets, "sets")
-    links = materialize(similar_links(rows, sets.filter("node IS NOT NULL"), part), "links")
+    links = materialize(similar_links(rows, described, sets.filter("node IS NOT NULL"), part), "links")
     root = components(links, "links")
     table = materialize(sets.join(root.hint("merge"), "node", "left").select("digest", "weight", F.coalesce("root", "node").alias("root")), "roots")
     total = table.agg(F.sum("weight")).first()[0] or 0
