@@ -203,28 +203,53 @@ def _close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[keep, ["a", "b"]]
 
 
+class _Joined:
+    """Which of some numbered things are tied already."""
+
+    def __init__(self) -> None:
+        self.up: list[int] = []
+
+    def add(self) -> None:
+        self.up.append(len(self.up))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def tie(self, x: int, y: int) -> bool:
+        """Ties two; false if they were."""
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
 def _leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ties of the documents of large cells; rows come sorted by cell, a cell in one task."""
-    now, ids, counts = None, [], np.zeros((0, 0), dtype=np.int16)
+    """Ties of the documents of large cells, one for each document and one for each two groups
+    of leaders that it brings together; rows come sorted by cell, a cell in one task."""
+    now, ids, counts, joined = None, [], np.zeros((0, 0), dtype=np.int16), _Joined()
     used = bound = 0
     for batch in batches:
         ties = []
         for cell, doc, n, x in zip(batch["cell"], batch["doc_id"], batch["n"], batch["counts"], strict=True):
             x = np.frombuffer(x, dtype=np.uint8).astype(np.int16)
             if cell != now:
-                now, ids, used = cell, [], 0
+                now, ids, used, joined = cell, [], 0, _Joined()
                 counts = np.zeros((16, len(x)), dtype=np.int16)
                 # every size of the class lies below its upper bound
                 bound = most_apart(len(x) * PER_COUNT, len(x) * PER_COUNT)
             apart = np.abs(counts[:used] - x).sum(axis=1)
-            near = np.flatnonzero(2 * apart <= 3 * bound)
-            ties += [(ids[k], doc) for k in near.tolist() if ids[k] != doc]
+            near = np.flatnonzero(2 * apart <= 3 * bound).tolist()
+            ties += [(ids[k], doc) for k in near if (k == near[0] or joined.tie(near[0], k)) and ids[k] != doc]
             if not (2 * apart <= bound).any():
                 if used == len(counts):
                     counts = np.concatenate((counts, np.zeros_like(counts)))
                 counts[used] = x
                 used += 1
                 ids.append(doc)
+                joined.add()
+                if near:
+                    joined.tie(near[0], used - 1)
         if ties:
             yield pd.DataFrame(ties, columns=["a", "b"]).drop_duplicates()
 
@@ -259,22 +284,28 @@ def star_links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]
     ids, sets = ids[order], [sets[i] for i in order]
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     out: list[tuple[int, int]] = []
+    joined = _Joined()
+    for _ in sets:
+        joined.add()
     left = np.arange(len(sets))
     flat, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
     while len(left) > 1:
-        p = left[0]
+        p = int(left[0])
         both = shared_counts(flat, starts, sets[p])
         near = linked(both, sizes[left], sizes[p])
         union = sizes[left] + sizes[p] - both
         ring = ~near & (DEN * both >= (2 * NUM - DEN) * union)  # within twice the radius
         core = left[near & (left != p)]
-        out += [(int(ids[p]), int(ids[x])) for x in core]
+        out += [(int(ids[p]), int(ids[x])) for x in core.tolist() if joined.tie(p, x)]
         if len(core) and ring.any():
             core_flat = np.concatenate([sets[x] for x in core])
             core_starts = np.cumsum(sizes[core]) - sizes[core]
-            for y in left[ring]:
+            for y in left[ring].tolist():
+                if joined.find(y) == joined.find(p):
+                    continue
                 hit = linked(shared_counts(core_flat, core_starts, sets[y]), sizes[core], sizes[y])
                 if hit.any():
+                    joined.tie(p, y)
                     out.append((int(ids[y]), int(ids[core[np.argmax(hit)]])))
         rest = ~near
         rest[0] = False
