@@ -147,8 +147,21 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before = rows.iloc[[head[-1], len(cell) - 1]] if head[-1] != len(cell) - 1 else rows.iloc[[-1]]
 
 
+#: A passage as one number: id, first word and number of words, in this order.
+_WORDS = "CAST(1000000000 AS DECIMAL(10, 0))"
+_DOC = "CAST(1000000000000000000 AS DECIMAL(19, 0))"
+
+
 def _key(side: str):
-    return F.concat_ws(":", *(F.lpad(F.col(f"{x}_{side}").cast("string"), n, "0") for x, n in (("doc_id", 20), ("first", 10), ("last", 10))))
+    doc, first, last = (f"{x}_{side}" for x in ("doc_id", "first", "last"))
+    return F.expr(f"CAST(CAST({doc} AS DECIMAL(19, 0)) * {_DOC} + CAST({first} AS DECIMAL(10, 0)) * {_WORDS} + CAST({last} - {first} AS DECIMAL(10, 0)) AS DECIMAL(38, 0))")
+
+
+def _passage(c: str) -> dict:
+    """doc_id, first and last of such a number."""
+    rest = f"pmod({c}, {_DOC})"
+    first = f"CAST({rest} div {_WORDS} AS BIGINT)"
+    return {"doc_id": F.expr(f"CAST(({c} - {rest}) div {_DOC} AS BIGINT)"), "first": F.expr(first), "last": F.expr(f"{first} + CAST(pmod({rest}, {_WORDS}) AS BIGINT)")}
 
 
 def _shingles_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,16 +201,13 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = texts.dropDuplicates(["doc_id", "first", "last"]).select(F.struct("doc_id", "first", "last").alias("u"), "shingles")
     texts = materialize(texts, "passages")
     both = unsure.join(texts.select(F.col("u").alias("ua"), F.col("shingles").alias("sa")), "ua").join(texts.select(F.col("u").alias("ub"), F.col("shingles").alias("sb")), "ub")
-    sure = both.select("a", "b", "sa", "sb").mapInPandas(_similar, "a string, b string")
+    sure = both.select("a", "b", "sa", "sb").mapInPandas(_similar, "a decimal(38,0), b decimal(38,0)")
     links = pairs.filter("same").select("a", "b").unionByName(sure)
     groups = components(links, "repeats")
 
-    def part(c: str, k: int):
-        return F.split(F.col(c), ":")[k].cast("long")
-
+    node, root = _passage("node"), _passage("root")
     return groups.select(
-        part("node", 0).alias("doc_id"), part("node", 1).alias("first"), part("node", 2).alias("last"),
-        part("root", 0).alias("keeper_doc_id"), part("root", 1).alias("keeper_first"), (F.col("node") != F.col("root")).alias("removed"),
+        *(x.alias(n) for n, x in node.items()), root["doc_id"].alias("keeper_doc_id"), root["first"].alias("keeper_first"), (F.col("node") != F.col("root")).alias("removed"),
     )
 
 
@@ -207,13 +217,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list(F.struct("first", "last")).alias("gone_spans"))
     kept = docs.join(spans.hint("merge"), F.col(id_col) == F.col("gone_id"), "left")
     at = {c: kept.columns.index(c) for c in (text_col, "gone_spans")}
+    columns = docs.columns
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [without(t, s) if s is not None else t for t, s in zip(batch.iloc[:, at[text_col]], batch.iloc[:, at["gone_spans"]], strict=True)]
             batch = batch.copy()
             batch[text_col] = texts
-            yield batch[docs.columns]
+            yield batch[columns]
 
     return kept.mapInPandas(cut, docs.schema)
 
