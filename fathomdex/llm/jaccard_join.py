@@ -81,15 +81,23 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _cell_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row for each cell that a document is in; own is false in the cells of the next class."""
     for batch in batches:
-        ids, cells, own = [], [], []
+        ids, cells, own, held = [], [], [], 0
         for i, s in zip(batch["doc_id"], shingle_sets(list(batch["text"]), WIDTH), strict=True):
             for k, top in enumerate(classes_of(len(s))):
                 c = cells_of(s, top)
                 ids.append(np.full(len(c), i, dtype=np.int64))
                 cells.append(c)
                 own.append(np.full(len(c), k == 0))
+                held += len(c)
+            if held > HELD_ROWS:
+                yield _cell_frame(cells, ids, own)
+                ids, cells, own, held = [], [], [], 0
         if cells:
-            yield pd.DataFrame({"cell": np.concatenate(cells).view(np.int64), "doc_id": np.concatenate(ids), "own": np.concatenate(own)})
+            yield _cell_frame(cells, ids, own)
+
+
+def _cell_frame(cells: list[np.ndarray], ids: list[np.ndarray], own: list[np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame({"cell": np.concatenate(cells).view(np.int64), "doc_id": np.concatenate(ids), "own": np.concatenate(own)})
 
 
 def class_bounds(n: int) -> tuple[int, int]:

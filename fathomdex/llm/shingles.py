@@ -9,7 +9,8 @@ import numpy as np
 #: The white space of the contracts.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-BATCH_BYTES = 4_000_000
+#: Text hashed at once; hashing takes about fifty times as much memory.
+BATCH_BYTES = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _JOIN = np.uint64(0xD6E8FEB86659FD93)
 
@@ -55,20 +56,29 @@ def _rolled(h: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def _chunks(texts: list[str | None]) -> Iterator[list[bytes]]:
+    """The texts as bytes, BATCH_BYTES at a time, encoded when they are needed."""
+    chunk: list[bytes] = []
+    size = 0
+    for t in texts:
+        raw = (t or "").encode()
+        if chunk and size + len(raw) > BATCH_BYTES:
+            yield chunk
+            chunk, size = [], 0
+        chunk.append(raw)
+        size += len(raw)
+    if chunk:
+        yield chunk
+
+
 def shingle_runs(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
     """Shingle numbers of each text in the order of the text, repeats included.
 
     A text of fewer words than width has its whole sequence as its one shingle; a text
     without words has none.
     """
-    raw = [(t or "").encode() for t in texts]
-    at = 0
-    while at < len(raw):
-        end, size = at, 0
-        while end < len(raw) and (end == at or size + len(raw[end]) <= BATCH_BYTES):
-            size += len(raw[end])
-            end += 1
-        h, counts = word_hashes(raw[at:end])
+    for raw in _chunks(texts):
+        h, counts = word_hashes(raw)
         rolled = _rolled(h, width) if len(h) >= width else h[:0]
         k = 0
         for n in counts.tolist():
@@ -79,7 +89,6 @@ def shingle_runs(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
             else:
                 yield h[:0]
             k += n
-        at = end
 
 
 def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
