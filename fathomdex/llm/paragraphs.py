@@ -6,8 +6,10 @@ pair meets in some band with a probability above 0.999. So that a passage inside
 line is found as well, a run of whole sentences of LEAST_WORDS words begins at every sentence
 chosen by its first two words, whatever stands before it; runs meet by their whole content.
 
-What meets is joined as a star: with the first of its cell, and, unless equal, with its
-neighbour too. Equal content (two independent 64-bit numbers) is verified as it stands; the
+Copies of one content are combined in each task first, so that a very common line has a row
+for each task in its cells, not one for each copy. In a cell every content has a head, the
+smallest by id and place: copies are linked with it, and it is linked with the head of the
+cell's first content and of the contents before. Equal content (two independent 64-bit numbers) is verified as it stands; the
 rest is verified by exact Jaccard similarity of the shingle sets. Components of the verified
 links are the repeats: the first member, by id and place, stays, and the others are removed.
 
@@ -32,6 +34,10 @@ WIDTH = 5
 NUM, DEN = 8, 10
 LEAST_WORDS = 25
 BANDS, ROWS = 14, 4
+#: A content is compared with the first of its cell and so many before it.
+NEIGHBOURS = 3
+#: Contents that a task remembers, to combine their copies; others are combined in their cell.
+MOST_KNOWN = 20_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
@@ -116,35 +122,72 @@ def _batched(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of cells (of_last is 0), and links of copies to the one of their content that this
+    task has given to the cells. Which copies a task combines doesn't change the groups."""
+    names = ["doc_id", "first", "last"]
+    known: dict[int, tuple] = {}  # contents that repeat within a batch: what very common lines do
     for batch in batches:
         ids = batch["doc_id"].to_numpy()
         for at, part in _batched([t.encode() for t in batch["text"]]):
             text, start, end, cell, check = units(part)
-            yield pd.DataFrame({"cell": cell.view(np.int64), "doc_id": ids[at + text], "first": start.astype(np.int32), "last": end.astype(np.int32), "check": check.view(np.int64)})
+            if not len(cell):
+                continue
+            rows = pd.DataFrame({"cell": cell.view(np.int64), "doc_id": ids[at + text], "first": start.astype(np.int32), "last": end.astype(np.int32), "check": check.view(np.int64)})
+            key, head, of = np.unique(mix(cell * _P + check), return_index=True, return_inverse=True)
+            heads = rows.iloc[head].reset_index(drop=True)
+            before = np.flatnonzero(np.isin(key, np.fromiter(known, dtype=np.uint64, count=len(known))))
+            if len(before):
+                told = pd.DataFrame([known[int(key[k])] for k in before], columns=rows.columns, index=before).astype(rows.dtypes)
+                heads = pd.concat((heads.drop(index=before), told)).sort_index()
+            old = np.zeros(len(key), dtype=bool)
+            old[before] = True
+            for k in np.flatnonzero((np.bincount(of) > 1) & ~old)[: MOST_KNOWN - len(known)].tolist():
+                known[int(key[k])] = tuple(heads.iloc[k])
+            to = heads.iloc[of].reset_index(drop=True)
+            same = ((rows["cell"] == to["cell"]) & (rows["check"] == to["check"])).to_numpy()
+            copy = same & (old[of] | (head[of] != np.arange(len(of))))
+            yield rows[~copy].assign(of_doc_id=0, of_first=0, of_last=0)
+            links = pd.concat((rows.loc[copy, names], to.loc[copy, names].add_prefix("of_")), axis=1).drop_duplicates()
+            spread = mix(links["doc_id"].to_numpy().view(np.uint64) + links["first"].to_numpy().astype(np.uint64) * _P)
+            yield links.assign(cell=spread.view(np.int64), check=0)[[*rows.columns, *(f"of_{x}" for x in names)]]
+
+
+def _links(rows: pd.DataFrame, a, b, same: bool) -> pd.DataFrame:
+    names = ["doc_id", "first", "last"]
+    found = pd.DataFrame({f"{x}_{s}": rows[x].to_numpy()[i] for s, i in (("a", a), ("b", b)) for x in names} | {"same": same})
+    return _apart(found)
+
+
+def _apart(found: pd.DataFrame) -> pd.DataFrame:
+    return found[(found["doc_id_a"] != found["doc_id_b"]) | (found["first_a"] != found["first_b"]) | (found["last_a"] != found["last_b"])].drop_duplicates()
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links of cells; rows come sorted by cell, id and place, a cell in one task."""
+    """Links of cells; rows come sorted by cell, content, id and place, a cell in one task."""
     names = ["doc_id", "first", "last"]
-    before: pd.DataFrame | None = None  # the head of the last cell, and its last row
+    before: pd.DataFrame | None = None  # the heads of the last cell and of its last content
     for batch in batches:
+        linked = batch[batch["of_last"] > 0]
+        if len(linked):
+            yield _apart(linked[[f"of_{x}" for x in names] + names].set_axis([f"{x}_a" for x in names] + [f"{x}_b" for x in names], axis=1).assign(same=True))
+        batch = batch[batch["of_last"] == 0]
         if not len(batch):
             continue
         rows = batch if before is None else pd.concat((before, batch), ignore_index=True)
-        cell, check = rows["cell"].to_numpy(), rows["check"].to_numpy()
-        new = np.r_[True, cell[1:] != cell[:-1]]
-        head = np.maximum.accumulate(np.where(new, np.arange(len(cell)), 0))
-        at = np.flatnonzero(head != np.arange(len(cell)))
-        same = check[at] == check[head[at]]
-        side = at[~same]
-        side = side[head[side] != side - 1]
-        a, b = np.r_[head[at], side - 1], np.r_[at, side]
-        if len(a):
-            out = {f"{x}_{s}": rows[x].to_numpy()[i] for s, i in (("a", a), ("b", b)) for x in names}
-            found = pd.DataFrame(out | {"same": check[a] == check[b]}).drop_duplicates()
-            apart = (found["doc_id_a"] != found["doc_id_b"]) | (found["first_a"] != found["first_b"]) | (found["last_a"] != found["last_b"])
-            yield found[apart]
-        before = rows.iloc[[head[-1], len(cell) - 1]] if head[-1] != len(cell) - 1 else rows.iloc[[-1]]
+        cell, check, place = rows["cell"].to_numpy(), rows["check"].to_numpy(), np.arange(len(rows))
+        new_cell = np.r_[True, cell[1:] != cell[:-1]]
+        new = new_cell | np.r_[True, check[1:] != check[:-1]]
+        top = np.maximum.accumulate(np.where(new_cell, place, 0))
+        head = np.maximum.accumulate(np.where(new, place, 0))
+        yield _links(rows, head[~new], place[~new], True)
+        # Another content: with the cell's first and with those before it.
+        start = np.flatnonzero(new)
+        pairs = [(top[start], start), *((start[:-k], start[k:]) for k in range(1, NEIGHBOURS + 1))]
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        met = (a != b) & (cell[a] == cell[b])
+        yield _links(rows, a[met], b[met], False)
+        last = start[-NEIGHBOURS:]
+        before = rows.iloc[np.unique([top[-1], *last[last >= top[-1]]])]
 
 
 #: A passage as one number: id, first word and number of words, in this order.
@@ -190,8 +233,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row for each member of a group of repeats: doc_id, first and last (words, end
     exclusive), keeper_doc_id, keeper_first, and removed (false for the keeper)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = rows.mapInPandas(_unit_rows, "cell long, doc_id long, first int, last int, check long")
-    met = found.repartition("cell").sortWithinPartitions("cell", "doc_id", "first").mapInPandas(_meet, "doc_id_a long, first_a int, last_a int, doc_id_b long, first_b int, last_b int, same boolean")
+    found = rows.mapInPandas(_unit_rows, "cell long, doc_id long, first int, last int, check long, of_doc_id long, of_first int, of_last int")
+    met = found.repartition("cell").sortWithinPartitions("cell", "check", "doc_id", "first", "last").mapInPandas(_meet, "doc_id_a long, first_a int, last_a int, doc_id_b long, first_b int, last_b int, same boolean")
     met = materialize(met.distinct(), "met")
     pairs = met.select("same", *(F.struct(*(F.col(f"{x}_{s}").alias(x) for x in ("doc_id", "first", "last"))).alias(f"u{s}") for s in "ab"), _key("a").alias("a"), _key("b").alias("b"))
     unsure = pairs.filter("NOT same")
