@@ -2,9 +2,15 @@
 
 A paragraph is a line of LEAST_WORDS words or more. Its MinHash signature over five-word
 shingles is cut in BANDS bands of ROWS rows, tuned for recall: at the threshold of 0.8 a
-pair meets in some band with a probability above 0.999. So that a passage inside a longer
-line is found as well, a run of whole sentences of LEAST_WORDS words begins at every sentence
-chosen by its first two words, whatever stands before it; runs meet by their whole content.
+pair meets in some band with a probability above 0.999.
+
+Equal passages of LEAST_WORDS words or more are found exactly, wherever they begin and end,
+lines and sentences aside. Winnowing ties each window of LEAST_WORDS words to the least of
+its GRAM-word grams, which its own words decide, so equal windows have equal grams. A run is
+the windows in a row that have one gram. Runs whose gram stands nowhere else are dropped;
+equal runs have the first of them as their keeper, and where different runs share a gram,
+their windows are compared by content, each with the first equal one as its keeper. Windows
+in a row with keepers in a row are one passage. A copy that overlaps its keeper is none.
 
 Copies of one content are combined in each task first, so that a very common line has a row
 for each task in its cells, not one for each copy. In a cell every content has a head, the
@@ -12,6 +18,7 @@ smallest by id and place: copies are linked with it, and it is linked with the h
 cell's first content and of the contents before. Equal content (two independent 64-bit numbers) is verified as it stands; the
 rest is verified by exact Jaccard similarity of the shingle sets. Components of the verified
 links are the repeats: the first member, by id and place, stays, and the others are removed.
+A word that goes has an equal one before it by id and place, so none goes everywhere.
 
 Defined results: null and short texts have no paragraphs. Words are what white space
 separates, A-Z as a-z. A passage repeated within one document counts. Rows without an id
@@ -27,12 +34,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomdex.llm.common import components, materialize
+from fathomdex.llm.common import components, lookup, materialize
 from fathomdex.llm.shingles import BATCH_BYTES, SPACE, _rolled, mix, word_hashes
 
 WIDTH = 5
 NUM, DEN = 8, 10
 LEAST_WORDS = 25
+#: Words of a gram; LEAST_WORDS - GRAM + 1 grams begin in a window.
+GRAM = 13
 BANDS, ROWS = 14, 4
 #: A content is compared with the first of its cell and so many before it.
 NEIGHBOURS = 3
@@ -57,10 +66,7 @@ def _spans(h: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64) -
 
 
 def units(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of these texts' lines and sentence runs: text number, first word and end in it, cell, check.
-
-    A line has a row for each band.
-    """
+    """Of these texts' lines, a row for each band: text number, first word and end in it, cell, check."""
     data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
     h, counts = word_hashes(texts)
     none = np.zeros(0, dtype=np.int64)
@@ -68,8 +74,7 @@ def units(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
     letter = ~SPACE[data]
     edge = np.flatnonzero(np.diff(np.r_[False, letter, False].view(np.int8)))
-    first, last = edge[::2], data[edge[1::2] - 1]
-    line = np.cumsum(data == 10)[first]
+    line = np.cumsum(data == 10)[edge[::2]]
     text = np.repeat(np.arange(len(texts)), counts)
     offset = np.repeat(np.cumsum(counts) - counts, counts)
     new = np.r_[True, line[1:] != line[:-1]]
@@ -94,22 +99,28 @@ def units(texts: list[bytes]) -> tuple[np.ndarray, ...]:
                 x = (shingles ^ _SEEDS[k]) * (_SEEDS[k] | np.uint64(1))
                 cell = mix(cell * _P + np.minimum.reduceat(x ^ (x >> np.uint64(29)), at))
             out.append((text[start], start - offset[start], end - offset[start], cell, check))
-        # Runs of sentences inside these lines.
-        ends = np.flatnonzero(np.isin(last, (33, 46, 63)) | np.r_[new[1:], True])
-        begin = np.r_[0, ends[:-1] + 1]
-        in_line = np.searchsorted(start, begin, side="right") - 1
-        ok = (in_line >= 0) & (begin < end[np.maximum(in_line, 0)])
-        begin, in_line = begin[ok], in_line[ok]
-        chosen = mix(h[begin] * _P + h[np.minimum(begin + 1, len(h) - 1)]) % np.uint64(2) == 0
-        begin, in_line = begin[chosen], in_line[chosen]
-        stop = np.searchsorted(ends, begin + LEAST_WORDS - 1)
-        stop = ends[np.minimum(stop, len(ends) - 1)] + 1
-        ok = (stop - begin >= LEAST_WORDS) & (stop <= end[in_line]) & ((stop < end[in_line]) | (begin > start[in_line]))
-        begin, stop = begin[ok], stop[ok]
-        out.append((text[begin], begin - offset[begin], stop - offset[begin], _spans(h, begin, stop, _P), _spans(h, begin, stop, _Q)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none, none.view(np.uint64), none.view(np.uint64))
 
 
+def runs(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of texts with these word hashes: text number, first word and end of each run in it, gram, content."""
+    if len(h) < LEAST_WORDS:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+    grams = _rolled(h, GRAM)
+    text = np.repeat(np.arange(len(counts)), counts)
+    end_of = np.cumsum(counts)
+    window = np.arange(len(h) - LEAST_WORDS + 1)
+    gram = window + np.lib.stride_tricks.sliding_window_view(grams, LEAST_WORDS - GRAM + 1).argmin(axis=1)
+    inside = window + LEAST_WORDS <= end_of[text[window]]
+    window, gram = window[inside], gram[inside]
+    new = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]][: len(gram)])
+    start, end = window[new], window[np.r_[new[1:], len(window)] - 1] + LEAST_WORDS
+    text = text[start]
+    offset = (end_of - counts)[text]
+    return text, start - offset, end - offset, grams[gram[new]], _spans(h, start, end, _P)
+
+
 def _batched(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     at = 0
     while at < len(texts):
@@ -229,6 +240,100 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[keep, ["a", "b"]]
 
 
+def _run_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        ids = batch["doc_id"].to_numpy()
+        for at, part in _batched([t.encode() for t in batch["text"]]):
+            text, first, last, gram, run = runs(*word_hashes(part))
+            yield pd.DataFrame({"gram": gram.view(np.int64), "run": run.view(np.int64), "doc_id": ids[at + text], "first": first.astype(np.int32), "last": last.astype(np.int32)})
+
+
+def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The windows of the wanted runs of each text, by content (one and two)."""
+    for batch in batches:
+        for i, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
+            h, _ = word_hashes([text.encode()])
+            first, last, gram, run = (np.array([s[c] for s in spans], dtype=np.int64) for c in ("first", "last", "gram", "run"))
+            many = last - first - LEAST_WORDS + 1
+            offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            at = np.repeat(first, many) + offset
+            one, two = (_spans(h, at, at + LEAST_WORDS, base).view(np.int64) for base in (_P, _Q))
+            yield pd.DataFrame({"one": one, "two": two, "doc_id": i, "first": at.astype(np.int32), "gram": np.repeat(gram, many), "run": np.repeat(run, many), "offset": offset.astype(np.int32)})
+
+
+def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each run the windows in a row that have keepers in a row, and those keepers."""
+    names = ["doc_id", "first", "last", "keeper_doc_id", "keeper_first"]
+    for batch in batches:
+        many = (batch["last"] - batch["first"] - LEAST_WORDS + 1).to_numpy()
+        row = np.repeat(np.arange(len(batch)), many)
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        doc, at = batch["doc_id"].to_numpy()[row], batch["first"].to_numpy()[row] + offset
+        to_doc, to = batch["head_doc_id"].to_numpy()[row].copy(), batch["head_first"].to_numpy()[row] + offset
+        base = np.cumsum(many) - many
+        for k, before in enumerate(batch["before"]):
+            for b in before if before is not None else ():
+                to_doc[base[k] + b["offset"]], to[base[k] + b["offset"]] = b["doc_id"], b["first"]
+        far = (to_doc != doc) | (at - to >= LEAST_WORDS)
+        row, doc, at, to_doc, to = (x[far] for x in (row, doc, at, to_doc, to))
+        if not len(row):
+            continue
+        new = np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (to_doc[1:] != to_doc[:-1]) | (to[1:] != to[:-1] + 1)]
+        new = np.flatnonzero(new)
+        length = at[np.r_[new[1:], len(at)] - 1] + LEAST_WORDS - at[new]
+        doc, at, to_doc, to = (x[new] for x in (doc, at, to_doc, to))
+        yield pd.DataFrame(dict(zip(names, (np.r_[doc, to_doc], np.r_[at, to], np.r_[at + length, to + length], np.r_[to_doc, to_doc], np.r_[to, to]), strict=True))).drop_duplicates()
+
+
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by id, keeper, distance and place; those whose windows go on in the next are one."""
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat((held, batch), ignore_index=True)
+        if not len(rows):
+            continue
+        first, last = rows["first"].to_numpy(), rows["last"].to_numpy()
+        same = np.ones(len(rows) - 1, dtype=bool)
+        for c in ("doc_id", "keeper_doc_id", "apart"):
+            same &= rows[c].to_numpy()[1:] == rows[c].to_numpy()[:-1]
+        # A row ends after all before it, except where it lies within one of them.
+        group = np.cumsum(np.r_[True, ~same]) - 1
+        wide = np.int64(1) << np.int64(32)
+        reach = np.maximum.accumulate(last + group * wide) - group * wide
+        new = np.flatnonzero(np.r_[True, ~same | (first[1:] > reach[:-1] - LEAST_WORDS + 1)])
+        out = rows.iloc[new].assign(last=np.maximum.reduceat(last, new).astype(np.int32))
+        held = out.iloc[-1:]
+        yield out.iloc[:-1]
+    if held is not None:
+        yield held
+
+
+def repeated_runs(rows: DataFrame) -> DataFrame:
+    """doc_id, first, last, keeper_doc_id and keeper_first of every equal passage of rows (doc_id, text), keepers included."""
+    every = materialize(rows.mapInPandas(_run_rows, "gram long, run long, doc_id long, first int, last int"), "runs")
+    grams = materialize(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n_gram")).filter("n_gram > 1"), "grams")
+    met = materialize(lookup(every, grams, "gram", "n_gram", grams.agg(F.sum("n_gram")).first()[0] or 0).drop("n_gram"), "met-runs")
+    met = met.select(F.struct("gram", "run").alias("key"), "doc_id", "first", "last")
+    groups = materialize(met.groupBy("key").agg(F.min(F.struct("doc_id", "first", "last")).alias("head"), F.count(F.lit(1)).alias("n")), "runs-groups")
+
+    several = materialize(groups.groupBy(F.col("key.gram").alias("gram")).agg(F.count(F.lit(1)).alias("n_runs")).filter("n_runs > 1"), "several")
+    unsure = lookup(groups.select(F.col("key.gram").alias("gram"), "key.run", "head"), several, "gram", "n_runs", several.agg(F.sum("n_runs")).first()[0] or 0)
+    spans = unsure.groupBy(F.col("head.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("gram", "run", "head.first", "head.last")).alias("spans"))
+    windows = rows.join(spans.hint("merge"), "doc_id").mapInPandas(_window_rows, "one long, two long, doc_id long, first int, gram long, run long, offset int")
+    windows = materialize(windows, "windows").select(F.struct("one", "two").alias("content"), "doc_id", "first", F.struct("gram", "run").alias("key"), "offset")
+    firsts = windows.groupBy("content").agg(F.min(F.struct("doc_id", "first")).alias("to"), F.count(F.lit(1)).alias("n_windows")).filter("n_windows > 1")
+    firsts = materialize(firsts, "windows-first")
+    earlier = lookup(windows, firsts, "content", "n_windows", firsts.agg(F.sum("n_windows")).first()[0] or 0)
+    earlier = earlier.filter("doc_id != to.doc_id OR first != to.first").groupBy("key").agg(F.collect_set(F.struct("offset", "to.doc_id", "to.first")).alias("before"))
+    known = groups.join(earlier.hint("merge"), "key", "left").filter("n > 1 OR before IS NOT NULL")
+    known = materialize(known.select("key", "n", F.col("head.doc_id").alias("head_doc_id"), F.col("head.first").alias("head_first"), "before"), "known")
+    found = lookup(met, known, "key", "n", known.agg(F.sum("n")).first()[0] or 0).select("doc_id", "first", "last", "head_doc_id", "head_first", "before")
+    found = found.mapInPandas(_kept, "doc_id long, first int, last int, keeper_doc_id long, keeper_first int").distinct().withColumn("apart", F.expr("first - keeper_first"))
+    order = ["doc_id", "keeper_doc_id", "apart", "first"]
+    found = found.repartition("doc_id").sortWithinPartitions(*order).mapInPandas(_joined, "doc_id long, first int, last int, keeper_doc_id long, keeper_first int, apart int")
+    return found.drop("apart")
+
+
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each member of a group of repeats: doc_id, first and last (words, end
     exclusive), keeper_doc_id, keeper_first, and removed (false for the keeper)."""
@@ -249,9 +354,10 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = components(links, "repeats")
 
     node, root = _passage("node"), _passage("root")
-    return groups.select(
-        *(x.alias(n) for n, x in node.items()), root["doc_id"].alias("keeper_doc_id"), root["first"].alias("keeper_first"), (F.col("node") != F.col("root")).alias("removed"),
-    )
+    lines = groups.select(*(x.alias(n) for n, x in node.items()), root["doc_id"].alias("keeper_doc_id"), root["first"].cast("int").alias("keeper_first"))
+    both = lines.withColumn("last", F.col("last").cast("int")).withColumn("first", F.col("first").cast("int")).unionByName(repeated_runs(rows))
+    both = both.groupBy("doc_id", "first", "last").agg(F.min(F.struct("keeper_doc_id", "keeper_first")).alias("keeper")).select("doc_id", "first", "last", "keeper.*")
+    return both.withColumn("removed", F.expr("keeper_doc_id != doc_id OR keeper_first != first"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

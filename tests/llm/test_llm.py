@@ -223,6 +223,40 @@ def test_paragraphs(spark):
     assert paragraphs.repeated_paragraphs(empty(spark)).count() == 0
 
 
+def repeated_words(rows):
+    """By brute force: the (id, word number) of each word of a window of 25 words that stands before by id and place, without overlap."""
+    first, gone = {}, set()
+    for i, t in sorted(rows):
+        w = words(t)
+        for k in range(len(w) - 24):
+            j, at = first.setdefault(tuple(w[k : k + 25]), (i, k))
+            if j != i or k - at >= 25:
+                gone |= {(i, x) for x in range(k, k + 25)}
+    return gone
+
+
+def test_paragraphs_runs_anywhere(spark):
+    pick = random.Random(5)
+    passages = [prose(55, pick) for _ in range(12)]
+    rows = []
+    for i in range(60):
+        parts = [prose(pick.randint(1, 40), pick)]
+        for p in pick.sample(passages, 2):
+            w = p.split()
+            at = pick.randint(0, 5)
+            parts += [" ".join(w[at : pick.randint(20, 55)]), prose(pick.randint(1, 40), pick)]
+        rows.append((i, " ".join(parts)))
+    rows += [(100, prose(10, pick) + " " + passages[0] + "\n" + prose(5, pick)), (101, passages[0].replace(" ", "\n")), (102, " ".join(["again"] * 200)), (103, " ".join([prose(30, random.Random(7))] * 5))]
+    got = paragraphs.repeated_paragraphs(table(spark, [(i, t, "", "", 0) for i, t in rows]))
+    out = got.collect()
+    assert {(r["doc_id"], k) for r in out if r["removed"] for k in range(r["first"], r["last"])} == repeated_words(rows)
+    text = {i: words(t) for i, t in rows}
+    for r in out:
+        n = r["last"] - r["first"]
+        assert text[r["doc_id"]][r["first"] : r["last"]] == text[r["keeper_doc_id"]][r["keeper_first"] : r["keeper_first"] + n]
+        assert r["removed"] == ((r["keeper_doc_id"], r["keeper_first"]) != (r["doc_id"], r["first"]))
+
+
 def test_lm(spark):
     rows = [(i, prose(PICK.randint(0, 60)), None, None, 0) for i in range(150)] + [(1000 + i, t, None, None, 0) for i, t in enumerate(TEXTS)] + [(None, "one", None, None, 0)]
     got = lm_score.score(table(spark, rows)).collect()
