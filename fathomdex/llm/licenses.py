@@ -6,6 +6,11 @@ is matched against ordered rules: a rule's identifiers must follow each other, a
 earlier rule has matched is no longer there for later ones. The whole text is read, within
 its own row; there is no shuffle.
 
+Known sentences begin and end at a sentence's or a line's end. Single line breaks, semicolons
+and colons may also stand inside them, as in texts wrapped at any width or set in comment
+signs; full stops before white space and blank lines may not. Of two that begin at one place
+the longer counts.
+
 Defined results: null or blank text has no sentences. A licence matched several times is
 named once; names come in the order of the rules. Known sentences that no rule takes remain
 in `rest`. Repeated rows give repeated rows; an empty table gives none.
@@ -76,18 +81,24 @@ RULES = (
     ("proprietary", ("reserved",)),
 )
 LICENCES = tuple(dict.fromkeys(name for name, _ in RULES))
-#: A sentence ends at these before white space, and at a line's end.
+#: In SQL a sentence ends at these before white space, and at every line's end.
 ENDS = r"([.!?;:])[\x20\x09-\x0D]+"
+#: White space after a full stop is a blank line, after a semicolon or colon a line break.
+STOP = r"[.!?][\x20\x09-\x0D]+"
+PAUSE = r"[;:](?:[\x20\x09]*(?:\r\n?|\n)|[\x20\x09\x0B\x0C]+)"
+#: A known sentence from one break (a bar is a blank line) to another.
+KNOWN = r"(?<![^\n|])(?:%s)(?![^\n|])" % "|".join(s.replace(" ", r"[ \n]") for s in sorted(SENTENCES.values(), key=len, reverse=True))
 ADDED = ("licences", "sentence_ids", "rest")
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences, in order, each between semicolons."""
-    cut = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), ENDS, "$1\n"), r"[\n\r]+")
-    short = F.filter(cut, lambda s: (F.length(s) >= min(map(len, SENTENCES.values()))))
-    normal = F.transform(short, lambda s: F.trim(F.lower(F.regexp_replace(s, "[^A-Za-z0-9]+", " "))))
+    broken = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), STOP, "\n\n"), PAUSE, "\n")
+    normal = F.trim(F.lower(F.regexp_replace(broken, r"[^A-Za-z0-9\n\r]+", " ")))
+    normal = F.regexp_replace(F.regexp_replace(normal, r" *(?:\r\n?|\n) *", "\n"), r"\n{2,}", "|")
+    found = F.regexp_extract_all(normal, F.lit(KNOWN), F.lit(0))
     known = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
-    ids = F.filter(F.transform(normal, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    ids = F.transform(found, lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
     return F.concat(F.lit(";"), F.array_join(F.transform(ids, lambda i: F.concat(i, F.lit(";"))), ""))
 
 

@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -193,6 +194,23 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    notice = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    as_is = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    bsd = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."]
+    head = "MIT License\n\nCopyright (c) 2020 Someone\n\n"
+
+    def wrapped(parts, width, before="", end="\n"):
+        return end.join(before + line for k, p in enumerate(parts) for line in [*([""] if k else []), *textwrap.wrap(p, width)])
+
+    mit = [grant, notice, as_is]
+    cases = {1: (head + wrapped(mit, 72), "MIT"), 2: (wrapped(mit, 78, " * "), "MIT"), 3: (wrapped(mit, 70, "# ", "\r\n"), "MIT"), 4: (wrapped([gpl], 75), "GPL-2.0-or-later"), 5: (wrapped(bsd, 74), "BSD-2-Clause"), 6: ("Licensed under\n\nthe MIT License.", ""), 7: ("Copyright Someone\nAll rights\nreserved.", "proprietary"), 8: ("Not licensed under\nthe MIT License.", "")}
+    got = {r["doc_id"]: (r["licences"], r["rest"]) for r in licenses.scan(table(spark, [(i, t, None, None, 0) for i, (t, _) in cases.items()])).collect()}
+    assert got == {i: (x, ";") for i, (_, x) in cases.items()}
+
+
 def test_html(spark):
     page = '<html><head><title>t</title></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><script>var a="</p>";</script><article><h1>Big  news</h1><p>One &amp; two<br>three.<p>Last <b>line</b>.</article><div class="comments"><p>First comment here.</p></div><footer>&copy; Site</footer></body></html>'
     rows = [(1, "u", page, 1), (2, None, None, 2), (3, "u", "", 3), (1, "u", page, 1), (4, "u", "<nav>x</nav>", 5)]
