@@ -9,7 +9,7 @@ are equal, that is, whose nearest point in the slice is the same, share a cell;
 sizes that lie across the bound of two size classes are copied to the cells of both.
 
 Slices that hold little but a common passage bring unrelated documents together. A second
-metric tells those apart: counts of shingles by hash, one for each eight shingles, differ by
+metric tells those apart: counts of shingles by hash, one for each few shingles, differ by
 no more than the sets do. Pairs of small cells stay if that bound lets them link; in a large
 cell every document is compared with leaders, is tied to each within one and a half times
 the bound, and becomes a leader itself unless it is within half the bound of one, which by
@@ -35,6 +35,7 @@ and so the same component. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -46,9 +47,6 @@ from fathomdex.llm.shingles import mix, shingle_sets
 
 WIDTH = 4
 NUM, DEN = 85, 100
-#: Size classes: each begins at one and a half times the one before. Two different sets can
-#: be linked only if the smaller has LEAST shingles.
-LEAST = next(n for n in range(1, 10_000) if NUM * (n + 1) <= DEN * n)
 #: Shingles that a task holds at once, from each of two parts.
 PART = 2_000_000
 PIVOTS = 4
@@ -58,9 +56,28 @@ HELD_ROWS = 100_000
 PER_COUNT = 8
 
 
-def linked(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+class Rule(NamedTuple):
+    """Which documents are similar: words of a shingle, and the least Jaccard similarity as a fraction."""
+
+    width: int = WIDTH
+    num: int = NUM
+    den: int = DEN
+    #: Shingles for each count; the lower the bound, the fewer it takes to tell unrelated sets apart.
+    per_count: int = PER_COUNT
+
+    @property
+    def least(self) -> int:
+        """Two different sets can be linked only if the smaller has so many shingles. Size
+        classes begin here, each at one and a half times the one before."""
+        return -(-self.num // (self.den - self.num))
+
+
+RULE = Rule()
+
+
+def linked(both: np.ndarray, a: np.ndarray, b: np.ndarray, rule: Rule = RULE) -> np.ndarray:
     """Whether sets of sizes a and b that share `both` are similar enough."""
-    return DEN * both >= NUM * (a + b - both)
+    return rule.den * both >= rule.num * (a + b - both)
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -68,23 +85,23 @@ def _digest(s: np.ndarray) -> bytes:
     return np.array([one, two, np.uint64(len(s))], dtype="<u8").tobytes()
 
 
-def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _describe(batches: Iterator[pd.DataFrame], rule: Rule = RULE) -> Iterator[pd.DataFrame]:
     """Size, digest and counts of each document's set."""
     for batch in batches:
         out = []
-        for i, s in zip(batch["doc_id"], shingle_sets(list(batch["text"]), WIDTH), strict=True):
-            tops = classes_of(len(s))
-            out.append((i, len(s), _digest(s), *(counts_of(s, tops[k]) if k < len(tops) else None for k in (0, 1))))
+        for i, s in zip(batch["doc_id"], shingle_sets(list(batch["text"]), rule.width), strict=True):
+            tops = classes_of(len(s), rule)
+            out.append((i, len(s), _digest(s), *(counts_of(s, tops[k], rule) if k < len(tops) else None for k in (0, 1))))
         yield pd.DataFrame(out, columns=["doc_id", "n", "digest", "counts_own", "counts_next"])
 
 
-def _cell_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cell_rows(batches: Iterator[pd.DataFrame], rule: Rule = RULE) -> Iterator[pd.DataFrame]:
     """A row for each cell that a document is in; own is false in the cells of the next class."""
     for batch in batches:
         ids, cells, own, held = [], [], [], 0
-        for i, s in zip(batch["doc_id"], shingle_sets(list(batch["text"]), WIDTH), strict=True):
-            for k, top in enumerate(classes_of(len(s))):
-                c = cells_of(s, top)
+        for i, s in zip(batch["doc_id"], shingle_sets(list(batch["text"]), rule.width), strict=True):
+            for k, top in enumerate(classes_of(len(s), rule)):
+                c = cells_of(s, top, rule)
                 ids.append(np.full(len(c), i, dtype=np.int64))
                 cells.append(c)
                 own.append(np.full(len(c), k == 0))
@@ -100,41 +117,41 @@ def _cell_frame(cells: list[np.ndarray], ids: list[np.ndarray], own: list[np.nda
     return pd.DataFrame({"cell": np.concatenate(cells).view(np.int64), "doc_id": np.concatenate(ids), "own": np.concatenate(own)})
 
 
-def class_bounds(n: int) -> tuple[int, int]:
-    """The size class [low, high) of a set of n shingles, n from LEAST on."""
-    low = LEAST
+def class_bounds(n: int, rule: Rule = RULE) -> tuple[int, int]:
+    """The size class [low, high) of a set of n shingles, n from rule.least on."""
+    low = rule.least
     while (high := low + low // 2) <= n:
         low = high
     return low, high
 
 
-def slices(high: int) -> tuple[int, int]:
+def slices(high: int, rule: Rule = RULE) -> tuple[int, int]:
     """How many slices a size class is dealt over, and how many of them may be empty in both sets.
 
     Linked sets below high differ in at most so many shingles; one slice more, besides the
     empty ones, is equal in both.
     """
-    differ = (DEN - NUM) * 2 * (high - 1) // (DEN + NUM)
+    differ = (rule.den - rule.num) * 2 * (high - 1) // (rule.den + rule.num)
     spare = 3 + differ * 3 // 100
     return differ + 1 + spare, spare
 
 
-def classes_of(n: int) -> list[int]:
+def classes_of(n: int, rule: Rule = RULE) -> list[int]:
     """Upper bounds of the size classes that a set of n shingles goes to."""
-    if n < LEAST:
+    if n < rule.least:
         return []
-    _, high = class_bounds(n)
+    _, high = class_bounds(n, rule)
     # A linked set can lie in the next class if this one is near its bound.
-    return [high, high + high // 2] if DEN * n >= NUM * high else [high]
+    return [high, high + high // 2] if rule.den * n >= rule.num * high else [high]
 
 
-def cells_of(s: np.ndarray, top: int) -> np.ndarray:
+def cells_of(s: np.ndarray, top: int, rule: Rule = RULE) -> np.ndarray:
     """The cells of a set in a class: one number for each slice that isn't empty.
 
     A set with more empty slices than its class spares also goes to the cells of those.
     """
     spread, value = mix(s ^ np.uint64(0x2545F4914F6CDD1D)), mix(s ^ np.uint64(0x9FB21C651E98DF25))
-    count, spare = slices(top)
+    count, spare = slices(top, rule)
     place = (spread % np.uint64(count)).astype(np.int64)
     order = np.argsort(place, kind="stable")
     first = np.flatnonzero(np.diff(np.r_[-1, place[order]]))
@@ -146,16 +163,16 @@ def cells_of(s: np.ndarray, top: int) -> np.ndarray:
     return mix(sums + mix(used.astype(np.uint64) + (np.uint64(top) << np.uint64(32))))
 
 
-def counts_of(s: np.ndarray, top: int) -> bytes:
+def counts_of(s: np.ndarray, top: int, rule: Rule = RULE) -> bytes:
     """How many shingles fall in each of the class's counts, as bytes (255 stands for more)."""
-    many = top // PER_COUNT + 1
+    many = top // rule.per_count + 1
     at = (mix(s ^ np.uint64(0x6A09E667F3BCC909)) % np.uint64(many)).astype(np.int64)
     return np.minimum(np.bincount(at, minlength=many), 255).astype(np.uint8).tobytes()
 
 
-def most_apart(a, b):
+def most_apart(a, b, rule: Rule = RULE):
     """Most differing shingles of linked sets of these sizes."""
-    return (DEN - NUM) * (a + b) // (DEN + NUM)
+    return (rule.den - rule.num) * (a + b) // (rule.den + rule.num)
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,13 +218,13 @@ def _met(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield found[found["a"] != found["b"]].drop_duplicates()
 
 
-def _close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _close(batches: Iterator[pd.DataFrame], rule: Rule = RULE) -> Iterator[pd.DataFrame]:
     """Pairs that the counts let link."""
     for batch in batches:
         keep = []
         for m, n, x, y in zip(batch["n_a"], batch["n_b"], batch["counts_a"], batch["counts_b"], strict=True):
             apart = np.abs(np.frombuffer(x, dtype=np.uint8).astype(np.int16) - np.frombuffer(y, dtype=np.uint8)).sum()
-            keep.append(DEN * min(m, n) >= NUM * max(m, n) and apart <= most_apart(m, n))
+            keep.append(rule.den * min(m, n) >= rule.num * max(m, n) and apart <= most_apart(m, n, rule))
         yield batch.loc[keep, ["a", "b"]]
 
 
@@ -232,7 +249,7 @@ class _Joined:
         return x != y
 
 
-def _leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _leaders(batches: Iterator[pd.DataFrame], rule: Rule = RULE) -> Iterator[pd.DataFrame]:
     """Ties of the documents of large cells, one for each document and one for each two groups
     of leaders that it brings together; rows come sorted by cell, a cell in one task."""
     now, ids, counts, joined = None, [], np.zeros((0, 0), dtype=np.int16), _Joined()
@@ -245,7 +262,7 @@ def _leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 now, ids, used, joined = cell, [], 0, _Joined()
                 counts = np.zeros((16, len(x)), dtype=np.int16)
                 # every size of the class lies below its upper bound
-                bound = most_apart(len(x) * PER_COUNT, len(x) * PER_COUNT)
+                bound = most_apart(len(x) * rule.per_count, len(x) * rule.per_count, rule)
             apart = np.abs(counts[:used] - x).sum(axis=1)
             near = np.flatnonzero(2 * apart <= 3 * bound).tolist()
             ties += [(ids[k], doc) for k in near if (k == near[0] or joined.tie(near[0], k)) and ids[k] != doc]
@@ -262,9 +279,9 @@ def _leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(ties, columns=["a", "b"]).drop_duplicates()
 
 
-def candidate_ties(docs: DataFrame, described: DataFrame) -> DataFrame:
+def candidate_ties(docs: DataFrame, described: DataFrame, rule: Rule = RULE) -> DataFrame:
     """Ties (a, b) whose components hold all linked documents together."""
-    cells = docs.filter("doc_id IS NOT NULL").mapInPandas(_cell_rows, "cell long, doc_id long, own boolean")
+    cells = docs.filter("doc_id IS NOT NULL").mapInPandas(lambda batches: _cell_rows(batches, rule), "cell long, doc_id long, own boolean")
     met = cells.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInPandas(_meet, "a long, b long, own_a boolean, own_b boolean, large boolean")
     met = materialize(met.distinct(), "met")
     both = F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("counts_own").alias("counts")), F.struct(F.lit(False).alias("own"), F.col("counts_next").alias("counts"))))
@@ -274,9 +291,9 @@ def candidate_ties(docs: DataFrame, described: DataFrame) -> DataFrame:
     def side(s: str) -> DataFrame:
         return known.select(F.col("doc_id").alias(s), F.col("own").alias(f"own_{s}"), F.col("n").alias(f"n_{s}"), F.col("counts").alias(f"counts_{s}")).hint("merge")
 
-    pairs = met.filter("NOT large").join(side("a"), ["a", "own_a"]).join(side("b"), ["b", "own_b"]).mapInPandas(_close, "a long, b long")
+    pairs = met.filter("NOT large").join(side("a"), ["a", "own_a"]).join(side("b"), ["b", "own_b"]).mapInPandas(lambda batches: _close(batches, rule), "a long, b long")
     large = met.filter("large").select(F.col("a").alias("cell"), F.col("b").alias("doc_id"), F.col("own_b").alias("own")).join(known.hint("merge"), ["doc_id", "own"])
-    tied = large.select("cell", "doc_id", "n", "counts").repartition("cell").sortWithinPartitions("cell", "doc_id").mapInPandas(_leaders, "a long, b long")
+    tied = large.select("cell", "doc_id", "n", "counts").repartition("cell").sortWithinPartitions("cell", "doc_id").mapInPandas(lambda batches: _leaders(batches, rule), "a long, b long")
     return pairs.unionByName(tied)
 
 
@@ -286,7 +303,7 @@ def shared_counts(flat: np.ndarray, starts: np.ndarray, pivot: np.ndarray) -> np
     return np.add.reduceat((pivot[at] == flat).astype(np.int64), starts)
 
 
-def star_links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def star_links(ids: np.ndarray, sets: list[np.ndarray], rule: Rule = RULE) -> list[tuple[int, int]]:
     """Links among these documents, enough to connect what all links connect."""
     order = sorted(range(len(sets)), key=lambda i: (-len(sets[i]), ids[i]))
     ids, sets = ids[order], [sets[i] for i in order]
@@ -300,9 +317,9 @@ def star_links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]
     while len(left) > 1:
         p = int(left[0])
         both = shared_counts(flat, starts, sets[p])
-        near = linked(both, sizes[left], sizes[p])
+        near = linked(both, sizes[left], sizes[p], rule)
         union = sizes[left] + sizes[p] - both
-        ring = ~near & (DEN * both >= (2 * NUM - DEN) * union)  # within twice the radius
+        ring = ~near & (rule.den * both >= (2 * rule.num - rule.den) * union)  # within twice the radius
         core = left[near & (left != p)]
         out += [(int(ids[p]), int(ids[x])) for x in core.tolist() if joined.tie(p, x)]
         if len(core) and ring.any():
@@ -311,7 +328,7 @@ def star_links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]
             for y in left[ring].tolist():
                 if joined.find(y) == joined.find(p):
                     continue
-                hit = linked(shared_counts(core_flat, core_starts, sets[y]), sizes[core], sizes[y])
+                hit = linked(shared_counts(core_flat, core_starts, sets[y]), sizes[core], sizes[y], rule)
                 if hit.any():
                     joined.tie(p, y)
                     out.append((int(ids[y]), int(ids[core[np.argmax(hit)]])))
@@ -323,36 +340,36 @@ def star_links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]
     return out
 
 
-def _join_part(group: pd.DataFrame) -> pd.DataFrame:
+def _join_part(group: pd.DataFrame, rule: Rule = RULE) -> pd.DataFrame:
     group = group.drop_duplicates("doc_id")
-    links = star_links(group["doc_id"].to_numpy(), list(shingle_sets(list(group["text"]), WIDTH)))
+    links = star_links(group["doc_id"].to_numpy(), list(shingle_sets(list(group["text"]), rule.width)), rule)
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def _voronoi(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _voronoi(batches: Iterator[pd.DataFrame], rule: Rule = RULE) -> Iterator[pd.DataFrame]:
     """Rows of each document for its cell and for every cell whose window it lies in."""
     for batch in batches:
         out = []
         for i, n, region, text, pivot_ids, pivots in zip(*(batch[c] for c in ("doc_id", "n", "region", "text", "pivot_ids", "pivots")), strict=True):
-            s, *ps = shingle_sets([text, *pivots], WIDTH)
+            s, *ps = shingle_sets([text, *pivots], rule.width)
             both = np.array([np.isin(p, s, assume_unique=True).sum() for p in ps])
             far = 1.0 - both / (np.array([len(p) for p in ps]) + len(s) - both)
-            for k in np.flatnonzero(far <= far.min() + 2.0 * (1.0 - NUM / DEN) + 1e-9):
-                inside = bool(linked(both[k], len(ps[k]), len(s)))
+            for k in np.flatnonzero(far <= far.min() + 2.0 * (1.0 - rule.num / rule.den) + 1e-9):
+                inside = bool(linked(both[k], len(ps[k]), len(s), rule))
                 out.append((i, n, region, int(k), inside, int(pivot_ids[k])))
         yield pd.DataFrame(out, columns=["doc_id", "n", "region", "cell", "inside", "pivot_id"])
 
 
-def similar_links(docs: DataFrame, described: DataFrame, sets: DataFrame, part: int = PART) -> DataFrame:
+def similar_links(docs: DataFrame, described: DataFrame, sets: DataFrame, part: int = PART, rule: Rule = RULE) -> DataFrame:
     """Links (a, b) between documents (doc_id, text) of different sets; sets: one row
     (node, n) for each distinct set, node its smallest id."""
-    regions = components(candidate_ties(docs, described), "candidates").withColumnsRenamed({"node": "doc_id", "root": "region"})
+    regions = components(candidate_ties(docs, described, rule), "candidates").withColumnsRenamed({"node": "doc_id", "root": "region"})
     members = regions.join(sets.select(F.col("node").alias("doc_id"), "n").hint("merge"), "doc_id")
     members = materialize(docs.select("doc_id", "text").join(members.hint("merge"), "doc_id"), "members")
     weights = materialize(members.groupBy("region").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("docs")), "weights")
     large = weights.filter(F.col("weight") > part)
     small = members.join(large.select("region"), "region", "left_anti").select(F.col("region").alias("key"), "doc_id", "text")
-    links = small.groupBy("key").applyInPandas(_join_part, "a long, b long")
+    links = small.groupBy("key").applyInPandas(lambda group: _join_part(group, rule), "a long, b long")
     if not large.head(1):
         return links
     whole = members.join(large.select("region", "docs"), "region")
@@ -360,7 +377,7 @@ def similar_links(docs: DataFrame, described: DataFrame, sets: DataFrame, part:
     chosen = whole.filter(F.abs(order % 1_000_003).cast("double") * F.col("docs") < 1_000_003.0 * 4 * PIVOTS)
     few = F.slice(F.sort_array(F.collect_list(F.struct(order.alias("o"), "doc_id", "text"))), 1, PIVOTS)
     pivots = chosen.groupBy("region").agg(few.alias("p")).select("region", F.col("p.doc_id").alias("pivot_ids"), F.col("p.text").alias("pivots"))
-    placed = whole.join(pivots, "region").mapInPandas(_voronoi, "doc_id long, n long, region long, cell int, inside boolean, pivot_id long")
+    placed = whole.join(pivots, "region").mapInPandas(lambda batches: _voronoi(batches, rule), "doc_id long, n long, region long, cell int, inside boolean, pivot_id long")
     placed = materialize(placed, "voronoi")
     spokes = placed.filter("inside AND doc_id != pivot_id").select(F.col("pivot_id").alias("a"), F.col("doc_id").alias("b"))
     parts = placed.groupBy("region", "cell", "inside").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts"))
@@ -374,17 +391,17 @@ def similar_links(docs: DataFrame, described: DataFrame, sets: DataFrame, part:
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(others))
     rows = rows.select(F.concat_ws("/", "region", "cell", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "doc_id")
     rows = members.select("doc_id", "text").join(rows, "doc_id")
-    return links.unionByName(spokes).unionByName(rows.groupBy("key").applyInPandas(_join_part, "a long, b long"))
+    return links.unionByName(spokes).unionByName(rows.groupBy("key").applyInPandas(lambda group: _join_part(group, rule), "a long, b long"))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, rule: Rule = RULE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = materialize(rows.mapInPandas(_describe, "doc_id long, n long, digest binary, counts_own binary, counts_next binary"), "described")
+    described = materialize(rows.mapInPandas(lambda batches: _describe(batches, rule), "doc_id long, n long, digest binary, counts_own binary, counts_next binary"), "described")
     meta = described.select("doc_id", "n", "digest")
     sets = meta.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.count(F.lit(1)).alias("weight"))
     sets = materialize(sets, "sets")
-    links = materialize(similar_links(rows, described, sets.filter("node IS NOT NULL"), part), "links")
+    links = materialize(similar_links(rows, described, sets.filter("node IS NOT NULL"), part, rule), "links")
     root = components(links, "links")
     table = materialize(sets.join(root.hint("merge"), "node", "left").select("digest", "weight", F.coalesce("root", "node").alias("root")), "roots")
     total = table.agg(F.sum("weight")).first()[0] or 0
@@ -394,9 +411,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.unionByName(meta.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = RULE) -> DataFrame:
     """docs without the documents that a component's smallest id stands for."""
-    groups = similar_groups(docs, id_col, text_col)
+    groups = similar_groups(docs, id_col, text_col, rule=rule)
     gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 

@@ -330,6 +330,21 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
 
 
+def test_pipeline_near_copies_rule(spark):
+    pick = random.Random(9)
+    rows = []
+    for i in range(0, 300, 2):
+        w = prose(pick.randint(25, 120), pick).split()
+        rows.append((i, " ".join(w), "en", "a", 0))
+        for k in pick.sample(range(len(w)), pick.randint(1, 3)):
+            w[k] = "changed"
+        rows.append((i + 1, " ".join(w), "en", "a", 0))
+    sets = {i: {tuple(w[k : k + 5]) for w in [words(t)] for k in range(len(w) - 4)} for i, t, *_ in rows}
+    gone = {i for i in sets if i % 2 and 10 * len(sets[i] & sets[i - 1]) >= 8 * len(sets[i] | sets[i - 1])}
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, table(spark, rows), "").collect()}
+    assert 20 < len(gone) < 130 and kept == set(sets) - gone
+
+
 def test_catalog():
     names = catalog.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
