@@ -71,7 +71,37 @@ class Analyzer:
         return tokens
 
 
-analyze = Analyzer()
+#: The same cuts as one pattern over words between spaces; what is kept is in a group of its rule.
+_STEMS = "|".join(
+    (
+        r"([a-z0-9]{3,})ing",
+        r"([a-z0-9]{3,})ed",
+        r"([a-z0-9]{2,}[sxz]|[a-z0-9]+[cs]h)es",
+        r"([a-z0-9]{2,}[a-rt-z0-9])s",
+    )
+)
+
+
+def _words(text: Column) -> Column:
+    """The indexed words, not stemmed, lower-cased, between spaces: native and in one string."""
+    spaced = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.trim(spaced), rf"\b(?:{'|'.join(STOPWORDS)})\b ?", ""))
+
+
+def _listed(words: Column) -> Column:
+    return F.when(words == "", F.array().cast("array<string>")).otherwise(F.split(words, " "))
+
+
+def analyze(text: Column) -> Column:
+    """What Analyzer() gives, by three patterns over the whole text, which is about ten times
+    as fast as functions over an array of words, since these aren't compiled."""
+    return _listed(F.regexp_replace(_words(text), rf"\b(?:{_STEMS})\b", "$1$2$3$4"))
+
+
+def count_words(text: Column) -> Column:
+    """How many tokens analyze gives."""
+    words = _words(text)
+    return F.when(words == "", F.lit(0)).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1)
 
 
 def stem_word(word: str) -> str:
@@ -92,3 +122,9 @@ def analyze_words(text: str) -> list[str]:
     """Stems of a query string, as the column analyzer gives them."""
     words = (w.lower() for w in re.findall("[A-Za-z0-9]+", text))
     return [stem_word(w) for w in words if w not in STOPWORDS]
+
+
+def words_of_stem(stem: str) -> list[str]:
+    """Every word that is analysed as stem: itself or with an ending that is cut."""
+    words = (stem + ending for ending in ("", "ing", "ed", "es", "s"))
+    return [w for w in words if w not in STOPWORDS and stem_word(w) == stem]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomdex.functions.analysis import analyze
+from fathomdex.functions.analysis import analyze, count_words
 from fathomdex.operators.search import with_tokens
 from fathomdex.plans.compiler import MAX_COUNT
 from fathomdex.plans.query_lang import FIELDS
@@ -21,16 +21,20 @@ def number_documents(docs: DataFrame, seg: int) -> DataFrame:
 
 
 def stored_documents(numbered: DataFrame, analyzer=analyze) -> DataFrame:
+    """numbered with the lengths of both fields in tokens."""
+    if analyzer is analyze:
+        return numbered.withColumns({f"{f}_len": count_words(F.col(f)) for f in FIELDS})
     return with_tokens(numbered, analyzer).drop("title_tokens", "body_tokens")
 
 
 def build_postings(numbered: DataFrame, analyzer=analyze) -> DataFrame:
     """One row (seg, field, term, doc, tf, positions) for each term of each field.
 
-    Counts stop at 65535 and positions beyond it are not kept. The one shuffle is keyed by
-    term and document, so no term's list meets in one task.
+    Counts stop at 65535 and positions beyond it are not kept. Documents are dealt by their
+    number before they are analysed: texts are less to move than tokens are, and all of a
+    document's tokens are then in one task, so that the aggregate needs no shuffle.
     """
-    tokens = with_tokens(numbered, analyzer)
+    tokens = with_tokens(numbered.select("seg", "doc", *FIELDS).repartition("seg", "doc"), analyzer)
     per_field = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"{f}_tokens").alias("tokens")) for f in FIELDS)))
     rows = tokens.select("seg", "doc", per_field.alias("x")).select("seg", "doc", "x.field", F.posexplode("x.tokens").alias("pos", "term"))
     return (

@@ -1,9 +1,11 @@
 """Search: a scan over raw documents, or a lookup in a built index. Both rank alike.
 
-Scan mode analyses every document in the pass that reads it: one aggregate for the corpus
-figures (a single row to the driver) and one pass for match and score, with no shuffle but
-the aggregate. Index mode reads only the postings of the query's terms and shuffles those
-once, whatever the depth of the query.
+Scan mode reads the documents twice: one aggregate for the corpus figures (a single row to
+the driver), which needs no stems, since the words that a query term stands for are known
+beforehand; and one pass for match and score, which analyses only documents that hold one
+of those words. There is no shuffle but the aggregate. Index mode reads only the postings
+of the query's terms and shuffles those once, whatever the depth of the query; titles and
+bodies are read for the hits that are shown only.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomdex.functions.analysis import analyze
+from fathomdex.functions.analysis import analyze, count_words, words_of_stem
 from fathomdex.plans.compiler import MAX_COUNT, FieldColumns, Similarity, compile_query
 from fathomdex.plans.query_lang import FIELDS, Phrase, leaves, parse, query_terms
 
@@ -20,11 +22,22 @@ HIT = ("id", "title", "body", "score")
 
 
 def with_tokens(docs: DataFrame, analyzer=analyze) -> DataFrame:
-    """docs (id, title, body) with the analysed tokens and lengths of both fields."""
-    out = docs.withColumns({f"{f}_tokens": analyzer(F.col(f)) for f in FIELDS})
+    """docs (id, title, body) with the analysed tokens and lengths of both fields.
+
+    A generator of one row makes the tokens, so filters and projections above use them as
+    columns; as plain expressions they would be repeated wherever a later filter is pushed.
+    """
+    tokens = F.array(F.struct(*(analyzer(F.col(f)).alias(f"{f}_tokens") for f in FIELDS)))
+    out = docs.select("*", F.inline(tokens))
     return out.withColumns({f"{f}_len": F.size(f"{f}_tokens") for f in FIELDS})
 
 
+def _holds(fld: str, term: str) -> Column:
+    """Whether the raw field has a word that the analyzer turns into term: exact, without analysis."""
+    words = "|".join(words_of_stem(term))
+    return F.coalesce(F.rlike(F.col(fld), F.lit(f"(?<![A-Za-z0-9])(?i:{words})(?![A-Za-z0-9])")), F.lit(False)) if words else F.lit(False)
+
+
 def _count(fld: str, term: str) -> Column:
     return F.least(F.size(F.filter(F.col(f"{fld}_tokens"), lambda t: t == F.lit(term))), F.lit(MAX_COUNT))
 
@@ -35,11 +48,11 @@ def _adjacent(fld: str, terms: tuple[str, ...]) -> Column:
     return F.contains(F.concat(F.lit(" "), joined, F.lit(" ")), F.lit(f" {' '.join(terms)} "))
 
 
-def _figures(row, terms: list[tuple[str, str]]) -> Similarity:
+def _figures(row: dict, terms: list[tuple[str, str]]) -> Similarity:
     n = row["n"] or 0
     return Similarity(
         n,
-        {f: (row[f"{f}_total"] or 0) / n if n else 1.0 for f in FIELDS},
+        {f: (row.get(f"{f}_total") or 0) / n if n else 1.0 for f in FIELDS},
         {key: row[f"df{i}"] or 0 for i, key in enumerate(terms)},
     )
 
@@ -48,16 +61,20 @@ def scan_hits(docs: DataFrame, query: str, analyzer=analyze) -> DataFrame:
     """All hits of a query over docs (id, title, body), unordered: id, title, body, score."""
     node = parse(query)
     terms = query_terms(node)
-    tokens = with_tokens(docs, analyzer)
+    plain = analyzer is analyze
+    tokens = docs if plain else with_tokens(docs, analyzer)
+    used = [f for f in FIELDS if any(f == g for g, _ in terms)]
     figures = tokens.agg(
         F.count(F.lit(1)).alias("n"),
-        *(F.sum(f"{f}_len").alias(f"{f}_total") for f in FIELDS),
-        *(
-            F.count_if(F.array_contains(f"{f}_tokens", F.lit(t))).alias(f"df{i}")
-            for i, (f, t) in enumerate(terms)
-        ),
+        *(F.sum(count_words(F.col(f)) if plain else F.col(f"{f}_len")).alias(f"{f}_total") for f in used),
+        *(F.count_if(_holds(f, t) if plain else F.array_contains(f"{f}_tokens", F.lit(t))).alias(f"df{i}") for i, (f, t) in enumerate(terms)),
     )
-    sim = _figures(figures.first(), terms)
+    sim = _figures(figures.first().asDict(), terms)
+    if plain:
+        some = F.lit(False)
+        for f, t in terms:
+            some = some | _holds(f, t)
+        tokens = with_tokens(docs.filter(some), analyzer)
     cols = FieldColumns(_count, lambda f: F.col(f"{f}_len"), _adjacent)
     match, score = compile_query(node, cols, sim)
     return tokens.filter(match).select("id", "title", "body", score.alias("score"))
@@ -73,11 +90,17 @@ def search(docs: DataFrame, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame
 
 
 def index_hits(docs: DataFrame, postings: DataFrame, query: str) -> DataFrame:
-    """All hits of a query over an index.
+    """All hits of a query over an index: id, title, body, score.
 
     docs: live documents (seg, doc, id, title, body, title_len, body_len). postings: live
     rows (seg, field, term, doc, tf, positions). Only the query's terms are read.
     """
+    scores = index_scores(docs, postings, query).select("seg", "doc", "score")
+    return scores.join(docs, ["seg", "doc"]).select("id", "title", "body", "score")
+
+
+def index_scores(docs: DataFrame, postings: DataFrame, query: str) -> DataFrame:
+    """seg, doc, id and score of all hits; of docs, titles and bodies aren't read."""
     node = parse(query)
     terms = query_terms(node)
     wanted = F.lit(False)
@@ -111,5 +134,5 @@ def index_hits(docs: DataFrame, postings: DataFrame, query: str) -> DataFrame:
 
     cols = FieldColumns(lambda f, t: F.coalesce(F.col(f"tf{keys[f, t]}"), F.lit(0)), lambda f: F.col(f"{f}_len"), adjacent)
     match, score = compile_query(node, cols, sim)
-    scored = per_doc.join(docs, ["seg", "doc"]).filter(match)
-    return scored.select("id", "title", "body", score.alias("score"))
+    scored = per_doc.join(docs.select("seg", "doc", "id", *(f"{f}_len" for f in FIELDS)), ["seg", "doc"]).filter(match)
+    return scored.select("seg", "doc", "id", score.alias("score"))

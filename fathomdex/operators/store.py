@@ -1,11 +1,13 @@
 """The segment store: immutable Parquet segments, a manifest, tombstones and a log.
 
 A segment is a folder of two Parquet tables, documents and postings; the manifest lists
-the committed ones and is replaced by an atomic rename. Deletes of sealed documents are
-lines in a tombstone file beside the segment. Documents put one at a time wait in a small
-buffer backed by a log that is synced on every record. Bulk loads write a segment straight
-from a DataFrame. The folder must be on a file system that the driver and all executors
-share; only the manifest, tombstones and log are handled by the driver.
+the committed ones and is replaced by an atomic rename. Postings are partitioned by field
+and ranged by term and document, so that a lookup reads the row groups of its own terms, and
+a frequent term's list spreads over files. Deletes of sealed documents are lines of text
+files in a tombstone folder beside the segment, which is read as a table. Documents put one
+at a time wait in a small buffer backed by a log that is synced on every record. Bulk loads
+and deletes go straight from a DataFrame. The folder must be on a file system that the
+driver and all executors share; only the manifest and log are handled by the driver.
 
 Scores use corpus figures over live documents of all segments, so flushing or merging
 never changes a result.
@@ -13,6 +15,7 @@ never changes a result.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -24,15 +27,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomdex.operators.index import build_postings, number_documents, stored_documents
-from fathomdex.operators.search import DEFAULT_LIMIT, index_hits, ranked
+from fathomdex.operators.search import DEFAULT_LIMIT, index_scores
 from fathomdex.plans.query_lang import FIELDS, QueryError
-from fathomdex.sources.segment_text import escape, unescape
+from fathomdex.sources.segment_text import escape
 
 #: Live documents that seal the buffer, and the width of a merge tier.
 AUTO_FLUSH = 8
 MERGE_FACTOR = 2
+#: Up to this limit, the hits' own numbers are given to the scan of their titles and bodies.
+MOST_SHOWN = 1000
 
 _DOCS = "seg int, doc long, id string, title string, body string"
+_STORED = f"{_DOCS}, title_len int, body_len int"
+_POSTINGS = "seg int, field string, term string, doc long, tf int, positions array<int>"
 
 
 class StoreError(RuntimeError):
@@ -80,9 +87,9 @@ class Engine:
         os.makedirs(self.path, exist_ok=True)
         self.active: dict[str, tuple[str, str]] = {}
         self.epoch, self.sealed = self._load_manifest()
-        self.dead = {name: self._load_tombstones(name) for name in self.sealed}
         self._counts: dict[str, int] = {}
         self._remove_unreferenced()
+        self.dead = {name: self._count_tombstones(name) for name in self.sealed}
         self._replay()
 
     # files
@@ -108,11 +115,14 @@ class Engine:
             os.fsync(f.fileno())
         os.replace(self._file("manifest.tmp"), self._file("manifest"))
 
-    def _load_tombstones(self, name: str) -> set[str]:
-        if not os.path.exists(path := self._file(f"{name}.dead")):
-            return set()
-        with open(path, encoding="utf-8", newline="\n") as f:
-            return {unescape(x) for line in f.read().split("\n") if (x := line.removesuffix("\r"))}
+    def _tombstones(self, names: list[str]) -> DataFrame | None:
+        """seg and id of dead documents, as a table; None if there are none."""
+        frames = [self.spark.read.text(f"file://{path}", lineSep="\n").select(F.lit(int(n[4:])).alias("seg"), F.regexp_replace("value", r"\\(.)", "$1").alias("id")) for n in names if os.path.exists(path := self._file(f"{n}.dead"))]
+        return functools.reduce(DataFrame.unionByName, frames).distinct() if frames else None
+
+    def _count_tombstones(self, name: str) -> int:
+        gone = self._tombstones([name])
+        return 0 if gone is None else gone.count()
 
     def _remove_unreferenced(self) -> None:
         for name in os.listdir(self.path):
@@ -163,13 +173,16 @@ class Engine:
 
     def _sealed(self, table: str, names: list[str] | None = None) -> DataFrame | None:
         names = self.sealed if names is None else names
-        return self.spark.read.parquet(*(f"file://{self._file(n)}/{table}" for n in names)) if names else None
+        if not names:
+            return None
+        paths = [f"file://{self._file(n)}/{table}" for n in names]
+        if table == "documents":
+            return self.spark.read.schema(_STORED).parquet(*paths)
+        return functools.reduce(DataFrame.unionByName, (self.spark.read.schema(_POSTINGS).parquet(p) for p in paths))
 
     def _live(self, frame: DataFrame, names: list[str]) -> DataFrame:
-        gone = [(int(n[4:]), id_) for n in names for id_ in self.dead[n]]
-        if not gone:
-            return frame
-        return frame.join(self.spark.createDataFrame(gone, "seg int, id string"), ["seg", "id"], "left_anti")
+        gone = self._tombstones([n for n in names if self.dead.get(n)])
+        return frame if gone is None else frame.join(gone, ["seg", "id"], "left_anti")
 
     def documents(self) -> DataFrame:
         """Live documents of all segments and the buffer, with seg and doc."""
@@ -198,11 +211,15 @@ class Engine:
 
     def _find(self, id_: str) -> str | None:
         """The newest segment that holds the id among its live documents."""
-        names = [n for n in self.sealed if id_ not in self.dead[n]]
-        if not names:
+        if not self.sealed:
             return None
-        segs = [r["seg"] for r in self._sealed("documents", names).filter(F.col("id") == id_).select("seg").collect()]
-        return next((n for n in reversed(names) if int(n[4:]) in segs), None)
+        here = self._sealed("documents").filter(F.col("id") == id_).select("seg", "id")  # a row for each segment at most
+        segs = {r["seg"] for r in here.distinct().collect()}
+        names = [n for n in self.sealed if int(n[4:]) in segs]
+        if names and (gone := self._tombstones(names)) is not None:
+            dead = {r["seg"] for r in gone.filter(F.col("id") == id_).collect()}
+            names = [n for n in names if int(n[4:]) not in dead]
+        return names[-1] if names else None
 
     def put(self, id_: str, title: str, body: str) -> PutResult:
         if not id_:
@@ -219,10 +236,11 @@ class Engine:
         return PutResult(len(self.active))
 
     def put_all(self, docs: DataFrame) -> FlushInfo:
-        """Loads (id, title, body) rows as one new segment; ids that are live already, and
-        later copies of an id within the rows, are left out."""
+        """Loads (id, title, body) rows as one new segment; ids that are live already are left
+        out. Of rows with one id, that of the smallest title and body is loaded."""
         self.flush()
-        rows = docs.select("id", "title", "body").filter((F.length("id") > 0) & ~F.col("id").rlike("[\r\n]")).dropDuplicates(["id"])
+        rows = docs.select("id", *(F.coalesce(f, F.lit("")).alias(f) for f in FIELDS)).filter((F.length("id") > 0) & ~F.col("id").rlike("[\r\n]"))
+        rows = rows.groupBy("id").agg(F.min(F.struct(*FIELDS)).alias("x")).select("id", "x.*")
         rows = rows.join(self.documents().select("id"), "id", "left_anti")
         return self._seal(rows)
 
@@ -235,9 +253,11 @@ class Engine:
         again = self.spark.read.parquet(f"{path}/documents").select("seg", "doc", "id", "title", "body")
         count = again.count()
         if count:
-            build_postings(again).repartition("field").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+            order = ["field", "term", "doc"]
+            build_postings(again).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
             self.sealed = [n for n in self.sealed if n not in replace] + [name]
-            self.dead[name] = set()
+            self.dead[name] = 0
+            self._counts[name] = count
         else:
             shutil.rmtree(self._file(name), ignore_errors=True)
             self.sealed = [n for n in self.sealed if n not in replace]
@@ -252,11 +272,23 @@ class Engine:
         name = self._find(id_)
         if name is None:
             raise StoreError(f"no such document: {id_}")
-        with open(self._file(f"{name}.dead"), "a", encoding="utf-8", newline="\n") as f:
+        os.makedirs(self._file(f"{name}.dead"), exist_ok=True)
+        with open(os.path.join(self._file(f"{name}.dead"), "removed.txt"), "a", encoding="utf-8", newline="\n") as f:
             f.write(escape(id_) + "\n")
             f.flush()
             os.fsync(f.fileno())
-        self.dead[name].add(id_)
+        self.dead[name] += 1
+
+    def remove_all(self, ids: DataFrame) -> int:
+        """Deletes the documents of these ids (column id) as one bulk operation; ids that
+        aren't live are left out. Gives how many went."""
+        self.flush()
+        gone, before = ids.select("id").distinct(), sum(self.dead.values())
+        for name in self.sealed:
+            mine = self._live(self._sealed("documents", [name]).select("seg", "id"), [name]).join(gone, "id")
+            mine.select(F.replace("id", F.lit("\\"), F.lit("\\\\")).alias("value")).write.mode("append").text(f"file://{self._file(name)}.dead", lineSep="\n")
+            self.dead[name] = self._count_tombstones(name)
+        return sum(self.dead.values()) - before
 
     def get(self, id_: str) -> tuple[str, str, str] | None:
         if id_ in self.active:
@@ -272,8 +304,17 @@ class Engine:
         return self._ordered().orderBy("place", "doc").select("id", "title")
 
     def search(self, query: str, limit: int = DEFAULT_LIMIT) -> SearchResponse:
-        hits = index_hits(self.documents(), self.postings(), query)
-        return SearchResponse(ranked(hits, limit), hits.count())
+        """Titles and bodies are read for the hits that are shown only."""
+        docs = self.documents()
+        scores = index_scores(docs, self.postings(), query)
+        best = scores.orderBy(F.desc("score"), F.asc("id")).limit(limit)
+        shown = docs.select("seg", "doc", *FIELDS)
+        if limit <= MOST_SHOWN:
+            found = best.collect()
+            shown = shown.filter(F.col("doc").isin([r["doc"] for r in found]))
+            best = self.spark.createDataFrame(found, scores.schema)
+        hits = best.join(shown, ["seg", "doc"]).orderBy(F.desc("score"), F.asc("id")).select("id", *FIELDS, "score")
+        return SearchResponse(hits, scores.count())
 
     def flush(self) -> FlushInfo:
         if not self.active:
@@ -287,7 +328,7 @@ class Engine:
     def _live_count(self, name: str) -> int:
         if name not in self._counts:
             self._counts[name] = self._sealed("documents", [name]).count()
-        return self._counts[name] - len(self.dead[name])
+        return self._counts[name] - self.dead[name]
 
     def pick_merge_group(self) -> list[str]:
         live = {n: self._live_count(n) for n in self.sealed}
@@ -307,15 +348,22 @@ class Engine:
         if not group:
             return MergeInfo("single" if len(self.sealed) == 1 else "kept")
         rows = self._live(self._sealed("documents", group), group)
-        # Numbers stay unique and keep the segments' order: the place of the segment goes in front.
-        place = F.create_map(*(F.lit(x) for n, name in enumerate(group) for x in (int(name[4:]), n)))
-        shift = F.shiftleft(place[F.col("seg")].cast("long"), 48)
-        info = self._seal(rows.select((F.col("doc").bitwiseAND((1 << 48) - 1) + shift).alias("doc"), "id", "title", "body"), replace=group, keep_numbers=True)
+        # Numbers stay unique and keep the segments' order: each segment's begin after those
+        # of the segments before it, however often these have been merged themselves.
+        ends = {r["seg"]: r["end"] for r in self._sealed("documents", group).groupBy("seg").agg((F.max("doc") + 1).alias("end")).collect()}
+        firsts, at = [], 0
+        for seg in (int(n[4:]) for n in group):
+            firsts += [F.lit(seg), F.lit(at).cast("long")]
+            at += ends.get(seg, 0)
+        if at >= 1 << 62:
+            raise StoreError("document numbers are used up; load the documents into a new store")
+        doc = (F.col("doc") + F.create_map(*firsts)[F.col("seg")]).cast("long")
+        info = self._seal(rows.select(doc.alias("doc"), "id", "title", "body"), replace=group, keep_numbers=True)
         self._remove_unreferenced()
         return MergeInfo("merged" if info.documents else "emptied", info.segment)
 
     def stats(self) -> Stats:
-        dead = sum(len(self.dead[n]) for n in self.sealed)
+        dead = sum(self.dead[n] for n in self.sealed)
         live = sum(self._live_count(n) for n in self.sealed) + len(self.active)
         sealed = self._sealed("postings")
         lists = build_postings(self._active_rows()).select("seg", "field", "term")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 
 from fathomdex.functions.analysis import SIBILANT_ES, STOPWORDS
 from fathomdex.functions.text import snippet_column
-from fathomdex.operators.index import build_postings, corpus_stats, document_frequency
-from fathomdex.operators.search import index_hits, ranked, scan_hits, with_tokens
+from fathomdex.operators.index import build_postings, corpus_stats, document_frequency, stored_documents
+from fathomdex.operators.search import index_scores, ranked, scan_hits, with_tokens
+from fathomdex.operators.store import Engine
 from fathomdex.plans.compiler import FIELD_BOOST, K1, MAX_COUNT, PHRASE_BOOST, B
 from fathomdex.plans.query_lang import FIELDS, And, Not, Phrase, Term, fields_of, parse
+from fathomdex.session import shared_folder
 from fathomdex.sources.documents import documents
 
 SEARCHES = {
@@ -44,49 +47,121 @@ def _numbered(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select(F.lit(1).alias("seg"), F.col("id").cast("long").alias("doc"), "id", "title", "body")
 
 
-def _index(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    numbered = _numbered(spark, sf) if docs is None else docs
-    return with_tokens(numbered).drop("title_tokens", "body_tokens"), build_postings(numbered)
+_stores: dict[tuple[str, str, str], Engine] = {}
 
 
-def _segmented(spark: SparkSession, sf: str, parts: int) -> DataFrame:
-    """The same documents dealt over segments; results must not depend on it."""
-    n = _numbered(spark, sf)
-    return n.withColumn("seg", F.pmod("doc", F.lit(parts)).cast("int"))
+def _store(spark: SparkSession, sf: str, kind: str) -> Engine:
+    """A store that holds the documents table, built once for an application and table; as
+    an index is there to be, every later query reads what is built."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _stores:
+        engine = Engine(spark, f"{shared_folder(spark)}/store-{kind}-{uuid.uuid4().hex}")
+        _BUILD[kind](engine, spark, sf)
+        _stores[key] = engine
+    return _stores[key]
 
 
-def _index_search(query: str, parts: int) -> Callable:
-    return lambda spark, sf: _hits(index_hits(*_index(spark, sf, _segmented(spark, sf, parts)), query))
+def _built(engine: Engine, spark: SparkSession, sf: str) -> None:
+    engine.put_all(documents(spark, sf))
 
 
-def _live(spark: SparkSession, sf: str) -> DataFrame:
-    docs = documents(spark, sf)
-    dead = docs.select("id").filter(F.col("id").cast("long") % 7 == 0)
-    return docs.join(dead, "id", "left_anti")
+def _flushed(engine: Engine, spark: SparkSession, sf: str) -> None:
+    """Four segments of different ways in, and a buffer that isn't flushed."""
+    part = F.pmod(F.col("doc_id"), F.lit(3))
+    for k in range(3):
+        engine.put_all(documents(spark, sf, (part == k) & (F.col("doc_id") >= 14)))
+    for row in documents(spark, sf, F.col("doc_id") < 14).orderBy(F.col("id").cast("long")).collect():  # the eighth put seals
+        engine.put(*row)
+
+
+def _merged(engine: Engine, spark: SparkSession, sf: str) -> None:
+    """Segments of an eighth, an eighth, a quarter and a half, with a merge after each but the first."""
+    part = F.pmod(F.col("doc_id"), F.lit(8))
+    for k, here in enumerate((part == 0, part == 1, (part == 2) | (part == 3), part > 3)):
+        engine.put_all(documents(spark, sf, here))
+        if k and engine.merge().outcome != "merged":
+            raise RuntimeError("segments of like size weren't merged")
+
+
+def _deleted(engine: Engine, spark: SparkSession, sf: str) -> None:
+    engine.put_all(documents(spark, sf))
+    engine.remove_all(documents(spark, sf, (F.pmod(F.col("doc_id"), F.lit(7)) == 0) & (F.col("doc_id") != 0)))
+    engine.remove("0")
+
+
+_BUILD = {"built": _built, "flushed": _flushed, "merged": _merged, "deleted": _deleted}
+
+
+def _store_search(query: str, kind: str) -> Callable:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        engine = _store(spark, sf, kind)
+        return _hits(index_scores(engine.documents(), engine.postings(), query))
+
+    return run
+
+
+def _store_build(spark: SparkSession, sf: str) -> DataFrame:
+    """A store built anew: how many postings and terms each field has."""
+    engine = Engine(spark, f"{shared_folder(spark)}/store-new-{uuid.uuid4().hex}")
+    _built(engine, spark, sf)
+    return engine.postings().groupBy("field").agg(F.count(F.lit(1)).alias("postings"), F.countDistinct("term").alias("terms"))
+
+
+def _store_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings after three merges, by the id of their document."""
+    engine = _store(spark, sf, "merged")
+    ids = engine.documents().select("seg", "doc", F.col("id").cast("long").alias("doc_id"))
+    return engine.postings().join(ids, ["seg", "doc"]).select("doc_id", "field", "term", "tf", _spelled("positions"))
+
+
+def _store_stats(spark: SparkSession, sf: str) -> DataFrame:
+    s = _store(spark, sf, "deleted").stats()
+    names = ("sealed_segments", "active_docs", "live_docs", "dead_docs", "posting_lists")
+    return spark.createDataFrame([tuple(getattr(s, n) for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+def _store_top(spark: SparkSession, sf: str) -> DataFrame:
+    hits = _store(spark, sf, "built").search(TOP, TOP_K).hits
+    return hits.select("id", "title", F.length("body").cast("long").alias("body_chars"), F.round("score", 6).alias("score"))
+
+
+def _store_get(spark: SparkSession, sf: str) -> DataFrame:
+    engine = _store(spark, sf, "deleted")
+    return spark.createDataFrame([r for i in ("11", "14") if (r := engine.get(i))], "id string, title string, body string")
+
+
+def _spelled(positions: str):
+    return F.array_join(F.col(positions).cast("array<string>"), ",").alias("positions")
 
 
 def _flat(spark: SparkSession, sf: str) -> DataFrame:
     p = build_postings(_numbered(spark, sf))
-    return p.select(F.col("doc").alias("doc_id"), "field", "term", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+    return p.select(F.col("doc").alias("doc_id"), "field", "term", "tf", _spelled("positions"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: (lambda q: lambda spark, sf: _hits(scan_hits(documents(spark, sf), q)))(q) for name, q in SEARCHES.items()}
-    out["index_search_and"] = _index_search(SEARCHES["search_and"], 1)
-    out["index_search_phrase"] = _index_search(SEARCHES["search_phrase"], 3)
-    out["flush_invariance"] = _index_search(SEARCHES["search_or"], 8)
-    out["merge_invariance"] = _index_search(SEARCHES["search_or"], 1)
+    out["index_build"] = _store_build
+    for name in ("search_and", "search_or", "search_phrase", "search_nested"):
+        out[f"index_{name}"] = _store_search(SEARCHES[name], "built")
+    out["index_search_top"] = _store_top
+    out["flush_invariance"] = _store_search(SEARCHES["search_or"], "flushed")
+    out["merge_invariance"] = _store_search(SEARCHES["search_or"], "merged")
+    out["merged_postings"] = _store_postings
+    out["delete_then_search"] = _store_search(SEARCHES["search_or"], "deleted")
+    out["store_stats"] = _store_stats
+    out["store_list"] = lambda spark, sf: _store(spark, sf, "deleted").list()
+    out["store_get"] = _store_get
     out["search_topk"] = lambda spark, sf: ranked(_hits(scan_hits(documents(spark, sf), TOP)), TOP_K)
     out["search_total"] = lambda spark, sf: scan_hits(documents(spark, sf), TOP).agg(F.count(F.lit(1)).alias("total"))
-    out["delete_then_search"] = lambda spark, sf: _hits(scan_hits(_live(spark, sf), SEARCHES["search_or"]))
     out["analyze_tokens"] = lambda spark, sf: with_tokens(documents(spark, sf)).select("id", *(F.array_join(f"{f}_tokens", " ").alias(f"{f}_tokens") for f in FIELDS))
     out["doc_lengths"] = lambda spark, sf: with_tokens(documents(spark, sf)).select("id", *(F.col(f"{f}_len").cast("long").alias(f"{f}_len") for f in FIELDS))
     out["postings"] = lambda spark, sf: _flat(spark, sf)
     out["term_frequency"] = lambda spark, sf: build_postings(_numbered(spark, sf)).groupBy("field", "term").agg(F.sum("tf").cast("long").alias("total_tf"))
     out["document_frequency"] = lambda spark, sf: document_frequency(build_postings(_numbered(spark, sf)))
-    out["corpus_stats"] = lambda spark, sf: corpus_stats(_index(spark, sf)[0]).select("documents", *(F.round(c, 6).alias(c) for c in ("avg_title", "avg_body")))
+    out["corpus_stats"] = lambda spark, sf: corpus_stats(stored_documents(_numbered(spark, sf))).select("documents", *(F.round(c, 6).alias(c) for c in ("avg_title", "avg_body")))
     out["index_stats"] = lambda spark, sf: build_postings(_numbered(spark, sf)).groupBy("field").agg(F.countDistinct("term").alias("terms"), F.countDistinct("doc").alias("docs"))
-    out["get_by_id"] = lambda spark, sf: documents(spark, sf).filter(F.col("id") == "11")
+    out["get_by_id"] = lambda spark, sf: documents(spark, sf, F.col("doc_id") == 11)
     out["list_docs"] = lambda spark, sf: documents(spark, sf).select("id", "title")
     out["snippet"] = lambda spark, sf: documents(spark, sf).select("id", snippet_column(F.col("body")).alias("snippet"))
     return out
@@ -147,15 +222,15 @@ def _node_sql(node) -> tuple[str, str, bool]:
     return "(" + " OR ".join(m for m, _, _ in positive) + ")", "(" + " + ".join(f"(CASE WHEN {m} THEN {s} ELSE 0.0::DOUBLE END)" for m, s, _ in positive) + ")", False
 
 
-def search_sql(query: str, where: str = "") -> str:
+def search_sql(query: str, where: str = "", shown: bool = False) -> str:
     m, s, negated = _node_sql(parse(query))
-    return f"WITH {_base(where)} SELECT id, round({s}, 6) AS score FROM t WHERE {'false' if negated else m}"
+    return f"WITH {_base(where)} SELECT id, {'title, body, ' if shown else ''}round({s}, 6) AS score FROM t WHERE {'false' if negated else m}"
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: search_sql(q) for name, q in SEARCHES.items()}
-    out["index_search_and"] = out["search_and"]
-    out["index_search_phrase"] = out["search_phrase"]
+    for name in ("search_and", "search_or", "search_phrase", "search_nested"):
+        out[f"index_{name}"] = out[name]
     out["flush_invariance"] = out["merge_invariance"] = search_sql(SEARCHES["search_or"])
     out["search_topk"] = f"SELECT * FROM ({search_sql(TOP)}) ORDER BY score DESC, id LIMIT {TOP_K}"
     out["search_total"] = f"SELECT count(*) AS total FROM ({search_sql(TOP)})"
@@ -168,7 +243,16 @@ def oracle_sql() -> dict[str, str]:
         f"p AS (SELECT CAST(id AS BIGINT) AS doc_id, field, term, least(count(*), {MAX_COUNT})::INTEGER AS tf, "
         f"coalesce(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE pos <= {MAX_COUNT}), '') AS positions FROM x GROUP BY id, field, term)"
     )
-    out["postings"] = f"WITH {rows} SELECT * FROM p"
+    out["postings"] = out["merged_postings"] = f"WITH {rows} SELECT * FROM p"
+    out["index_build"] = f"WITH {rows} SELECT field, count(*) AS postings, count(DISTINCT term) AS terms FROM p GROUP BY field"
+    out["index_search_top"] = f"SELECT t.id, t.title, length(t.body) AS body_chars, t.score FROM ({search_sql(TOP, shown=True)}) t ORDER BY score DESC, id LIMIT {TOP_K}"
+    live = "WHERE doc_id % 7 <> 0"
+    out["store_stats"] = (
+        f"WITH {rows} SELECT 1::BIGINT AS sealed_segments, 0::BIGINT AS active_docs, (SELECT count(*) FROM documents {live}) AS live_docs, "
+        "(SELECT count(*) FROM documents WHERE doc_id % 7 = 0) AS dead_docs, (SELECT count(*) FROM (SELECT DISTINCT field, term FROM p)) AS posting_lists"
+    )
+    out["store_list"] = f"WITH {_base(live)} SELECT id, title FROM t"
+    out["store_get"] = f"WITH {_base(live)} SELECT id, title, body FROM t WHERE id IN ('11', '14')"
     out["term_frequency"] = f"WITH {rows} SELECT field, term, CAST(sum(tf) AS BIGINT) AS total_tf FROM p GROUP BY field, term"
     out["document_frequency"] = f"WITH {rows} SELECT field, term, count(*) AS df FROM p GROUP BY field, term"
     out["corpus_stats"] = f"WITH {_base()} SELECT count(*) AS documents, round(avg(len(title_tokens)), 6) AS avg_title, round(avg(len(body_tokens)), 6) AS avg_body FROM t"

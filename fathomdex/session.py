@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 
@@ -23,6 +24,21 @@ def local_session(cpus: int | str = 8, partitions: int = 8) -> SparkSession:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as a path on a mounted file system;
+    in local mode, where none may be named, one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fathomdex-"))
+        found = spark.sparkContext.getCheckpointDir()
+    path = re.sub("^file:/+", "/", found)
+    if not path.startswith("/"):
+        raise RuntimeError(f"the store needs a mounted folder, not {found}")
+    return path
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to Python workers, unless they find it by themselves: through
     PYTHONPATH, or as the working folder. Once for each application."""

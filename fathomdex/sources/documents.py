@@ -11,7 +11,11 @@ def title_of(text: Column) -> Column:
     return F.substring(F.regexp_extract(text, r"^[^.\n]*", 0), 1, 80)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
+    """The documents table as id, title and body; where is a filter on the table's own columns,
+    so that it reaches the scan."""
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    if where is not None:
+        table = table.filter(where)
     text = F.coalesce(F.col("text"), F.lit(""))
     return table.select(F.col("doc_id").cast("string").alias("id"), title_of(text).alias("title"), text.alias("body"))
