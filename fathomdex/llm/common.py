@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,13 @@ _made: dict[str, list[str]] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where it names none."""
+    """The shared folder that the cluster names. In local mode, where all tasks share one
+    machine, a folder of our own if none is named; on a cluster that is an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
     if not (found := spark.sparkContext.getCheckpointDir()):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fathomdex-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -70,17 +74,20 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node it is linked with.
 
     Each round hangs a node and its smaller neighbours under the smallest of them, then
-    skips one level, so chains halve and stars are done at once. Every round is written to
-    the shared folder; only counts reach the driver.
+    skips one level, so chains halve and stars are done at once. Both joins go through
+    `lookup`, so a node with very many neighbours or children doesn't meet in one task.
+    Every round is written to the shared folder; only counts reach the driver.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = materialize(edges.select(low.alias("a"), high.alias("b")).filter("a < b").distinct(), f"{name}-edges")
     for _ in range(most_rounds):
-        parent = now.groupBy("b").agg(F.min("a").alias("p"), F.count(F.lit(1)).alias("n"))
+        parent = materialize(now.groupBy("b").agg(F.min("a").alias("p"), F.count(F.lit(1)).alias("n")), f"{name}-parents")
+        nodes, total = parent.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         above = parent.select(F.col("b").alias("p"), F.col("p").alias("q"))
-        tree = parent.join(above, "p", "left").select(F.coalesce("q", "p").alias("a"), "b", F.col("q").isNotNull().alias("moved"))
-        many = parent.filter("n > 1").select("b", "p")
-        rest = now.join(many, "b").filter("a > p").select(F.col("p").alias("a"), F.col("a").alias("b"), F.lit(True).alias("moved"))
+        above = parent.groupBy("p").agg(F.count(F.lit(1)).alias("children")).join(above.hint("merge"), "p", "left")
+        above = materialize(above, f"{name}-above")
+        tree = lookup(parent, above, "p", "children", nodes).select(F.coalesce("q", "p").alias("a"), "b", F.col("q").isNotNull().alias("moved"))
+        rest = lookup(now.select("a", "b"), parent.filter("n > 1"), "b", "n", total).filter("a > p").select(F.col("p").alias("a"), F.col("a").alias("b"), F.lit(True).alias("moved"))
         then = tree.unionByName(rest).groupBy("a", "b").agg(F.max("moved").alias("moved"))
         now = materialize(then, f"{name}-round")
         if not now.filter("moved").head(1):

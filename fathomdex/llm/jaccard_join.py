@@ -4,42 +4,47 @@ Jaccard distance is a metric, so pivots, Voronoi regions and triangle-inequality
 apply. Unrelated documents are all at distance one from each other, which no choice of
 document pivots can tell apart, so a first level narrows them down by the same metric seen
 in slices: the shingle universe is dealt by hash over more slices than two linked sets can
-have differing shingles, so in some slice they are at distance zero. Documents whose slices
-are equal, that is, whose nearest point in the slice is the same, share a cell; sets of
-sizes that lie across the bound of two size classes are copied to the cells of both.
-
-Slices that hold little but a common passage bring unrelated documents together. A second
-metric tells those apart: counts of shingles by hash, one for each few shingles, differ by
-no more than the sets do. Pairs of small cells stay if that bound lets them link; in a large
-cell every document is compared with leaders, is tied to each within one and a half times
-the bound, and becomes a leader itself unless it is within half the bound of one, which by
-the triangle inequality ties all that can link. The components of these ties are the
-candidate regions, which hold every link inside.
-
-Within a region the second level has document pivots: those within the radius of a pivot are
-linked with it; of the rest, those within twice the radius are also compared with them;
-those farther away can't link with them, and are joined recursively. Regions too large for
-one task are first cut into the Voronoi cells of several pivots, with windows of twice the
-radius, and cells too large are joined part by part, every pair of parts in a task of its
-own; documents inside a pivot's radius need not be compared with each other, so a large
-group of near copies is one star.
-
-Documents of equal sets are joined as one. Links that connect the same components as all
-links are given; no link between different components is lost.
+have differing shingles, so in some slice they are at distance zero. Sets whose slices are
+equal, that is, whose nearest point in the slice is the same, share a cell; sets of sizes
+that lie across the bound of two size classes are copied to the cells of both.
+
+Cells, second level. Counts of shingles by hash, one for each few shingles, differ by no
+more than the sets do, so their L1 distance is a metric that bounds the other from below. Pairs of
+small cells stay if that bound lets them link. In a large cell about PIVOTS sets, drawn by
+hash, are pivots, and every set is compared with these only, a chunk of the cell to a task:
+it is tied to each pivot within one and a half times the bound (the window of a pivot's
+region). Sets within half the bound of a pivot are done, since by the triangle inequality
+all that can link with them is tied to it too. The others, unless their ties hold them
+together as it is, are dealt over slices anew, within their cell, and joined recursively.
+The components of all ties are the candidate regions, which hold every link inside.
+
+Regions, third level. Exact Jaccard distances to the region's pivots (one for each PART of
+shingles) put each document in its Voronoi cell and in every cell whose window of twice the
+radius it lies in. Documents within the radius of their pivot are linked with it, and a
+cell that holds no others is done. The rest is joined recursively in one task: those within
+the radius of a pivot are linked with it; of the rest, those within twice the radius are
+also compared with them; those farther away can't link with them. Cells too large for a
+task are joined part by part, every pair of parts in a task of its own.
+
+Documents of equal sets are one set to all levels. Links that connect the same components
+as all links are given; no link between different components is lost. Sets are equal if
+their size and two independent 64-bit sums are.
 
 Defined results: null or blank text has an empty set and links with nothing; a null id
 passes through with a null component. Ids are taken as unique; repeated rows have equal sets
-and so the same component. An empty table gives no rows.
+and so the same component. An empty table gives no rows. Only the id and text columns are
+read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomdex.llm.common import components, lookup, materialize
@@ -49,11 +54,15 @@ WIDTH = 4
 NUM, DEN = 85, 100
 #: Shingles that a task holds at once, from each of two parts.
 PART = 2_000_000
-PIVOTS = 4
+#: About so many pivots for a large cell, and so many at most for a region.
+PIVOTS = 32
+#: Sets of a large cell that are compared with its pivots in one task.
+CHUNK = 4_096
 SMALL_CELL = 16
 HELD_ROWS = 100_000
 #: Shingles for each count of the second metric.
 PER_COUNT = 8
+_NO_LABEL = np.iinfo(np.int64).min
 
 
 class Rule(NamedTuple):
@@ -85,36 +94,71 @@ def _digest(s: np.ndarray) -> bytes:
     return np.array([one, two, np.uint64(len(s))], dtype="<u8").tobytes()
 
 
+def _key(s: np.ndarray) -> int:
+    """A number for the set. Different sets of one number would share candidates, no more."""
+    return int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64))
+
+
 def _describe(batches: Iterator[pd.DataFrame], rule: Rule = RULE) -> Iterator[pd.DataFrame]:
-    """Size, digest and counts of each document's set."""
+    """Size, digest, key and counts of each document's set."""
     for batch in batches:
         out = []
         for i, s in zip(batch["doc_id"], shingle_sets(list(batch["text"]), rule.width), strict=True):
             tops = classes_of(len(s), rule)
-            out.append((i, len(s), _digest(s), *(counts_of(s, tops[k], rule) if k < len(tops) else None for k in (0, 1))))
-        yield pd.DataFrame(out, columns=["doc_id", "n", "digest", "counts_own", "counts_next"])
+            digest = _digest(s)
+            key = int(np.frombuffer(digest, dtype="<i8", count=1)[0])
+            out.append((i, len(s), digest, key, *(counts_of(s, tops[k], rule) if k < len(tops) else None for k in (0, 1))))
+        yield pd.DataFrame(out, columns=["doc_id", "n", "digest", "key", "counts_own", "counts_next"])
+
+
+class _CellRows:
+    """Gathers rows of cells and hands them on in frames of a bounded size."""
+
+    def __init__(self) -> None:
+        self.cells: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = []
+        self.own: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, cells: np.ndarray, key: int, own: bool) -> None:
+        self.cells.append(cells)
+        self.keys.append(np.full(len(cells), key, dtype=np.int64))
+        self.own.append(np.full(len(cells), own))
+        self.held += len(cells)
+
+    def frames(self, least: int = HELD_ROWS) -> Iterator[pd.DataFrame]:
+        if self.held > least:
+            yield pd.DataFrame({"cell": np.concatenate(self.cells).view(np.int64), "key": np.concatenate(self.keys), "own": np.concatenate(self.own)})
+            self.__init__()
 
 
 def _cell_rows(batches: Iterator[pd.DataFrame], rule: Rule = RULE) -> Iterator[pd.DataFrame]:
-    """A row for each cell that a document is in; own is false in the cells of the next class."""
+    """A row for each cell that a set is in; own is false in the cells of the next class."""
+    rows = _CellRows()
     for batch in batches:
-        ids, cells, own, held = [], [], [], 0
-        for i, s in zip(batch["doc_id"], shingle_sets(list(batch["text"]), rule.width), strict=True):
-            for k, top in enumerate(classes_of(len(s), rule)):
-                c = cells_of(s, top, rule)
-                ids.append(np.full(len(c), i, dtype=np.int64))
-                cells.append(c)
-                own.append(np.full(len(c), k == 0))
-                held += len(c)
-            if held > HELD_ROWS:
-                yield _cell_frame(cells, ids, own)
-                ids, cells, own, held = [], [], [], 0
-        if cells:
-            yield _cell_frame(cells, ids, own)
+        for s in shingle_sets(list(batch["text"]), rule.width):
+            tops = classes_of(len(s), rule)
+            key = _key(s) if tops else 0
+            for k, top in enumerate(tops):
+                rows.add(cells_of(s, top, rule), key, k == 0)
+            yield from rows.frames()
+    yield from rows.frames(0)
 
 
-def _cell_frame(cells: list[np.ndarray], ids: list[np.ndarray], own: list[np.ndarray]) -> pd.DataFrame:
-    return pd.DataFrame({"cell": np.concatenate(cells).view(np.int64), "doc_id": np.concatenate(ids), "own": np.concatenate(own)})
+def _again_rows(batches: Iterator[pd.DataFrame], rule: Rule, turn: int) -> Iterator[pd.DataFrame]:
+    """The cells, within each cell of places, of a set dealt over slices by another hash."""
+    rows = _CellRows()
+    for batch in batches:
+        for places, s in zip(batch["places"], shingle_sets(list(batch["text"]), rule.width), strict=True):
+            tops = classes_of(len(s), rule)
+            key, dealt = _key(s), {}
+            for place in places:
+                own = bool(place["own"])
+                if own not in dealt:
+                    dealt[own] = cells_of(s, tops[0 if own else 1], rule, turn)
+                rows.add(mix(dealt[own] ^ mix(np.array([place["cell"]], dtype=np.int64).view(np.uint64))), key, own)
+                yield from rows.frames()
+    yield from rows.frames(0)
 
 
 def class_bounds(n: int, rule: Rule = RULE) -> tuple[int, int]:
@@ -145,12 +189,14 @@ def classes_of(n: int, rule: Rule = RULE) -> list[int]:
     return [high, high + high // 2] if rule.den * n >= rule.num * high else [high]
 
 
-def cells_of(s: np.ndarray, top: int, rule: Rule = RULE) -> np.ndarray:
+def cells_of(s: np.ndarray, top: int, rule: Rule = RULE, turn: int = 0) -> np.ndarray:
     """The cells of a set in a class: one number for each slice that isn't empty.
 
-    A set with more empty slices than its class spares also goes to the cells of those.
+    A set with more empty slices than its class spares also goes to the cells of those. turn
+    chooses the hash that deals shingles over slices.
     """
-    spread, value = mix(s ^ np.uint64(0x2545F4914F6CDD1D)), mix(s ^ np.uint64(0x9FB21C651E98DF25))
+    by = np.uint64((0x2545F4914F6CDD1D + turn * 0x9E3779B97F4A7C15) % (1 << 64))
+    spread, value = mix(s ^ by), mix(s ^ np.uint64(0x9FB21C651E98DF25))
     count, spare = slices(top, rule)
     place = (spread % np.uint64(count)).astype(np.int64)
     order = np.argsort(place, kind="stable")
@@ -175,17 +221,38 @@ def most_apart(a, b, rule: Rule = RULE):
     return (rule.den - rule.num) * (a + b) // (rule.den + rule.num)
 
 
+def _grouped(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """Batches cut anew so that rows in a row of equal `by` stay in one frame."""
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        now = batch if held is None else pd.concat((held, batch), ignore_index=True)
+        if not len(now):
+            continue
+        last = np.ones(len(now), dtype=bool)
+        for c in by:
+            last &= (now[c] == now[c].iloc[-1]).to_numpy()
+        cut = int(np.argmax(last))
+        if cut:
+            yield now.iloc[:cut]
+        held = now.iloc[cut:]
+    if held is not None and len(held):
+        yield held
+
+
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of small cells, and the rows (cell in a, document in b) of large ones.
+    """Pairs of small cells, and the rows (cell in a, set in b) of large ones.
 
-    Rows come sorted by cell and id, a cell in one task; cells of one document give nothing.
+    Rows come sorted by cell and key, a cell in one task; cells of one set give nothing.
     """
     held: pd.DataFrame | None = None
     for batch in batches:
         now = batch if held is None else pd.concat((held, batch), ignore_index=True)
-        cell = now["cell"].to_numpy()
+        cell, key = now["cell"].to_numpy(), now["key"].to_numpy()
         if not len(cell):
             continue
+        new = np.r_[True, (cell[1:] != cell[:-1]) | (key[1:] != key[:-1])]
+        if not new.all():  # documents of equal sets
+            now, cell = now[new], cell[new]
         cut = int(np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])[-1])
         if cut:
             yield from _met(now.iloc[:cut])
@@ -198,13 +265,13 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _met(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    cell, doc, own = (rows[c].to_numpy() for c in ("cell", "doc_id", "own"))
+    cell, key, own = (rows[c].to_numpy() for c in ("cell", "key", "own"))
     first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     count = np.diff(np.r_[first, len(cell)])
     members = np.repeat(count, count)
     large = members > SMALL_CELL
     if large.any():
-        yield pd.DataFrame({"a": cell[large], "b": doc[large], "own_a": own[large], "own_b": own[large], "large": True})
+        yield pd.DataFrame({"a": cell[large], "b": key[large], "own_a": own[large], "own_b": own[large], "large": True})
     small = np.flatnonzero((members > 1) & ~large)
     ends = np.repeat(np.r_[first[1:], len(cell)], count)
     out = []
@@ -212,10 +279,10 @@ def _met(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         at = small[small + k < ends[small]]
         if not len(at):
             break
-        out.append(pd.DataFrame({"a": doc[at], "b": doc[at + k], "own_a": own[at], "own_b": own[at + k], "large": False}))
+        at = at[own[at] | own[at + k]]  # two of the class before meet in their own cells
+        out.append(pd.DataFrame({"a": key[at], "b": key[at + k], "own_a": own[at], "own_b": own[at + k], "large": False}))
     if out:
-        found = pd.concat(out)
-        yield found[found["a"] != found["b"]].drop_duplicates()
+        yield pd.concat(out).drop_duplicates()
 
 
 def _close(batches: Iterator[pd.DataFrame], rule: Rule = RULE) -> Iterator[pd.DataFrame]:
@@ -231,11 +298,8 @@ def _close(batches: Iterator[pd.DataFrame], rule: Rule = RULE) -> Iterator[pd.Da
 class _Joined:
     """Which of some numbered things are tied already."""
 
-    def __init__(self) -> None:
-        self.up: list[int] = []
-
-    def add(self) -> None:
-        self.up.append(len(self.up))
+    def __init__(self, many: int = 0) -> None:
+        self.up = list(range(many))
 
     def find(self, x: int) -> int:
         while self.up[x] != x:
@@ -249,94 +313,201 @@ class _Joined:
         return x != y
 
 
-def _leaders(batches: Iterator[pd.DataFrame], rule: Rule = RULE) -> Iterator[pd.DataFrame]:
-    """Ties of the documents of large cells, one for each document and one for each two groups
-    of leaders that it brings together; rows come sorted by cell, a cell in one task."""
-    now, ids, counts, joined = None, [], np.zeros((0, 0), dtype=np.int16), _Joined()
-    used = bound = 0
-    for batch in batches:
-        ties = []
-        for cell, doc, n, x in zip(batch["cell"], batch["doc_id"], batch["n"], batch["counts"], strict=True):
-            x = np.frombuffer(x, dtype=np.uint8).astype(np.int16)
-            if cell != now:
-                now, ids, used, joined = cell, [], 0, _Joined()
-                counts = np.zeros((16, len(x)), dtype=np.int16)
-                # every size of the class lies below its upper bound
-                bound = most_apart(len(x) * rule.per_count, len(x) * rule.per_count, rule)
-            apart = np.abs(counts[:used] - x).sum(axis=1)
-            near = np.flatnonzero(2 * apart <= 3 * bound).tolist()
-            ties += [(ids[k], doc) for k in near if (k == near[0] or joined.tie(near[0], k)) and ids[k] != doc]
-            if not (2 * apart <= bound).any():
-                if used == len(counts):
-                    counts = np.concatenate((counts, np.zeros_like(counts)))
-                counts[used] = x
-                used += 1
-                ids.append(doc)
-                joined.add()
-                if near:
-                    joined.tie(near[0], used - 1)
-        if ties:
-            yield pd.DataFrame(ties, columns=["a", "b"]).drop_duplicates()
-
-
-def candidate_ties(docs: DataFrame, described: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """Ties (a, b) whose components hold all linked documents together."""
-    cells = docs.filter("doc_id IS NOT NULL").mapInPandas(lambda batches: _cell_rows(batches, rule), "cell long, doc_id long, own boolean")
-    met = cells.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInPandas(_meet, "a long, b long, own_a boolean, own_b boolean, large boolean")
-    met = materialize(met.distinct(), "met")
-    both = F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("counts_own").alias("counts")), F.struct(F.lit(False).alias("own"), F.col("counts_next").alias("counts"))))
-    known = described.filter("doc_id IS NOT NULL").select("doc_id", "n", both.alias("x")).select("doc_id", "n", "x.own", "x.counts").filter("counts IS NOT NULL")
-    known = known.dropDuplicates(["doc_id", "own"])
+def _tied(batches: Iterator[pd.DataFrame], rule: Rule = RULE) -> Iterator[pd.DataFrame]:
+    """Ties (a, b) of the sets of large cells to pivots, and rows (cell in a, set in b, again)
+    of sets that lie in no pivot's inner half. Rows come sorted by cell and chunk, pivots
+    first; a chunk is in one task and of a bounded size."""
+    for rows in _grouped(batches, ["cell", "chunk"]):
+        cells, chunks = rows["cell"].to_numpy(), rows["chunk"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]) | (chunks[1:] != chunks[:-1])])
+        keys, pivot, own, counts = rows["key"].to_numpy(), rows["pivot"].to_numpy(), rows["own"].to_numpy(), rows["counts"].to_numpy()
+        ties, again = [], []
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+            many = int(pivot[i:j].sum())
+            all_counts = np.frombuffer(b"".join(counts[i:j]), dtype=np.uint8).reshape(j - i, -1).astype(np.int16)
+            members = keys[i + many : j]
+            # every size of the class lies below its upper bound
+            most = all_counts.shape[1] * rule.per_count
+            bound = most_apart(most, most, rule)
+            near, core = _windows(all_counts[many:], all_counts[:many], bound)
+            p = keys[i : i + many]
+            group = _Joined(many)
+            between = _windows(all_counts[:many], all_counts[:many], bound)[0]
+            for x, y in zip(*np.nonzero(np.triu(between, 1)), strict=True):
+                group.tie(int(x), int(y))
+            root = np.array([group.find(x) for x in range(many)], dtype=np.int64)
+            label = p[root] if many else p
+            joined = _Joined(many)
+            some = near.any(axis=1)
+            first = near.argmax(axis=1) if many else np.zeros(len(members), dtype=np.int64)
+            ties.append(np.stack((p[first[some]], members[some])))
+            shared = np.triu(near.T.astype(np.float32) @ near.astype(np.float32) > 0, 1)
+            more = [(p[x], p[y]) for x, y in zip(*np.nonzero(shared), strict=True) if joined.tie(int(x), int(y))]
+            if more:
+                ties.append(np.array(more, dtype=np.int64).T)
+            left = np.flatnonzero(~core)
+            if len(left):
+                mine = np.where(some[left], label[first[left]], _NO_LABEL) if many else np.full(len(left), _NO_LABEL)
+                again.append((np.full(len(left), cells[i]), members[left], own[i + many : j][left], mine))
+        a, b = np.concatenate(ties, axis=1)
+        out = pd.DataFrame({"a": a, "b": b})
+        yield out[out["a"] != out["b"]].drop_duplicates().assign(own=False, label=_NO_LABEL, again=False)
+        if again:
+            a, b, o, mine = (np.concatenate(x) for x in zip(*again, strict=True))
+            yield pd.DataFrame({"a": a, "b": b, "own": o, "label": mine, "again": True})
+
+
+def _windows(x: np.ndarray, pivots: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, which pivots lie within one and a half times the bound, and whether any lies within half of it."""
+    near, core = np.zeros((len(x), len(pivots)), dtype=bool), np.zeros(len(x), dtype=bool)
+    if not len(pivots):
+        return near, core
+    step = max(1, 2_000_000 // max(1, pivots.size))
+    for k in range(0, len(x), step):
+        apart = np.abs(x[k : k + step, None, :] - pivots[None]).sum(axis=2, dtype=np.int32)
+        near[k : k + step] = 2 * apart <= 3 * bound
+        core[k : k + step] = (2 * apart <= bound).any(axis=1)
+    return near, core
+
+
+def _copies(home: Column, parts: Column, pivot: Column) -> Column:
+    """Where a row goes: a member to its own part, a pivot also to every part as a pivot."""
+    member = F.array(F.struct(home.cast("int").alias("chunk"), F.lit(False).alias("pivot")))
+    every = F.transform(F.sequence(F.lit(0), parts.cast("int") - 1), lambda c: F.struct(c.alias("chunk"), F.lit(True).alias("pivot")))
+    return F.explode(F.when(pivot, F.concat(member, every)).otherwise(member))
+
+
+def _draw(*cols) -> Column:
+    """A number from 0 to 1 by hash."""
+    return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(1 << 30)
+
+
+def _meeting(cells: DataFrame, known: DataFrame, rule: Rule, turn: int) -> tuple[DataFrame, DataFrame | None]:
+    """Ties among sets that share cells (cell, key, own), and the rows that are to be dealt anew."""
+    name = f"met-{turn}"
+    met = cells.repartition("cell").sortWithinPartitions("cell", "key").mapInPandas(_meet, "a long, b long, own_a boolean, own_b boolean, large boolean")
+    met = materialize(met.distinct(), name)
 
     def side(s: str) -> DataFrame:
-        return known.select(F.col("doc_id").alias(s), F.col("own").alias(f"own_{s}"), F.col("n").alias(f"n_{s}"), F.col("counts").alias(f"counts_{s}")).hint("merge")
-
-    pairs = met.filter("NOT large").join(side("a"), ["a", "own_a"]).join(side("b"), ["b", "own_b"]).mapInPandas(lambda batches: _close(batches, rule), "a long, b long")
-    large = met.filter("large").select(F.col("a").alias("cell"), F.col("b").alias("doc_id"), F.col("own_b").alias("own")).join(known.hint("merge"), ["doc_id", "own"])
-    tied = large.select("cell", "doc_id", "n", "counts").repartition("cell").sortWithinPartitions("cell", "doc_id").mapInPandas(lambda batches: _leaders(batches, rule), "a long, b long")
-    return pairs.unionByName(tied)
-
-
-def shared_counts(flat: np.ndarray, starts: np.ndarray, pivot: np.ndarray) -> np.ndarray:
-    """How many shingles of the pivot each set has; sets lie end to end in flat."""
-    at = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
-    return np.add.reduceat((pivot[at] == flat).astype(np.int64), starts)
+        return known.select(F.col("key").alias(s), F.col("own").alias(f"own_{s}"), F.col("n").alias(f"n_{s}"), F.col("counts").alias(f"counts_{s}")).hint("merge")
+
+    pairs = met.filter("NOT large").join(side("a"), ["a", "own_a"]).join(side("b"), ["b", "own_b"]).mapInPandas(partial(_close, rule=rule), "a long, b long")
+    large = met.filter("large").select(F.col("a").alias("cell"), F.col("b").alias("key"), F.col("own_b").alias("own"))
+    sizes = materialize(large.groupBy("cell").agg(F.count(F.lit(1)).alias("size")), f"{name}-sizes")
+    total = sizes.agg(F.sum("size")).first()[0]
+    if not total:
+        return pairs, None
+    rows = lookup(large, sizes, "cell", "size", total).join(known.hint("merge"), ["key", "own"])
+    chunks = F.ceil(F.col("size") / CHUNK)
+    to = _copies(F.pmod(F.xxhash64("key"), chunks), chunks, _draw(F.lit(turn), "key") * F.col("size") < PIVOTS)
+    rows = rows.select("cell", "key", "own", "counts", to.alias("to")).select("cell", "to.chunk", "to.pivot", "key", "own", "counts")
+    rows = rows.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", F.desc("pivot"), "key")
+    tied = materialize(rows.mapInPandas(partial(_tied, rule=rule), "a long, b long, own boolean, label long, again boolean"), f"{name}-tied")
+    again = tied.filter("again").select(F.col("a").alias("cell"), F.col("b").alias("key"), "own", "label")
+    # Sets of a cell that ties to the same group of pivots hold together need no more.
+    apart = again.groupBy("cell").agg(F.count(F.lit(1)).alias("left"), F.min("label").alias("low"), F.max("label").alias("high"))
+    apart = materialize(apart.filter((F.col("left") > 1) & ((F.col("low") < F.col("high")) | (F.col("low") == _NO_LABEL))).select("cell", "left"), f"{name}-apart")
+    total = apart.agg(F.sum("left")).first()[0]
+    again = lookup(again, apart, "cell", "left", total).select("cell", "key", "own") if total else None
+    return pairs.unionByName(tied.filter("NOT again").select("a", "b")), again
+
+
+def candidate_ties(docs: DataFrame, described: DataFrame, sets: DataFrame, rule: Rule = RULE) -> DataFrame:
+    """Ties (a, b) between the keys of sets, whose components hold all linked sets together."""
+    both = F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("counts_own").alias("counts")), F.struct(F.lit(False).alias("own"), F.col("counts_next").alias("counts"))))
+    known = described.filter("doc_id IS NOT NULL").select("key", "n", both.alias("x")).select("key", "n", "x.own", "x.counts").filter("counts IS NOT NULL")
+    known = materialize(known.dropDuplicates(["key", "own"]), "counts")
+    cells = docs.filter("doc_id IS NOT NULL").select("text").mapInPandas(partial(_cell_rows, rule=rule), "cell long, key long, own boolean")
+    ties, again = _meeting(cells, known, rule, 0)
+    turn = 0
+    while again is not None:
+        turn += 1
+        places = again.groupBy("key").agg(F.collect_set(F.struct("cell", "own")).alias("places"))  # no more than a set has slices
+        places = places.join(sets.select("key", F.col("node").alias("doc_id")).hint("merge"), "key").select("doc_id", "places")
+        texts = docs.join(places.hint("merge"), "doc_id").select("text", "places")
+        cells = texts.mapInPandas(partial(_again_rows, rule=rule, turn=turn), "cell long, key long, own boolean")
+        more, again = _meeting(cells, known, rule, turn)
+        ties = ties.unionByName(more)
+    return ties
+
+
+class _Region:
+    """Sets with an index of their shingles, the rarest first for each."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        flat = np.concatenate(sets)
+        of = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
+        by = np.argsort(flat, kind="stable")
+        ordered = flat[by]
+        self.first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        self.many = np.diff(np.r_[self.first, len(flat)])
+        self.postings = of[by]
+        self.number = np.empty(len(flat), dtype=np.int32)
+        self.number[by] = np.repeat(np.arange(len(self.first), dtype=np.int32), self.many)
+        self.rarest = self.number[np.lexsort((self.many[self.number], of))]
+        self.mark = np.zeros(len(self.first), dtype=bool)
+
+    def meeting(self, x: int, least: int) -> np.ndarray:
+        """Sets that may share `least` shingles with x: all that do are in it."""
+        rare = self.rarest[self.starts[x] : self.starts[x] + self.sizes[x] - least + 1]
+        many = self.many[rare]
+        at = np.repeat(self.first[rare] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return np.unique(self.postings[at])
+
+    def shared(self, x: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles of x each of these has."""
+        mine = self.number[self.starts[x] : self.starts[x] + self.sizes[x]]
+        self.mark[mine] = True
+        many = self.sizes[others]
+        begin = np.cumsum(many) - many
+        at = np.repeat(self.starts[others] - begin, many) + np.arange(many.sum())
+        both = np.add.reduceat(self.mark[self.number[at]].astype(np.int64), begin)
+        self.mark[mine] = False
+        return both
 
 
 def star_links(ids: np.ndarray, sets: list[np.ndarray], rule: Rule = RULE) -> list[tuple[int, int]]:
-    """Links among these documents, enough to connect what all links connect."""
+    """Links among these documents, enough to connect what all links connect.
+
+    Each document that is left is a pivot in turn, the largest first. Distances to it are
+    counted for those that an index of the rarest shingles lets lie within twice the radius.
+    """
     order = sorted(range(len(sets)), key=lambda i: (-len(sets[i]), ids[i]))
-    ids, sets = ids[order], [sets[i] for i in order]
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    ids, region = ids[order], _Region([sets[i] for i in order])
+    sizes = region.sizes
     out: list[tuple[int, int]] = []
-    joined = _Joined()
-    for _ in sets:
-        joined.add()
-    left = np.arange(len(sets))
-    flat, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
-    while len(left) > 1:
-        p = int(left[0])
-        both = shared_counts(flat, starts, sets[p])
-        near = linked(both, sizes[left], sizes[p], rule)
-        union = sizes[left] + sizes[p] - both
-        ring = ~near & (rule.den * both >= (2 * rule.num - rule.den) * union)  # within twice the radius
-        core = left[near & (left != p)]
+    joined, left, is_core = _Joined(len(ids)), np.ones(len(ids), dtype=bool), np.zeros(len(ids), dtype=bool)
+    wide = 2 * rule.num - rule.den
+    for p in range(len(ids)):
+        if not left[p]:
+            continue
+        left[p] = False
+        others = region.meeting(p, -(-wide * int(sizes[p]) // rule.den))
+        others = others[left[others]]
+        if not len(others):
+            continue
+        both = region.shared(p, others)
+        near = linked(both, sizes[others], sizes[p], rule)
+        ring = others[~near & (rule.den * both >= wide * (sizes[others] + sizes[p] - both))]
+        core = others[near]
+        left[core] = False
         out += [(int(ids[p]), int(ids[x])) for x in core.tolist() if joined.tie(p, x)]
-        if len(core) and ring.any():
-            core_flat = np.concatenate([sets[x] for x in core])
-            core_starts = np.cumsum(sizes[core]) - sizes[core]
-            for y in left[ring].tolist():
-                if joined.find(y) == joined.find(p):
-                    continue
-                hit = linked(shared_counts(core_flat, core_starts, sets[y]), sizes[core], sizes[y], rule)
+        if not len(core):
+            continue
+        is_core[core] = True
+        for y in ring.tolist():
+            if joined.find(y) == joined.find(p):
+                continue
+            close = region.meeting(y, -(-rule.num * int(sizes[y]) // rule.den))
+            close = close[is_core[close]]
+            if len(close):
+                hit = linked(region.shared(y, close), sizes[close], sizes[y], rule)
                 if hit.any():
                     joined.tie(p, y)
-                    out.append((int(ids[y]), int(ids[core[np.argmax(hit)]])))
-        rest = ~near
-        rest[0] = False
-        keep = np.repeat(rest, sizes[left])
-        flat, left = flat[keep], left[rest]
-        starts = np.cumsum(sizes[left]) - sizes[left]
+                    out.append((int(ids[y]), int(ids[close[np.argmax(hit)]])))
+        is_core[core] = False
     return out
 
 
@@ -347,59 +518,71 @@ def _join_part(group: pd.DataFrame, rule: Rule = RULE) -> pd.DataFrame:
 
 
 def _voronoi(batches: Iterator[pd.DataFrame], rule: Rule = RULE) -> Iterator[pd.DataFrame]:
-    """Rows of each document for its cell and for every cell whose window it lies in."""
+    """Rows of each document for its cell and for every cell whose window it lies in. Rows
+    come sorted by region and chunk, pivots first."""
+    names = ["region", "cell", "pivot_id", "doc_id", "n", "inside"]
+    at, pivots = None, []
     for batch in batches:
         out = []
-        for i, n, region, text, pivot_ids, pivots in zip(*(batch[c] for c in ("doc_id", "n", "region", "text", "pivot_ids", "pivots")), strict=True):
-            s, *ps = shingle_sets([text, *pivots], rule.width)
-            both = np.array([np.isin(p, s, assume_unique=True).sum() for p in ps])
-            far = 1.0 - both / (np.array([len(p) for p in ps]) + len(s) - both)
-            for k in np.flatnonzero(far <= far.min() + 2.0 * (1.0 - rule.num / rule.den) + 1e-9):
-                inside = bool(linked(both[k], len(ps[k]), len(s), rule))
-                out.append((i, n, region, int(k), inside, int(pivot_ids[k])))
-        yield pd.DataFrame(out, columns=["doc_id", "n", "region", "cell", "inside", "pivot_id"])
+        sets = shingle_sets(list(batch["text"]), rule.width)
+        for region, chunk, pivot, i, n, s in zip(*(batch[c] for c in ("region", "chunk", "pivot", "doc_id", "n")), sets, strict=True):
+            if (region, chunk) != at:
+                at, pivots = (region, chunk), []
+            if pivot:
+                pivots.append((i, s.copy()))
+                continue
+            sizes = np.array([len(p) for _, p in pivots])
+            both = np.array([(p[np.minimum(np.searchsorted(p, s), len(p) - 1)] == s).sum() for _, p in pivots])
+            far = 1.0 - both / (sizes + len(s) - both)
+            for k in np.flatnonzero(far <= far.min() + 2.0 * (1.0 - rule.num / rule.den) + 1e-9).tolist():
+                out.append((region, k, pivots[k][0], i, n, bool(linked(both[k], sizes[k], len(s), rule))))
+        yield pd.DataFrame(out, columns=names)
 
 
 def similar_links(docs: DataFrame, described: DataFrame, sets: DataFrame, part: int = PART, rule: Rule = RULE) -> DataFrame:
     """Links (a, b) between documents (doc_id, text) of different sets; sets: one row
-    (node, n) for each distinct set, node its smallest id."""
-    regions = components(candidate_ties(docs, described, rule), "candidates").withColumnsRenamed({"node": "doc_id", "root": "region"})
-    members = regions.join(sets.select(F.col("node").alias("doc_id"), "n").hint("merge"), "doc_id")
-    members = materialize(docs.select("doc_id", "text").join(members.hint("merge"), "doc_id"), "members")
-    weights = materialize(members.groupBy("region").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("docs")), "weights")
-    large = weights.filter(F.col("weight") > part)
-    small = members.join(large.select("region"), "region", "left_anti").select(F.col("region").alias("key"), "doc_id", "text")
-    links = small.groupBy("key").applyInPandas(lambda group: _join_part(group, rule), "a long, b long")
-    if not large.head(1):
-        return links
-    whole = members.join(large.select("region", "docs"), "region")
-    order = F.xxhash64(F.lit("pivot"), "doc_id")
-    chosen = whole.filter(F.abs(order % 1_000_003).cast("double") * F.col("docs") < 1_000_003.0 * 4 * PIVOTS)
-    few = F.slice(F.sort_array(F.collect_list(F.struct(order.alias("o"), "doc_id", "text"))), 1, PIVOTS)
-    pivots = chosen.groupBy("region").agg(few.alias("p")).select("region", F.col("p.doc_id").alias("pivot_ids"), F.col("p.text").alias("pivots"))
-    placed = whole.join(pivots, "region").mapInPandas(lambda batches: _voronoi(batches, rule), "doc_id long, n long, region long, cell int, inside boolean, pivot_id long")
+    (key, node, n) for each distinct set, node its smallest id."""
+    regions = components(candidate_ties(docs, described, sets, rule), "candidates").withColumnsRenamed({"node": "key", "root": "region"})
+    members = materialize(regions.join(sets.select("key", F.col("node").alias("doc_id"), "n").hint("merge"), "key").drop("key"), "members")
+    weights = members.groupBy("region").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"))
+    weights = materialize(weights.filter("docs > 1"), "weights")
+    total = weights.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+    parts = F.ceil(F.col("weight") / part)
+    more = F.least(parts - 1, F.lit(PIVOTS - 1))  # besides the first document
+    pivot = (F.col("doc_id") == F.col("first")) | (_draw(F.lit("pivot"), "doc_id") * F.col("docs") < more)
+    placed = lookup(members, weights, "region", "docs", total)
+    placed = placed.select("region", "doc_id", "n", parts.alias("parts"), pivot.alias("pivot"))
+    placed = docs.select("doc_id", "text").join(placed.hint("merge"), "doc_id")
+    to = _copies(F.pmod(F.xxhash64("doc_id"), "parts"), F.col("parts"), F.col("pivot"))
+    placed = placed.select("region", "doc_id", "n", "text", to.alias("to")).select("region", "to.chunk", "to.pivot", "doc_id", "n", "text")
+    placed = placed.repartition("region", "chunk").sortWithinPartitions("region", "chunk", F.desc("pivot"), "doc_id")
+    placed = placed.mapInPandas(partial(_voronoi, rule=rule), "region long, cell int, pivot_id long, doc_id long, n long, inside boolean")
     placed = materialize(placed, "voronoi")
     spokes = placed.filter("inside AND doc_id != pivot_id").select(F.col("pivot_id").alias("a"), F.col("doc_id").alias("b"))
-    parts = placed.groupBy("region", "cell", "inside").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts"))
-    outside = parts.filter("NOT inside").select("region", "cell", F.col("parts").alias("out_parts"))
-    inside = parts.filter("inside").select("region", "cell", F.col("parts").alias("in_parts"))
-    plan = outside.join(inside, ["region", "cell"], "left").withColumn("in_parts", F.coalesce("in_parts", F.lit(0)))
-    rows = placed.join(plan, ["region", "cell"])  # a cell with nothing outside its radius is done
-    mine = F.when(F.col("inside"), F.col("out_parts") + F.pmod(F.xxhash64("doc_id"), F.greatest("in_parts", F.lit(1)))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("out_parts"))).cast("int")
-    # Every pair of parts of which one at least lies outside is a task.
-    others = F.when(F.col("inside"), F.sequence(F.lit(0), F.col("out_parts") - 1)).otherwise(F.sequence(F.lit(0), F.col("out_parts") + F.col("in_parts") - 1))
+
+    # A cell with nothing outside its radius is done. Where a cell is too large for a task,
+    # every pair of parts of which one at least lies outside is a task.
+    placed = placed.select(F.struct("region", "cell").alias("place"), "doc_id", "n", "inside")
+    plan = placed.groupBy("place").agg(F.count(F.lit(1)).alias("here"), *(F.coalesce(F.sum(F.when(x, F.col("n"))), F.lit(0)).alias(n) for n, x in (("out_n", ~F.col("inside")), ("in_n", F.col("inside")))))
+    whole = F.col("out_n") + F.col("in_n") <= part
+    plan = plan.filter("here > 1 AND out_n > 0").select("place", "here", F.when(whole, F.lit(1)).otherwise(F.ceil(F.col("out_n") / part)).cast("int").alias("outs"), F.when(whole, F.lit(0)).otherwise(F.ceil(F.col("in_n") / part)).cast("int").alias("ins"))
+    plan = materialize(plan, "plan")
+    rows = lookup(placed, plan, "place", "here", plan.agg(F.coalesce(F.sum("here"), F.lit(0))).first()[0])
+    within = F.col("inside") & (F.col("ins") > 0)
+    mine = F.when(within, F.col("outs") + F.pmod(F.xxhash64("doc_id"), F.greatest("ins", F.lit(1)))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("outs"))).cast("int")
+    others = F.when(within, F.sequence(F.lit(0), F.col("outs") - 1)).otherwise(F.sequence(F.lit(0), F.col("outs") + F.col("ins") - 1))
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(others))
-    rows = rows.select(F.concat_ws("/", "region", "cell", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "doc_id")
-    rows = members.select("doc_id", "text").join(rows, "doc_id")
-    return links.unionByName(spokes).unionByName(rows.groupBy("key").applyInPandas(lambda group: _join_part(group, rule), "a long, b long"))
+    rows = rows.select(F.concat_ws("/", "place.region", "place.cell", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "doc_id")
+    rest = docs.select("doc_id", "text").join(rows.hint("merge"), "doc_id").groupBy("task").applyInPandas(lambda group: _join_part(group, rule), "a long, b long")
+    return spokes.unionByName(rest)
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, rule: Rule = RULE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = materialize(rows.mapInPandas(lambda batches: _describe(batches, rule), "doc_id long, n long, digest binary, counts_own binary, counts_next binary"), "described")
-    meta = described.select("doc_id", "n", "digest")
-    sets = meta.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.count(F.lit(1)).alias("weight"))
+    described = materialize(rows.mapInPandas(partial(_describe, rule=rule), "doc_id long, n long, digest binary, key long, counts_own binary, counts_next binary"), "described")
+    meta = described.select("doc_id", "n", "digest", "key")
+    sets = meta.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("key").alias("key"), F.count(F.lit(1)).alias("weight"))
     sets = materialize(sets, "sets")
     links = materialize(similar_links(rows, described, sets.filter("node IS NOT NULL"), part, rule), "links")
     root = components(links, "links")
