@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A key with at least this share of all rows is hot; so there are at most so many hot keys.
 MOST_HOT_KEYS = 10_000
+#: A table of at most so many narrow rows is broadcast whole.
+MOST_BROADCAST = 100_000
 _made: dict[str, list[str]] = {}
 
 
@@ -51,19 +53,32 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def numbered_columns(docs: DataFrame) -> DataFrame:
+    """docs with its columns called c0, c1, ... so that none is called like one of an operator's own."""
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+
+
+def named_again(docs: DataFrame) -> list[Column]:
+    """The columns of numbered_columns(docs) under the names they have in docs."""
+    return [F.col(f"c{k}").alias(name) for k, name in enumerate(docs.columns)]
+
+
 def doc_crc(col: str = "doc_id") -> Column:
     """crc32 of the id written as text; that of empty text where the id is null."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """rows inner-joined with table on key, whatever the skew. table has one row for each
-    key, and weight says how many of the rows have it.
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, keys: int | None = None) -> DataFrame:
+    """rows inner-joined with table on key, whatever the skew. table has one narrow row for
+    each key, and weight says how many of the rows have it; keys is the number of its rows,
+    where it is known.
 
-    Keys with a ten-thousandth of all rows or more number ten thousand at most, so their
+    A table of at most MOST_BROADCAST rows is broadcast. Of a larger one, keys with a ten-thousandth of all rows or more number ten thousand at most, so their
     part of the table is broadcast; every other key is small enough for a shuffled join,
-    which is asked for so that the plan is the same at every size.
+    which is asked for.
     """
+    if keys is not None and keys <= MOST_BROADCAST:
+        return rows.join(F.broadcast(table), key)
     least = max(2, -(-total // MOST_HOT_KEYS))
     hot = rows.join(F.broadcast(table.filter(F.col(weight) >= least)), key)
     cold = rows.join(F.broadcast(table.filter(F.col(weight) >= least).select(key)), key, "left_anti")
@@ -74,8 +89,9 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node it is linked with.
 
     Each round hangs a node and its smaller neighbours under the smallest of them, then
-    skips one level, so chains halve and stars are done at once. Both joins go through
-    `lookup`, so a node with very many neighbours or children doesn't meet in one task.
+    skips one level, so chains halve and stars are done at once. Up to MOST_BROADCAST nodes
+    are broadcast; beyond, both joins go through `lookup`, so a node with very many
+    neighbours or children doesn't meet in one task either.
     Every round is written to the shared folder; only counts reach the driver.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
@@ -84,10 +100,13 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
         parent = materialize(now.groupBy("b").agg(F.min("a").alias("p"), F.count(F.lit(1)).alias("n")), f"{name}-parents")
         nodes, total = parent.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         above = parent.select(F.col("b").alias("p"), F.col("p").alias("q"))
-        above = parent.groupBy("p").agg(F.count(F.lit(1)).alias("children")).join(above.hint("merge"), "p", "left")
-        above = materialize(above, f"{name}-above")
-        tree = lookup(parent, above, "p", "children", nodes).select(F.coalesce("q", "p").alias("a"), "b", F.col("q").isNotNull().alias("moved"))
-        rest = lookup(now.select("a", "b"), parent.filter("n > 1"), "b", "n", total).filter("a > p").select(F.col("p").alias("a"), F.col("a").alias("b"), F.lit(True).alias("moved"))
+        if nodes <= MOST_BROADCAST:
+            tree = parent.join(F.broadcast(above), "p", "left")
+        else:
+            above = parent.groupBy("p").agg(F.count(F.lit(1)).alias("children")).join(above.hint("merge"), "p", "left")
+            tree = lookup(parent, materialize(above, f"{name}-above"), "p", "children", nodes)
+        tree = tree.select(F.coalesce("q", "p").alias("a"), "b", F.col("q").isNotNull().alias("moved"))
+        rest = lookup(now.select("a", "b"), parent.filter("n > 1"), "b", "n", total, nodes).filter("a > p").select(F.col("p").alias("a"), F.col("a").alias("b"), F.lit(True).alias("moved"))
         then = tree.unionByName(rest).groupBy("a", "b").agg(F.max("moved").alias("moved"))
         now = materialize(then, f"{name}-round")
         if not now.filter("moved").head(1):

@@ -58,6 +58,8 @@ PART = 2_000_000
 PIVOTS = 32
 #: Sets of a large cell that are compared with its pivots in one task.
 CHUNK = 4_096
+#: Shingles of a region in one chunk, and the fewest documents.
+CHUNK_SHINGLES, CHUNK_DOCS = 8_192, 64
 SMALL_CELL = 16
 HELD_ROWS = 100_000
 #: Shingles for each count of the second metric.
@@ -394,10 +396,10 @@ def _meeting(cells: DataFrame, known: DataFrame, rule: Rule, turn: int) -> tuple
     pairs = met.filter("NOT large").join(side("a"), ["a", "own_a"]).join(side("b"), ["b", "own_b"]).mapInPandas(partial(_close, rule=rule), "a long, b long")
     large = met.filter("large").select(F.col("a").alias("cell"), F.col("b").alias("key"), F.col("own_b").alias("own"))
     sizes = materialize(large.groupBy("cell").agg(F.count(F.lit(1)).alias("size")), f"{name}-sizes")
-    total = sizes.agg(F.sum("size")).first()[0]
-    if not total:
+    total, keys = sizes.agg(F.sum("size"), F.count(F.lit(1))).first()
+    if not keys:
         return pairs, None
-    rows = lookup(large, sizes, "cell", "size", total).join(known.hint("merge"), ["key", "own"])
+    rows = lookup(large, sizes, "cell", "size", total, keys).join(known.hint("merge"), ["key", "own"])
     chunks = F.ceil(F.col("size") / CHUNK)
     to = _copies(F.pmod(F.xxhash64("key"), chunks), chunks, _draw(F.lit(turn), "key") * F.col("size") < PIVOTS)
     rows = rows.select("cell", "key", "own", "counts", to.alias("to")).select("cell", "to.chunk", "to.pivot", "key", "own", "counts")
@@ -407,8 +409,8 @@ def _meeting(cells: DataFrame, known: DataFrame, rule: Rule, turn: int) -> tuple
     # Sets of a cell that ties to the same group of pivots hold together need no more.
     apart = again.groupBy("cell").agg(F.count(F.lit(1)).alias("left"), F.min("label").alias("low"), F.max("label").alias("high"))
     apart = materialize(apart.filter((F.col("left") > 1) & ((F.col("low") < F.col("high")) | (F.col("low") == _NO_LABEL))).select("cell", "left"), f"{name}-apart")
-    total = apart.agg(F.sum("left")).first()[0]
-    again = lookup(again, apart, "cell", "left", total).select("cell", "key", "own") if total else None
+    total, keys = apart.agg(F.sum("left"), F.count(F.lit(1))).first()
+    again = lookup(again, apart, "cell", "left", total, keys).select("cell", "key", "own") if keys else None
     return pairs.unionByName(tied.filter("NOT again").select("a", "b")), again
 
 
@@ -544,16 +546,24 @@ def similar_links(docs: DataFrame, described: DataFrame, sets: DataFrame, part:
     (key, node, n) for each distinct set, node its smallest id."""
     regions = components(candidate_ties(docs, described, sets, rule), "candidates").withColumnsRenamed({"node": "key", "root": "region"})
     members = materialize(regions.join(sets.select("key", F.col("node").alias("doc_id"), "n").hint("merge"), "key").drop("key"), "members")
+    return region_links(docs, members, part, rule)
+
+
+def region_links(docs: DataFrame, members: DataFrame, part: int = PART, rule: Rule = RULE) -> DataFrame:
+    """Links (a, b) that connect the same documents (doc_id, text) of a region as all links
+    within it do. members: doc_id, n (size of its set) and region."""
     weights = members.groupBy("region").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"))
     weights = materialize(weights.filter("docs > 1"), "weights")
-    total = weights.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+    total, keys = weights.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.count(F.lit(1))).first()
     parts = F.ceil(F.col("weight") / part)
     more = F.least(parts - 1, F.lit(PIVOTS - 1))  # besides the first document
     pivot = (F.col("doc_id") == F.col("first")) | (_draw(F.lit("pivot"), "doc_id") * F.col("docs") < more)
-    placed = lookup(members, weights, "region", "docs", total)
-    placed = placed.select("region", "doc_id", "n", parts.alias("parts"), pivot.alias("pivot"))
+    placed = lookup(members, weights, "region", "docs", total, keys)
+    # A region's documents are dealt over tasks; each chunk of a region gets its pivots.
+    chunks = F.greatest(F.lit(1), F.least(F.ceil(F.col("weight") / CHUNK_SHINGLES), F.floor(F.col("docs") / CHUNK_DOCS)))
+    placed = placed.select("region", "doc_id", "n", chunks.alias("chunks"), pivot.alias("pivot"))
     placed = docs.select("doc_id", "text").join(placed.hint("merge"), "doc_id")
-    to = _copies(F.pmod(F.xxhash64("doc_id"), "parts"), F.col("parts"), F.col("pivot"))
+    to = _copies(F.pmod(F.xxhash64("doc_id"), "chunks"), F.col("chunks"), F.col("pivot"))
     placed = placed.select("region", "doc_id", "n", "text", to.alias("to")).select("region", "to.chunk", "to.pivot", "doc_id", "n", "text")
     placed = placed.repartition("region", "chunk").sortWithinPartitions("region", "chunk", F.desc("pivot"), "doc_id")
     placed = placed.mapInPandas(partial(_voronoi, rule=rule), "region long, cell int, pivot_id long, doc_id long, n long, inside boolean")
@@ -567,7 +577,7 @@ def similar_links(docs: DataFrame, described: DataFrame, sets: DataFrame, part:
     whole = F.col("out_n") + F.col("in_n") <= part
     plan = plan.filter("here > 1 AND out_n > 0").select("place", "here", F.when(whole, F.lit(1)).otherwise(F.ceil(F.col("out_n") / part)).cast("int").alias("outs"), F.when(whole, F.lit(0)).otherwise(F.ceil(F.col("in_n") / part)).cast("int").alias("ins"))
     plan = materialize(plan, "plan")
-    rows = lookup(placed, plan, "place", "here", plan.agg(F.coalesce(F.sum("here"), F.lit(0))).first()[0])
+    rows = lookup(placed, plan, "place", "here", *plan.agg(F.coalesce(F.sum("here"), F.lit(0)), F.count(F.lit(1))).first())
     within = F.col("inside") & (F.col("ins") > 0)
     mine = F.when(within, F.col("outs") + F.pmod(F.xxhash64("doc_id"), F.greatest("ins", F.lit(1)))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("outs"))).cast("int")
     others = F.when(within, F.sequence(F.lit(0), F.col("outs") - 1)).otherwise(F.sequence(F.lit(0), F.col("outs") + F.col("ins") - 1))

@@ -14,15 +14,19 @@ in a row with keepers in a row are one passage. A copy that overlaps its keeper
 
 Copies of one content are combined in each task first, so that a very common line has a row
 for each task in its cells, not one for each copy. In a cell every content has a head, the
-smallest by id and place: copies are linked with it, and it is linked with the head of the
-cell's first content and of the contents before. Equal content (two independent 64-bit numbers) is verified as it stands; the
-rest is verified by exact Jaccard similarity of the shingle sets. Components of the verified
-links are the repeats: the first member, by id and place, stays, and the others are removed.
-A word that goes has an equal one before it by id and place, so none goes everywhere.
+smallest by id and place, and copies are linked with it. Equal content (two independent
+64-bit numbers) is verified as it stands. Of a cell of SMALL_CELL contents or less every
+pair is verified by exact Jaccard similarity of the shingle sets. The contents of larger
+cells are joined exactly by pivots and triangle-inequality windows (jaccard_join's
+region_links), each component of cells being a region: all links that the pairs would have
+given are connected, with no pair left out. Components of the verified links are the
+repeats: the first member, by id and place, stays, and the others are removed. A passage of
+equal words that goes has an equal one before it by id and place, so none goes everywhere.
 
 Defined results: null and short texts have no paragraphs. Words are what white space
 separates, A-Z as a-z. A passage repeated within one document counts. Rows without an id
-take no part; repeated rows are one document. An empty table gives no rows.
+take no part; repeated rows are one document. An empty table gives no rows. Only the id and
+text columns are read, and remove_repeats gives back all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomdex.llm.common import components, lookup, materialize
+from fathomdex.llm.jaccard_join import Rule, region_links
 from fathomdex.llm.shingles import BATCH_BYTES, SPACE, _rolled, mix, word_hashes
 
 WIDTH = 5
@@ -43,8 +48,10 @@ LEAST_WORDS = 25
 #: Words of a gram; LEAST_WORDS - GRAM + 1 grams begin in a window.
 GRAM = 13
 BANDS, ROWS = 14, 4
-#: A content is compared with the first of its cell and so many before it.
-NEIGHBOURS = 3
+#: Contents of a cell of which every pair is verified; those of larger cells are joined by pivots.
+SMALL_CELL = 8
+#: Contents of one cell that a task holds before it hands them on.
+MOST_HELD = 10_000
 #: Contents that a task remembers, to combine their copies; others are combined in their cell.
 MOST_KNOWN = 20_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -163,42 +170,66 @@ def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield links.assign(cell=spread.view(np.int64), check=0)[[*rows.columns, *(f"of_{x}" for x in names)]]
 
 
-def _links(rows: pd.DataFrame, a, b, same: bool) -> pd.DataFrame:
-    names = ["doc_id", "first", "last"]
-    found = pd.DataFrame({f"{x}_{s}": rows[x].to_numpy()[i] for s, i in (("a", a), ("b", b)) for x in names} | {"same": same})
-    return _apart(found)
+_NAMES = ["doc_id", "first", "last"]
+#: What a row of _meet says: equal contents, contents to compare, contents of one large cell.
+SAME, PAIR, TIE = 0, 1, 2
+
+
+def _links(rows: pd.DataFrame, a, b, kind: int) -> pd.DataFrame:
+    found = {f"{x}_{s}": rows[x].to_numpy()[i] for s, i in (("a", a), ("b", b)) for x in _NAMES} | {"kind": kind}
+    check = rows["check"].to_numpy()
+    return _apart(pd.DataFrame(found | {f"check_{s}": check[i] if kind == TIE else 0 for s, i in (("a", a), ("b", b))}))
 
 
 def _apart(found: pd.DataFrame) -> pd.DataFrame:
     return found[(found["doc_id_a"] != found["doc_id_b"]) | (found["first_a"] != found["first_b"]) | (found["last_a"] != found["last_b"])].drop_duplicates()
 
 
+def _compared(heads: pd.DataFrame, large: int | None) -> Iterator[pd.DataFrame]:
+    """All pairs of contents of small cells, and ties of large ones; large: a cell that is one already."""
+    cell = heads["cell"].to_numpy()
+    if not len(cell):
+        return
+    start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    count = np.diff(np.r_[start, len(cell)])
+    many = np.repeat(count > SMALL_CELL, count) | (cell == large if large is not None else False)
+    top, end, place = np.repeat(start, count), np.repeat(start + count, count), np.arange(len(cell))
+    if many.any():
+        yield _links(heads, top[many], place[many], TIE)
+    small = np.flatnonzero(~many)
+    pairs = [(at, at + k) for k in range(1, SMALL_CELL) for at in [small[small + k < end[small]]]]
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    if len(a):
+        yield _links(heads, a, b, PAIR)
+
+
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links of cells; rows come sorted by cell, content, id and place, a cell in one task."""
-    names = ["doc_id", "first", "last"]
-    before: pd.DataFrame | None = None  # the heads of the last cell and of its last content
+    held: pd.DataFrame | None = None  # the contents' heads of the last cell
+    large: int | None = None  # that cell, if some of its heads have been handed on
     for batch in batches:
         linked = batch[batch["of_last"] > 0]
         if len(linked):
-            yield _apart(linked[[f"of_{x}" for x in names] + names].set_axis([f"{x}_a" for x in names] + [f"{x}_b" for x in names], axis=1).assign(same=True))
+            yield _apart(linked[[f"of_{x}" for x in _NAMES] + _NAMES].set_axis([f"{x}_a" for x in _NAMES] + [f"{x}_b" for x in _NAMES], axis=1).assign(kind=SAME, check_a=0, check_b=0))
         batch = batch[batch["of_last"] == 0]
         if not len(batch):
             continue
-        rows = batch if before is None else pd.concat((before, batch), ignore_index=True)
+        rows = batch if held is None else pd.concat((held, batch), ignore_index=True)
         cell, check, place = rows["cell"].to_numpy(), rows["check"].to_numpy(), np.arange(len(rows))
         new_cell = np.r_[True, cell[1:] != cell[:-1]]
         new = new_cell | np.r_[True, check[1:] != check[:-1]]
-        top = np.maximum.accumulate(np.where(new_cell, place, 0))
         head = np.maximum.accumulate(np.where(new, place, 0))
-        yield _links(rows, head[~new], place[~new], True)
-        # Another content: with the cell's first and with those before it.
-        start = np.flatnonzero(new)
-        pairs = [(top[start], start), *((start[:-k], start[k:]) for k in range(1, NEIGHBOURS + 1))]
-        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        met = (a != b) & (cell[a] == cell[b])
-        yield _links(rows, a[met], b[met], False)
-        last = start[-NEIGHBOURS:]
-        before = rows.iloc[np.unique([top[-1], *last[last >= top[-1]]])]
+        yield _links(rows, head[~new], place[~new], SAME)
+        last = cell == cell[-1]
+        yield from _compared(rows[new & ~last], large)
+        large = large if large == cell[-1] else None
+        held = rows[new & last]
+        if len(held) > MOST_HELD:
+            large = int(cell[-1])
+            yield from _compared(held, large)
+            held = held.iloc[[0, -1]]
+    if held is not None:
+        yield from _compared(held, large)
 
 
 #: A passage as one number: id, first word and number of words, in this order.
@@ -218,16 +249,35 @@ def _passage(c: str) -> dict:
     return {"doc_id": F.expr(f"CAST(({c} - {rest}) div {_DOC} AS BIGINT)"), "first": F.expr(first), "last": F.expr(f"{first} + CAST(pmod({rest}, {_WORDS}) AS BIGINT)")}
 
 
+def _hashed(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[tuple]]]:
+    """Word hashes of many texts at once; of each text its id, its first word's place in them, and its spans."""
+    ids, spans = batch["doc_id"].to_numpy(), batch["spans"].to_numpy()
+    for at, part in _batched([t.encode() for t in batch["text"]]):
+        h, counts = word_hashes(part)
+        base = np.cumsum(counts) - counts
+        yield h, [(ids[at + k], int(base[k]), spans[at + k]) for k in range(len(part))]
+
+
 def _shingles_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The distinct shingles of the wanted spans of each text."""
+    for batch in batches:
+        for h, texts in _hashed(batch):
+            rolled = _rolled(h, WIDTH)
+            out = [(i, s["first"], s["last"], np.unique(rolled[base + s["first"] : base + s["last"] - WIDTH + 1]).tobytes()) for i, base, spans in texts for s in spans]
+            yield pd.DataFrame(out, columns=["doc_id", "first", "last", "shingles"])
+
+
+def _lines_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The wanted contents of each text as texts of their own, with the size of their sets."""
     for batch in batches:
         out = []
-        for i, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
-            h, _ = word_hashes([text.encode()])
-            for span in spans:
-                first, last = span["first"], span["last"]
-                out.append((i, first, last, np.unique(_rolled(h[first:last], WIDTH)).tobytes()))
-        yield pd.DataFrame(out, columns=["doc_id", "first", "last", "shingles"])
+        for text, spans in zip(batch["text"], batch["spans"], strict=True):
+            raw = text.encode().split()
+            for s in spans:
+                line = b" ".join(raw[s["first"] : s["last"]])
+                h, _ = word_hashes([line])
+                out.append((s["check"], len(np.unique(_rolled(h, WIDTH))), line.decode()))
+        yield pd.DataFrame(out, columns=["doc_id", "n", "text"])
 
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,14 +301,17 @@ def _run_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The windows of the wanted runs of each text, by content (one and two)."""
     for batch in batches:
-        for i, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
-            h, _ = word_hashes([text.encode()])
-            first, last, gram, run = (np.array([s[c] for s in spans], dtype=np.int64) for c in ("first", "last", "gram", "run"))
+        for h, texts in _hashed(batch):
+            wanted = [(i, base, s["first"], s["last"], s["gram"], s["run"]) for i, base, spans in texts for s in spans]
+            if not wanted:
+                continue
+            doc, base, first, last, gram, run = np.array(wanted, dtype=np.int64).T
             many = last - first - LEAST_WORDS + 1
             offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             at = np.repeat(first, many) + offset
-            one, two = (_spans(h, at, at + LEAST_WORDS, base).view(np.int64) for base in (_P, _Q))
-            yield pd.DataFrame({"one": one, "two": two, "doc_id": i, "first": at.astype(np.int32), "gram": np.repeat(gram, many), "run": np.repeat(run, many), "offset": offset.astype(np.int32)})
+            there = at + np.repeat(base, many)
+            one, two = (_spans(h, there, there + LEAST_WORDS, b).view(np.int64) for b in (_P, _Q))
+            yield pd.DataFrame({"one": one, "two": two, "doc_id": np.repeat(doc, many), "first": at.astype(np.int32), "gram": np.repeat(gram, many), "run": np.repeat(run, many), "offset": offset.astype(np.int32)})
 
 
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -339,18 +392,12 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     exclusive), keeper_doc_id, keeper_first, and removed (false for the keeper)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     found = rows.mapInPandas(_unit_rows, "cell long, doc_id long, first int, last int, check long, of_doc_id long, of_first int, of_last int")
-    met = found.repartition("cell").sortWithinPartitions("cell", "check", "doc_id", "first", "last").mapInPandas(_meet, "doc_id_a long, first_a int, last_a int, doc_id_b long, first_b int, last_b int, same boolean")
+    met = found.repartition("cell").sortWithinPartitions("cell", "check", *_NAMES).mapInPandas(_meet, "doc_id_a long, first_a int, last_a int, doc_id_b long, first_b int, last_b int, kind int, check_a long, check_b long")
     met = materialize(met.distinct(), "met")
-    pairs = met.select("same", *(F.struct(*(F.col(f"{x}_{s}").alias(x) for x in ("doc_id", "first", "last"))).alias(f"u{s}") for s in "ab"), _key("a").alias("a"), _key("b").alias("b"))
-    unsure = pairs.filter("NOT same")
-    wanted = unsure.select(F.explode(F.array("ua", "ub")).alias("u")).distinct()
-    spans = wanted.groupBy(F.col("u.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("u.first", "u.last")).alias("spans"))
-    texts = rows.join(spans.hint("merge"), "doc_id").mapInPandas(_shingles_of, "doc_id long, first int, last int, shingles binary")
-    texts = texts.dropDuplicates(["doc_id", "first", "last"]).select(F.struct("doc_id", "first", "last").alias("u"), "shingles")
-    texts = materialize(texts, "passages")
-    both = unsure.join(texts.select(F.col("u").alias("ua"), F.col("shingles").alias("sa")), "ua").join(texts.select(F.col("u").alias("ub"), F.col("shingles").alias("sb")), "ub")
-    sure = both.select("a", "b", "sa", "sb").mapInPandas(_similar, "a decimal(38,0), b decimal(38,0)")
-    links = pairs.filter("same").select("a", "b").unionByName(sure)
+    units = (F.struct(*(F.col(f"{x}_{s}").alias(x) for x in _NAMES)).alias(f"u{s}") for s in "ab")
+    pairs = met.select("kind", *units, _key("a").alias("a"), _key("b").alias("b"), "check_a", "check_b")
+    links = pairs.filter(F.col("kind") == SAME).select("a", "b").unionByName(_verified(rows, pairs.filter(F.col("kind") == PAIR)))
+    links = links.unionByName(_joined_cells(rows, pairs.filter(F.col("kind") == TIE)))
     groups = components(links, "repeats")
 
     node, root = _passage("node"), _passage("root")
@@ -360,20 +407,47 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return both.withColumn("removed", F.expr("keeper_doc_id != doc_id OR keeper_first != first"))
 
 
+def _verified(rows: DataFrame, unsure: DataFrame) -> DataFrame:
+    """The links (a, b) of those pairs of lines whose Jaccard similarity is high enough."""
+    wanted = unsure.select(F.explode(F.array("ua", "ub")).alias("u")).distinct()
+    spans = wanted.groupBy(F.col("u.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("u.first", "u.last")).alias("spans"))
+    texts = rows.join(spans.hint("merge"), "doc_id").mapInPandas(_shingles_of, "doc_id long, first int, last int, shingles binary")
+    texts = texts.dropDuplicates(["doc_id", "first", "last"]).select(F.struct("doc_id", "first", "last").alias("u"), "shingles")
+    texts = materialize(texts, "passages")
+    both = unsure.join(texts.select(F.col("u").alias("ua"), F.col("shingles").alias("sa")), "ua").join(texts.select(F.col("u").alias("ub"), F.col("shingles").alias("sb")), "ub")
+    return both.select("a", "b", "sa", "sb").mapInPandas(_similar, "a decimal(38,0), b decimal(38,0)")
+
+
+def _joined_cells(rows: DataFrame, ties: DataFrame) -> DataFrame:
+    """The links (a, b) among the contents of large cells, by an exact join of each component of cells."""
+    heads = F.explode(F.array(*(F.struct(F.col(f"check_{s}").alias("check"), F.struct(F.col(s).alias("key"), F.col(f"u{s}").alias("u")).alias("head")) for s in "ab")))
+    heads = ties.select(heads.alias("x")).select("x.*").groupBy("check").agg(F.min("head").alias("head"))
+    heads = materialize(heads.select("check", "head.key", "head.u"), "heads")
+    regions = components(ties.select(F.col("check_a").alias("a"), F.col("check_b").alias("b")), "cells")
+    spans = heads.groupBy(F.col("u.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("u.first", "u.last", "check")).alias("spans"))
+    lines = rows.join(spans.hint("merge"), "doc_id").select("text", "spans").mapInPandas(_lines_of, "doc_id long, n long, text string")
+    lines = materialize(lines.dropDuplicates(["doc_id"]), "lines")
+    members = materialize(lines.select("doc_id", "n").join(regions.select(F.col("node").alias("doc_id"), F.col("root").alias("region")).hint("merge"), "doc_id"), "members")
+    found = region_links(lines.select("doc_id", "text"), members, rule=Rule(WIDTH, NUM, DEN))
+    a, b = (heads.select(F.col("check").alias(f"check_{s}"), F.col("key").alias(s)) for s in "ab")
+    found = found.withColumnsRenamed({"a": "check_a", "b": "check_b"})
+    return found.join(a.hint("merge"), "check_a").join(b.hint("merge"), "check_b").select("a", "b")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the words of removed passages; lines that lose all their words go."""
     gone = repeated_paragraphs(docs, id_col, text_col).filter("removed")
-    spans = gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list(F.struct("first", "last")).alias("gone_spans"))
-    kept = docs.join(spans.hint("merge"), F.col(id_col) == F.col("gone_id"), "left")
-    at = {c: kept.columns.index(c) for c in (text_col, "gone_spans")}
-    columns = docs.columns
+    spans = gone.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    columns, at = docs.columns, docs.columns.index(text_col)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
+    kept = packed.join(spans.hint("merge"), "doc_id", "left").select("row.*", F.col("spans").alias(f"spans of {'_'.join(columns)}"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [without(t, s) if s is not None else t for t, s in zip(batch.iloc[:, at[text_col]], batch.iloc[:, at["gone_spans"]], strict=True)]
-            batch = batch.copy()
+            texts = [without(t, s) if s is not None else t for t, s in zip(batch.iloc[:, at], batch.iloc[:, -1], strict=True)]
+            batch = batch.iloc[:, :-1].copy()
             batch[text_col] = texts
-            yield batch[columns]
+            yield batch
 
     return kept.mapInPandas(cut, docs.schema)
 
