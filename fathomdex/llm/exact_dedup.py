@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomdex.llm.common import lookup, materialize, text_of
+from fathomdex.llm.common import lookup, materialize, named_again, numbered_columns, text_of
 
 SALTS = 16
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
@@ -25,7 +25,9 @@ ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with keep_id, group_size, kept and text_sha256. Of equal texts the largest id is kept."""
-    docs = docs.drop(*ADDED)
+    given = docs.drop(*ADDED)
+    docs = numbered_columns(given)
+    id_col, text_col = (f"c{given.columns.index(c)}" for c in (id_col, text_col))
     whole = text_of(text_col)
     digest = F.sha2(whole, 256)
     rows = docs.select(F.col(id_col).alias("id"), digest.alias("text_sha256"))
@@ -57,7 +59,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     once = plain.filter("alike = 1").withColumn("kept", stays)
     again = Window.partitionBy("text_sha256", id_col).orderBy(F.lit(0))
     repeated = plain.filter("alike > 1").withColumn("kept", stays & (F.row_number().over(again) == 1))
-    return once.unionByName(repeated).select(*docs.columns, *ADDED)
+    return once.unionByName(repeated).select(*named_again(given), *ADDED)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

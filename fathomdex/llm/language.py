@@ -5,14 +5,17 @@ letters, lower-cased, are cut into pieces, each piece is compressed with every d
 and the language of the smallest total is chosen; the pieces keep a long text from becoming
 its own dictionary. The whole text is read.
 
-Bounds of the model: DICTIONARY bytes for each of at most MOST_LANGUAGES languages (the
-most frequent ones), filled from at most SAMPLE training rows of a language, taken by the
-least hash of the id. Everything is deterministic.
+Bounds of the model: DICTIONARY bytes for each language, filled from at most SAMPLE training
+rows of a language, taken by the least hash of the id; with very many languages each has
+fewer, so that MOST_SAMPLED rows are taken in all, but at least one. Every language of the
+training rows is learned. Everything is deterministic.
 
 Defined results: null text, and text without a letter, give `und`, score 0 and rejected.
 Ties go to the name that is first by code point. Without training rows every row is `und`.
 A margin under MARGIN of the smallest size, or of a single byte, is narrow: the prediction
-stands but `rejected` is set. Repeated rows give repeated rows; other columns pass through.
+stands but `rejected` is set. Repeated rows give repeated rows; an empty table gives none.
+Other columns pass through, whatever their names; the added names replace columns that are
+called the same.
 """
 
 from __future__ import annotations
@@ -28,10 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fathomdex.llm.common import doc_crc
+from fathomdex.llm.common import doc_crc, lookup, materialize
 
 DICTIONARY = 112 * 1024
-MOST_LANGUAGES = 200
+#: Rows sampled for all languages together, one of each at least.
+MOST_SAMPLED = 100_000
 SAMPLE = 400
 TAKEN = 2000
 PIECE = 4000
@@ -39,11 +43,14 @@ LEVEL = 7
 MARGIN = 0.005
 FOLDS, HELD_OUT = 5, 0
 
+_LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def letters(text: str) -> str:
-    return _OTHER.sub(" ", text.lower()).strip()
+    """Words of letters (with their marks); nothing if there is no letter."""
+    bare = _OTHER.sub(" ", text.lower()).strip()
+    return bare if _LETTER.search(bare) else ""
 
 
 def held_out(id_col: str = "doc_id"):
@@ -53,17 +60,19 @@ def held_out(id_col: str = "doc_id"):
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionaries from labelled rows (null labels and texts don't count)."""
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    languages, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sample = max(1, min(SAMPLE, MOST_SAMPLED // max(1, languages)))
     order = F.xxhash64(F.lit("language"), "id")
     chance = (F.shiftrightunsigned(order, 11).cast("double") / float(1 << 53)) * F.col("n")
-    # Three times the rows that are wanted, by a threshold on the hash, so that no window sees more.
-    some = rows.join(F.broadcast(counts), "lang").filter(chance < 3.0 * SAMPLE)
+    # Over three times the rows that are wanted, by a threshold on the hash, so that no window sees more.
+    some = lookup(rows, counts, "lang", "n", total).filter(chance < 3.0 * sample + 20.0)
     first = Window.partitionBy("lang").orderBy(order, "id", "text")
     half = F.greatest((F.length("text") - TAKEN) / 2, F.lit(0)).cast("int") + 1
-    some = some.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE)
+    some = some.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample)
     some = some.select("lang", "k", F.substring(F.col("text"), half, F.lit(TAKEN)).alias("text"))
     parts: dict[str, list[str]] = {}
-    for r in some.orderBy("lang", "k").toLocalIterator():  # at most SAMPLE * TAKEN characters a language
+    for r in some.orderBy("lang", "k").toLocalIterator():  # at most sample * TAKEN characters a language
         parts.setdefault(r["lang"], []).append(letters(r["text"]))
     # The end of a dictionary is the cheapest to refer to; the first rows by hash go there.
     texts = {lang: " ".join(reversed(x)).encode() for lang, x in parts.items()}

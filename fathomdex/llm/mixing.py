@@ -7,7 +7,7 @@ that is emitted. Since sizes fall along the order, the words taken miss the targ
 documents' size at most.
 
 The prefix sums need no single ordered pass: documents fall in cells of a source, a size
-class (64 for each power of two) and an id remainder; cell counts are summed by class within
+class (64 for each power of two) and a number made of id and length; cell counts are summed by class within
 a source, by remainder within a class, and documents are ranked within a cell.
 
 Defined results: null or blank text has size 0, is laid out like any other and takes no
@@ -21,13 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathomdex.llm.common import materialize, text_of
+from fathomdex.llm.common import materialize, named_again, numbered_columns, text_of
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
 CELL_ROWS = 1_000_000
 FEWEST_CELLS = 16
+_PRIME, _MIXER = 2_147_483_647, 1_327_217_885
 ADDED = ("size", "source_size", "target", "copies")
 
 
@@ -73,14 +74,22 @@ def targets(sources: DataFrame) -> DataFrame:
     return t.select("mix_named", "mix_source", "source_size", target.alias("target"), factor.alias("factor"), offset.alias("offset"))
 
 
+def _spread(id_: Column, text: Column) -> Column:
+    """A number of id and length, mixed: null ids, or ids of one remainder, don't share a cell."""
+    number = F.pmod(F.coalesce(id_.cast("long"), F.lit(0)), F.lit(_PRIME)) * 31 + F.length(text)
+    return F.floor(F.pmod(number, F.lit(_PRIME)) * F.lit(_MIXER) / F.lit(65536)).cast("long")
+
+
 def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with size, source_size, target and copies (0 to MOST)."""
-    names = [c for c in docs.columns if c not in ADDED]
-    docs = docs.select(*names)
+    given = docs.drop(*ADDED)
+    docs = numbered_columns(given)
+    names = docs.columns
+    id_col, text_col, source_col = (f"c{given.columns.index(c)}" for c in (id_col, text_col, source_col))
     keys = ["mix_named", "mix_source", "mix_class", "mix_cell"]
     d = docs.withColumns({"size": words(text_of(text_col)), "mix_named": F.col(source_col).isNotNull(), "mix_source": F.coalesce(F.col(source_col).cast("string"), F.lit(""))})
     d = d.withColumn("mix_class", size_class(F.col("size")))
-    remainder = F.coalesce(F.col(id_col).cast("long"), F.lit(0))
+    remainder = _spread(F.col(id_col), text_of(text_col))
     fine = materialize(
         d.groupBy("mix_named", "mix_source", "mix_class", F.pmod(remainder, F.lit(FEWEST_CELLS)).alias("mix_cell")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")),
         "mix-cells",
@@ -107,13 +116,15 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.floor(F.col("mix_o") + n.cast("double") * F.col("mix_f"))
 
     copies = F.least(crossed(last) - crossed(last - 1), F.lit(MOST)).cast("long")
-    return out.select(*names, "size", F.col("mix_ss").alias("source_size"), F.col("mix_t").alias("target"), copies.alias("copies"))
+    return out.select(*named_again(given), "size", F.col("mix_ss").alias("source_size"), F.col("mix_t").alias("target"), copies.alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixture itself: each document as many times as it was drawn, with the columns of docs."""
-    drawn = mix_counts(docs.select(*docs.columns), id_col, text_col, source_col).filter("copies > 0")
-    return drawn.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    plain = numbered_columns(docs)
+    columns = (f"c{docs.columns.index(c)}" for c in (id_col, text_col, source_col))
+    drawn = mix_counts(plain, *columns).filter("copies > 0")
+    return drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*named_again(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +134,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH d AS (SELECT doc_id, source IS NOT NULL AS named, coalesce(source, '') AS src,
-    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, coalesce(doc_id, 0) AS rid FROM documents),
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    CAST(floor(((((coalesce(doc_id, 0) % {_PRIME}) + {_PRIME}) % {_PRIME} * 31 + length(coalesce(text, ''))) % {_PRIME}) * {_MIXER}::BIGINT / 65536.0::DOUBLE) AS BIGINT) AS rid FROM documents),
 c AS (SELECT *, CASE WHEN size < 128 THEN size ELSE (length(bin(size)) - 7) * 64 + (size >> (length(bin(size)) - 7)) END AS cls FROM d),
 n AS (SELECT greatest({FEWEST_CELLS}, CAST(ceil(count(*) / {CELL_ROWS}.0) AS BIGINT)) AS cells FROM d),
 r AS (SELECT c.*, row_number() OVER (PARTITION BY named, src ORDER BY cls DESC, ((rid % cells) + cells) % cells, size DESC, doc_id) AS k FROM c, n),

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fathomdex.llm import bpe, catalog, exact_dedup, html_text, jaccard_join, language, licenses, lm_score, mixing, neighbours, paragraphs
+from fathomdex.llm import bpe, catalog, common, exact_dedup, html_text, jaccard_join, language, licenses, lm_score, mixing, neighbours, paragraphs
 
 PICK = random.Random(4)
 WORDS = ["".join(PICK.choices("abcdefghij", k=PICK.randint(2, 6))) for _ in range(400)]
@@ -104,6 +104,11 @@ def test_language(spark):
     assert all((out[i]["lang_pred"], out[i]["score"], out[i]["rejected"]) == ("und", 0.0, True) for i in (900, 901, 902))
     assert out[903]["lang_pred"] == "en" and all(0 <= r["score"] <= 1 for r in out.values())
     assert language.identify(empty(spark)).count() == 0
+    marks = spark.createDataFrame([(1, "\u0301\u0301 \u0308", None, None, 0), (2, "thing that shower with", None, None, 0), (2, "thing that shower with", None, None, 0)], SCHEMA)
+    model = language.train(table(spark, rows[:200]))
+    assert sorted(r["lang_pred"] for r in language.classify(marks, model).collect()) == ["en", "en", "und"]
+    many = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} " * 5, f"l{i}", None, 0) for i in range(260)]
+    assert len(language.train(table(spark, many))) == 260
     assert {r["lang_pred"] for r in language.classify(table(spark), {}).collect()} == {"und"}
 
 
@@ -122,11 +127,11 @@ def test_bpe(spark):
     assert bpe.encode(empty(spark)).count() == 0
 
 
-def plain_components(rows):
+def plain_components(rows, width=4, num=85, den=100):
     sets = {}
     for r in rows:
         w = words(r[1])
-        sets[r[0]] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) > 3 else ({tuple(w)} if w else set())
+        sets[r[0]] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
     up = {i: i for i in sets}
 
     def find(x):
@@ -136,12 +141,73 @@ def plain_components(rows):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_star_links_against_all_pairs():
+    pick = random.Random(31)
+    for _ in range(20):
+        base = pick.sample(range(10_000), 60)
+        sets = [np.array(sorted({*pick.sample(base, pick.randint(40, 60)), *pick.sample(range(10_000, 10_040), pick.randint(0, 9))}), dtype=np.uint64) for _ in range(60)]
+        ids = np.array(pick.sample(range(1000), len(sets)))
+        up = {int(i): int(i) for i in ids}
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        def groups(links):
+            up.update({i: i for i in up})
+            for x, y in links:
+                x, y = find(x), find(y)
+                up[max(x, y)] = min(x, y)
+            return {i: find(i) for i in up}
+
+        every = [(int(ids[i]), int(ids[j])) for i in range(60) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
+        assert groups(jaccard_join.star_links(ids, sets)) == groups(every)
+
+
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_components(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "MOST_BROADCAST", broadcast)
+    pick = random.Random(3)
+    edges = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1200)] + [(2500, i) for i in range(2000, 2300)] + [(pick.randint(3000, 3400), pick.randint(3000, 3400)) for _ in range(150)] + [(5, 5), (7, 6)]
+    up = {x: x for e in edges for x in e}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x, y in edges:
+        x, y = find(x), find(y)
+        up[max(x, y)] = min(x, y)
+    linked = {x for x, y in edges if x != y} | {y for x, y in edges if x != y}
+    got = common.components(spark.createDataFrame(edges, "a long, b long").repartition(3), "test").collect()
+    assert len(got) == len(linked) and {r["node"]: r["root"] for r in got} == {x: find(x) for x in linked}
+    assert common.components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+
+
+def test_jaccard_join_splits_large_cells(spark, monkeypatch):
+    """Cells of more sets than pivots, in several chunks, of which some are dealt anew."""
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 16)
+    pick = random.Random(18)
+    shared = [pick.choices(WORDS, k=40) for _ in range(2)]
+    rows = []
+    for i in range(0, 160, 2):  # a passage that many unlike documents share, and near copies of each
+        w = [*pick.choices(WORDS, k=30), *pick.choice(shared), *pick.choices(WORDS, k=30)]
+        rows.append((i, " ".join(w), "", "", 0))
+        w[pick.randrange(100)] = "changed"
+        rows.append((i + 1, " ".join(w), "", "", 0))
+    got = jaccard_join.similar_groups(table(spark, rows), part=4000).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows)
+
+
 @pytest.mark.parametrize("part", [2_000_000, 1500])
 def test_jaccard_join(spark, part):
     pick = random.Random(8)
@@ -161,6 +227,53 @@ def test_jaccard_join(spark, part):
         assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"] or -1) for r in odd) == [("1", 57, 1), ("None", 57, -1)]
 
 
+CLASHES = ["texts", "alike", "whole", "mix_rank", "mix_class", "mix_b", "gone_id", "spans", "c0", "key", "state", "row", "html"]
+
+
+def test_columns_of_any_name(spark):
+    rows = [(i, t, k) for i, (t, k) in enumerate([(prose(40), "a"), (BASE[0], "a"), (BASE[0], "b"), (None, None), ("x " + BASE[0], "a")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = docs.select("*", *(F.concat(F.lit(f"{c}-"), "doc_id").alias(c) for c in CLASHES))
+    for out in (exact_dedup.exact_groups(docs), exact_dedup.exact_dedup(docs), mixing.mix_counts(docs), mixing.mix(docs), paragraphs.remove_repeats(docs), licenses.scan(docs), language.classify(docs, {}), jaccard_join.drop_similar(docs), bpe.encode(docs)):
+        kept = [c for c in CLASHES if c in out.columns]
+        assert kept == CLASHES or "ids" in out.columns
+        for r in out.select("doc_id", *kept).collect():
+            assert [r[c] for c in kept] == [f"{c}-{r['doc_id']}" for c in kept]
+    pages = docs.select("doc_id", F.col("text").alias("body"), *(c for c in CLASHES if c != "html"), F.col("text").alias("html"))
+    assert {r["texts"] for r in html_text.extract(pages).collect()} == {f"texts-{i}" for i in range(5)}
+
+
+def duck(rows_or_path, sql):
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    if isinstance(rows_or_path, str):
+        db.sql(f"CREATE VIEW documents AS SELECT * FROM '{rows_or_path}/documents.parquet'")
+    else:
+        db.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n BIGINT)")
+        db.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", [list(r) for r in rows_or_path])
+    rel = db.sql(sql)
+    return sorted(map(str, (dict(sorted(zip(rel.columns, r))) for r in rel.fetchall())))
+
+
+def told(df):
+    return sorted(str(dict(sorted(r.asDict().items()))) for r in df.collect())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_against_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    assert told(catalog.queries()[name](spark, sf)) == duck(sf, catalog.oracle_sql()[name])
+
+
+def test_mixing_without_ids(spark):
+    rows = [(None, prose(PICK.randint(0, 30)), None, "a", 0) for _ in range(300)]
+    got = mixing.mix_counts(table(spark, rows))
+    assert got.count() == 300
+    spread = spark.createDataFrame(rows, SCHEMA).select(F.pmod(mixing._spread(F.col("doc_id"), F.col("text")), F.lit(16)).alias("cell")).distinct().count()
+    assert spread > 10
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(400, 16))
@@ -209,6 +322,14 @@ def test_licenses_wrapped(spark):
     cases = {1: (head + wrapped(mit, 72), "MIT"), 2: (wrapped(mit, 78, " * "), "MIT"), 3: (wrapped(mit, 70, "# ", "\r\n"), "MIT"), 4: (wrapped([gpl], 75), "GPL-2.0-or-later"), 5: (wrapped(bsd, 74), "BSD-2-Clause"), 6: ("Licensed under\n\nthe MIT License.", ""), 7: ("Copyright Someone\nAll rights\nreserved.", "proprietary"), 8: ("Not licensed under\nthe MIT License.", "")}
     got = {r["doc_id"]: (r["licences"], r["rest"]) for r in licenses.scan(table(spark, [(i, t, None, None, 0) for i, (t, _) in cases.items()])).collect()}
     assert got == {i: (x, ";") for i, (_, x) in cases.items()}
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    lgpl = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    more = {11: (apache, "Apache-2.0"), 12: (mpl, "MPL-2.0"), 13: (wrapped([lgpl], 66, "// "), "LGPL-2.1-or-later"), 14: ("// SPDX-License-Identifier: AGPL-3.0-only\nint x;", "AGPL-3.0-only"), 15: ("This is free and unencumbered software released into the\npublic domain.", "Unlicense"), 16: ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"), 17: ("Not distributed under the ISC license", ""), 18: (None, ""), 19: (apache + "\n\n" + mpl, "Apache-2.0|MPL-2.0")}
+    rows = [(i, t, None, None, 0) for i, (t, _) in [*cases.items(), *more.items(), (11, more[11])]]
+    out = licenses.scan(table(spark, rows)).select("doc_id", *licenses.ADDED)
+    assert {r["doc_id"]: r["licences"] for r in out.collect() if r["doc_id"] > 10} == {i: x for i, (_, x) in more.items()}
+    assert told(out) == duck(rows, licenses.SQL)
 
 
 def test_html(spark):
@@ -225,6 +346,51 @@ def test_html(spark):
     assert right >= 0.98 * sum(len(y) for _, y in held)
 
 
+def test_html_without_telling_names():
+    model = html_text.default_model()
+    one, two = "This is a first paragraph of the story, with a few words in it.", "And another one follows here, as long as the first."
+    cases = {
+        f'<div class="x1"><p>{one}</p><p>{two}</p></div>': f"{one} {two}",
+        f"<p>{one}<p>{two}": f"{one} {two}",
+        f"{one} {two}": f"{one} {two}",
+        f'<article><p>{one}</p><svg class="i"/><p>{two}</p></article>': f"{one} {two}",
+        f"<article><p>{one}</p><svg><path/><p>{two}</p></article>": f"{one} {two}",
+        f'<article><p title="it>{one}</p><p>{two}</p></article>': f"{one} {two}",
+        f"<article><p it's>{one}</p><p>{two} it's</p></article>": f"{one} {two} it's",
+        f"<article><p>{one} 1 < 2 &lt;b&gt;</p><!-- x --><p>{two}</p></article><!-- <p>no": f"{one} 1 < 2 <b> {two}",
+        f"<script>var a = 1;</script><article><p>{one}</p></article><script>x": one,
+    }
+    assert html_text.main_texts(list(cases), model) == list(cases.values())
+    assert html_text.main_texts(list(cases), model) == [html_text.main_texts([c], model)[0] for c in cases]
+
+
+def test_html_of_very_long_pages():
+    import time
+
+    model = html_text.default_model()
+    for page in ("<a " * 200_000, '<p "' * 200_000, "<svg>" * 200_000, "<div>" * 50_000, '<a x="' * 200_001 + ">"):
+        began = time.time()
+        html_text.main_texts([page], model)
+        assert time.time() - began < 20
+    text = prose(20_000)
+    assert html_text.main_texts([f"<article><p>{text}</p></article>"], model) == [text]
+
+
+def test_paragraphs_of_large_cells(spark):
+    """Lines of a common part and own words: every link by brute force is connected, whatever the size of a cell."""
+    pick = random.Random(21)
+    common = [prose(50, pick) for _ in range(2)]
+    rows = []
+    for i in range(150):
+        own = prose(10, pick).split()
+        rows.append((2 * i, f"{pick.choice(common)} {' '.join(own)}", "", "", 0))
+        own[9] = "changed"
+        rows.append((2 * i + 1, f"{rows[-1][1].rsplit(' ', 10)[0]} {' '.join(own)}", "", "", 0))
+    want = plain_components(rows, 5, 8, 10)
+    got = {r["doc_id"]: r["keeper_doc_id"] for r in paragraphs.repeated_paragraphs(table(spark, rows)).collect() if r["first"] == 0 and r["last"] == 60}
+    assert [got.get(i, i) for i in want] == [k for _, k in want.values()]
+
+
 def test_paragraphs(spark):
     pick = random.Random(3)
     passage = prose(60, pick).replace(" w", ". w") + "."
@@ -330,6 +496,33 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
 
 
+def test_pipeline_against_a_plain_version(spark, tmp_path):
+    """Every stage by loops over lists; mixing by its SQL, encoding by the tokenizer library."""
+    from tokenizers import Tokenizer
+
+    pick = random.Random(16)
+    kinds = {"en": ["the", "thing", "shower", "with", "that", *WORDS[:60]], "fr": ["eau", "fenêtre", "leçon", "oiseau", "quel", *WORDS[200:260]]}
+    rows = [(i, " ".join(pick.choices(kinds[k], k=pick.randint(10, 60))), k, pick.choice(["a", "b", None]), 0) for i in range(90) for k in [pick.choice(["en", "fr"])]]
+    for i in range(90, 120):
+        w = rows[i - 90][1].split()
+        w[pick.randrange(len(w))] = "changed"
+        rows.append((i, " ".join(w) if i % 3 else rows[i - 90][1], "en", "b", 0))
+    rows += [(200, None, "en", "a", 0), (201, "12 !", "en", "a", 0), (202, "", None, None, 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    model = tuple(language.train(spark.createDataFrame([r for r in rows if zlib.crc32(str(r[0]).encode()) % 5], SCHEMA)).items())
+    predicted = [(r, language.predict_one(model, r[1])) for r in rows]
+    docs = [(r[0], r[1], lang, *r[3:]) for r, (lang, _, rejected) in predicted if not rejected]
+    last = {r[1]: r for r in sorted(docs, key=lambda r: r[0])}
+    docs = sorted(last.values(), key=lambda r: r[0])
+    root = plain_components(docs, 5, 8, 10)
+    docs = [r for r in docs if root[r[0]][1] == r[0]]
+    taken = {int(x["doc_id"]): x["taken"] // max(1, x["size"]) for x in map(eval, duck(docs, mixing.SQL))}
+    library = Tokenizer.from_file(bpe.tokenizer_path())
+    want = sorted((r[0], hashlib.sha256(np.array(library.encode(r[1], add_special_tokens=False).ids, dtype="<u4").tobytes()).hexdigest()) for r in docs for _ in range(taken[r[0]]))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["ids_sha256"]) for r in got) == want and len({r[0] for r in want}) > 40
+
+
 def test_pipeline_near_copies_rule(spark):
     pick = random.Random(9)
     rows = []
