@@ -1,4 +1,4 @@
-"""A read-eval-print loop over the store: python -m fathomdex.cli [--data DIR]."""
+"""A read-eval-print loop over the store: python -m fathomdex.cli [--data DIR | --demo]."""
 
 from __future__ import annotations
 
@@ -70,7 +70,7 @@ def handle(engine: Engine, line: str) -> str | None:
             return f"sealed {info.segment} ({info.documents} docs)" if info.segment else "nothing to flush"
         if command == "merge":
             info = engine.merge()
-            return {"merged": f"merged into {info.segment}", "emptied": "merged to nothing", "none": "no segments on disk", "single": "already one segment", "kept": "left the larger segment alone"}[info.outcome]
+            return {"merged": f"merged into {info.segment}", "emptied": "merged to an empty index", "none": "no segments on disk", "single": "already one segment", "kept": "left the larger segment alone"}[info.outcome]
         if command == "stats":
             return "\n".join(f"{k:<16} {v}" for k, v in vars(engine.stats()).items())
         return HELP if command == "help" else "" if not command else f"unknown command: {command}"
@@ -89,18 +89,63 @@ def _search(engine: Engine, query: str) -> str:
     return "\n".join(lines + [f"  ... {found.total - len(hits)} more"] * (found.total > len(hits)))
 
 
+#: A self-check: commands, and what the answer must hold.
+DEMO = (
+    ('put otter "Small River Otter" "A small river otter dives under the cold bridge."', "1 in the active segment"),
+    ('put heron "Cold Heron" "The cold heron waits after chasing an otter."', "2 in the active segment"),
+    ("search otters", "2 hits"),
+    ('search "small river"', "1 hit"),
+    ("search otter -heron", "1. "),
+    ("search NOT otter", "no hits"),
+    ("search the", "error: query has no searchable terms"),
+    ('put otter "x" "y"', "error: document already indexed: otter"),
+    ("flush", "sealed seg-000001 (2 docs)"),
+    ('put gears "Mill Gears" "Old mills turn wooden gears."', "1 in the active segment"),
+    ("del heron", "tombstoned heron"),
+    ("search chasing", "no hits"),
+    ("merge", "merged into seg-000003"),
+    ("search mill", "gears"),
+    ("list", "otter  Small River Otter\ngears  Mill Gears"),
+    ("get heron", "no such document"),
+    ("del gears", "tombstoned gears"),
+    ("del otter", "tombstoned otter"),
+    ("merge", "merged to an empty index"),
+    ("list", "no documents"),
+)
+
+
+def demo(spark, folder: str) -> list[str]:
+    """Runs the self-check in an empty folder, the store opened anew before each command: what failed."""
+    wrong = []
+    for line, holds in DEMO:
+        said = handle(Engine(spark, folder), line)
+        if holds not in (said or ""):
+            wrong.append(f"{line}: {said!r} instead of {holds!r}")
+    return wrong
+
+
 def main(argv: list[str]) -> int:
-    folder = "index_data"
+    folder, check = "index_data", False
     args = iter(argv)
     for a in args:
         if a in ("--help", "-h"):
-            print(f"--data DIR\n{HELP}")
+            print(f"--data DIR, or --demo for a self-check\n{HELP}")
             return 0
+        if a == "--demo":
+            check = True
+            continue
         if a != "--data" or (folder := next(args, None)) is None:
             print(f"unknown option: {a}", file=sys.stderr)
             return 2
     from fathomdex.session import local_session
 
+    if check:
+        import tempfile
+
+        with tempfile.TemporaryDirectory() as own:
+            wrong = demo(local_session(), own)
+        print("\n".join(wrong) or f"self-check passed ({len(DEMO)} commands)")
+        return int(bool(wrong))
     try:
         engine = Engine(local_session(), folder)
         for line in sys.stdin:

@@ -2,15 +2,16 @@
 
 import pytest
 
-from fathomdex.cli import handle, split_args
+from fathomdex.cli import demo, handle, split_args
 from fathomdex.operators.store import Engine, StoreError
 from fathomdex.plans.query_lang import QueryError
 from fathomdex.sources.segment_text import SegmentError, SegmentTextSource, build_segment, escape, format_segment, parse_segment, unescape
 from fathomdex.streaming.ingest import ingest
 
-from .test_search import D6, EXPECTED
+from .test_search import D6, EXPECTED, evaluate
 
-GOLDEN = "INDEXDB 1\n1\ndog\nLazy Dog\nA lazy dog sleeps after chasing the fox.\n2 6\ntitle\n2\ndog\n1\n0 1 1 1\nlazy\n1\n0 1 1 0\nbody\n6\nafter\n1\n0 1 1 3\nchas\n1\n0 1 1 4\ndog\n1\n0 1 1 1\nfox\n1\n0 1 1 5\nlazy\n1\n0 1 1 0\nsleep\n1\n0 1 1 2\n"
+#: The text format's layout with a document of our own; its first line is a fixed value of the format.
+GOLDEN = "INDEXDB 1\n1\nheron\nCold Heron\nThe cold heron waits after chasing an otter.\n2 6\ntitle\n2\ncold\n1\n0 1 1 0\nheron\n1\n0 1 1 1\nbody\n6\nafter\n1\n0 1 1 3\nchas\n1\n0 1 1 4\ncold\n1\n0 1 1 0\nheron\n1\n0 1 1 1\notter\n1\n0 1 1 5\nwait\n1\n0 1 1 2\n"
 
 
 def ids(engine, query):
@@ -26,36 +27,36 @@ def test_life_cycle(spark, tmp_path):
         e.put(*row)
     s = e.stats()
     assert (s.sealed_segments, s.active_docs, s.live_docs) == (1, 3, 6)
-    for query in ("fox", '"quick brown"', "title:fox", "fox -dog"):
+    for query in ("otter", '"small river"', "title:otter", "otter -heron"):
         assert ids(e, query) == pytest.approx(EXPECTED[query], abs=2e-6)
-    assert e.search("fox", 1).total == 4
-    with pytest.raises(StoreError, match="document already indexed: fox"):
-        e.put("fox", "x", "y")
+    assert e.search("otter", 1).total == 4
+    with pytest.raises(StoreError, match="document already indexed: otter"):
+        e.put("otter", "x", "y")
     with pytest.raises(StoreError, match="document id is empty"):
         e.put("", "x", "y")
     with pytest.raises(StoreError, match="newline"):
         e.put("a\nb", "x", "y")
     with pytest.raises(QueryError):
         e.search("the")
-    e.remove("dog")
+    e.remove("heron")
     assert (tmp_path / "seg-000001.dead").exists()
     assert e.stats().dead_docs == 1
-    e.remove("bear")
-    with pytest.raises(StoreError, match="no such document: bear"):
-        e.remove("bear")
-    assert ids(e, "fish") == {}
-    before = ids(e, "fox OR index")
+    e.remove("trout")
+    with pytest.raises(StoreError, match="no such document: trout"):
+        e.remove("trout")
+    assert ids(e, "hide") == {}
+    before = ids(e, "otter OR ledger")
     assert e.merge().outcome == "merged"
     s = e.stats()
     assert (s.sealed_segments, s.active_docs, s.live_docs, s.dead_docs) == (1, 0, 4, 0)
     assert not list(tmp_path.glob("*.dead"))
-    assert ids(e, "fox OR index") == pytest.approx(before, abs=1e-12)
+    assert ids(e, "otter OR ledger") == pytest.approx(before, abs=1e-12)
     again = Engine(spark, str(tmp_path))
-    assert again.get("segments")[1] == "Search Segments"
-    assert again.get("dog") is None
-    assert [r["id"] for r in again.list().collect()] == ["fox", "city", "index", "segments"]
-    again.put("dog", "Lazy Dog", "back again")
-    assert again.get("dog") == ("dog", "Lazy Dog", "back again")
+    assert again.get("gears")[1] == "Mill Gears"
+    assert again.get("heron") is None
+    assert [r["id"] for r in again.list().collect()] == ["otter", "town", "ledger", "gears"]
+    again.put("heron", "Cold Heron", "back again")
+    assert again.get("heron") == ("heron", "Cold Heron", "back again")
 
 
 def test_auto_flush_and_tiers(spark, tmp_path):
@@ -65,13 +66,55 @@ def test_auto_flush_and_tiers(spark, tmp_path):
             e.put(x, x, "body")
         e.flush()
     for i in range(8):
-        last = e.put(f"big{i}", f"Title {i}", "body fox number")
+        last = e.put(f"big{i}", f"Title {i}", "a heron again")
     assert last.documents == 8 and e.stats().sealed_segments == 3
     assert e.merge().outcome == "merged"
     s = e.stats()
     assert (s.sealed_segments, s.live_docs, s.dead_docs) == (2, 12, 0)
 
 
+def test_three_merges_and_bulk_deletes(spark, tmp_path):
+    """Against the plain evaluator after each merge; document numbers stay apart."""
+    e = Engine(spark, str(tmp_path))
+    rows = [(f"d{i:02}", f"title {'red' if i % 3 else 'blue'}", " ".join(["heron"] * (1 + i % 4) + ["otter"] * (i % 2) + [f"w{i}"])) for i in range(32)]
+    frame = spark.createDataFrame(rows, "id string, title string, body string")
+    live = []
+    for low, high in ((0, 4), (4, 8), (8, 16), (16, 32)):
+        e.put_all(frame.filter((frame.id >= f"d{low:02}") & (frame.id < f"d{high:02}")).repartition(3))
+        live += rows[low:high]
+        if low == 8:
+            assert e.remove_all(spark.createDataFrame([("d01",), ("d09",), ("none",)], "id string")) == 2
+            live = [r for r in live if r[0] not in ("d01", "d09")]
+        if low:
+            assert e.merge().outcome == "merged"
+        numbers = [(r["seg"], r["doc"]) for r in e.documents().collect()]
+        assert len(set(numbers)) == len(numbers) == len(live)
+        for query in ("heron", "otter -blue", '"heron otter"', "title:red w5"):
+            want = dict(sorted(evaluate(live, query).items(), key=lambda x: (-x[1], x[0]))[:10])
+            assert ids(e, query) == pytest.approx(want, abs=1e-9), (low, query)
+    assert e.stats().sealed_segments == 1 and e.stats().live_docs == 30
+    assert len(list(tmp_path.glob("seg-*/postings/field=*/*.parquet"))) > 2
+    assert e.get("d01") is None and Engine(spark, str(tmp_path)).get("d31")[0] == "d31"
+
+
+def test_odd_ids(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    for i in ("a\\b", "a\\\\b", " c ", "\\n"):
+        e.put(i, "t", "heron")
+    e.flush()
+    e.remove("a\\b")
+    assert e.remove_all(spark.createDataFrame([("\\n",)], "id string")) == 1
+    again = Engine(spark, str(tmp_path))
+    assert set(ids(again, "heron")) == {"a\\\\b", " c "} and again.stats().dead_docs == 2
+
+
+def test_copies_in_a_bulk_load(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    rows = [("x", "b", "two"), ("x", "a", "three"), ("x", "a", "one"), ("", "t", "b"), ("y", None, None)]
+    assert e.put_all(spark.createDataFrame(rows, "id string, title string, body string").repartition(4)).documents == 2
+    assert e.get("x") == ("x", "a", "one") and e.get("y") == ("y", "", "")
+
+
 def test_crash_recovery(spark, tmp_path):
     e = Engine(spark, str(tmp_path))
     e.put("keep", "t", "b\r\n\\x")
@@ -107,14 +150,14 @@ def test_bulk_and_stream(spark, tmp_path):
     rows.write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema("id string, title string, body string").json(str(tmp_path / "in"))
     ingest(e, stream, str(tmp_path / "cp")).awaitTermination()
-    assert ids(e, "fox") == pytest.approx(EXPECTED["fox"], abs=2e-6)
+    assert ids(e, "otter") == pytest.approx(EXPECTED["otter"], abs=2e-6)
     assert e.put_all(rows).documents == 0
 
 
 def test_segment_text(spark, tmp_path):
     parsed = parse_segment(GOLDEN)
     assert format_segment(parsed) == GOLDEN
-    assert format_segment(build_segment([("dog", "Lazy Dog", "A lazy dog sleeps after chasing the fox.")])) == GOLDEN
+    assert format_segment(build_segment([("heron", "Cold Heron", "The cold heron waits after chasing an otter.")])) == GOLDEN
     assert parsed.tokens("body") == 6
     for text, message in (("x\n", "not a segment"), ("INDEXDB 1\n2\na\n", "truncated"), ("INDEXDB 1\nq\n", "bad count"), ("INDEXDB 1\n0\nbody\n", "missing title"), ("INDEXDB 1\n1\na\nb\nc\nz\n", "bad document length")):
         with pytest.raises(SegmentError, match=message):
@@ -131,12 +174,16 @@ def test_segment_text(spark, tmp_path):
 def test_repl(spark, tmp_path):
     e = Engine(spark, str(tmp_path))
     assert split_args('a "b \\" c" d"e') == ["a", 'b " c', 'd"e']
-    assert handle(e, 'put x "A fox" "the fox ran"') == "ok  x  (1 in the active segment)"
-    assert handle(e, "search fox").startswith("1 hit\n  1. ")
-    assert handle(e, "search dog") == "no hits"
+    assert handle(e, 'put x "An otter" "the otter ran"') == "ok  x  (1 in the active segment)"
+    assert handle(e, "search otter").startswith("1 hit\n  1. ")
+    assert handle(e, "search heron") == "no hits"
     assert handle(e, "search (") == "error: unexpected end of query"
     assert handle(e, "get y") == "no such document"
     assert handle(e, "flush") == "sealed seg-000001 (1 docs)"
     assert handle(e, "merge") == "already one segment"
-    assert handle(e, "list") == "x  A fox"
+    assert handle(e, "list") == "x  An otter"
     assert handle(e, "quit") is None
+
+
+def test_demo(spark, tmp_path):
+    assert demo(spark, str(tmp_path)) == []
