@@ -292,10 +292,18 @@ class _Maker:
         tag = r.choice(("div", "div", "section", semantic or "div"))
         return f'<{tag} {r.choice(("class", "id"))}="{name}">{inner}</{tag}>'
 
-    def side(self, kind: str) -> str:
+    def side(self, kind: str, blank: bool = True) -> str:
+        """blank: whether the names of a plain page may say nothing about it."""
+        plain = self.plain
+        self.plain = plain and blank
+        out = self._side(kind)
+        self.plain = plain
+        return out
+
+    def _side(self, kind: str) -> str:
         r = self.r
         if kind == "nav":
-            return self.box(kind, self.links())
+            return self.box(kind, self.links() if r.random() < 0.9 else self.words(1, 5))
         if kind == "header":
             return self.box(kind, r.choice((self.words(1, 4), f"<p>{self.sentence()}</p>", f'<a href="/">{self.words(1, 2)}</a>' + self.links())))
         if kind == "footer":
@@ -314,7 +322,9 @@ class _Maker:
     def content(self) -> str:
         r = self.r
         out = [f"<h1>\0{self.words(1, 9).capitalize()}</h1>"] if r.random() < 0.85 else []
-        for _ in range(r.randint(1, 14)):
+        if not self.plain and r.random() < 0.2:  # next to nothing
+            out = out[: r.randint(0, 1)] + [f"<p>\0{self.words(1, 3).capitalize()}.</p>" for _ in range(r.randint(1, 2))]
+        for _ in range(r.randint(1, 14) if len(out) < 2 and not (out and "<p>" in out[0]) else 0):
             x = r.random()
             if x < 0.7:
                 out.append(r.choice((f"<p>\0{self.prose()}</p>", f"<p>\0{self.prose()}", f"<p><b>\0{self.prose()}<br>", f"<div>\0{self.prose()}</div>")))
@@ -341,6 +351,9 @@ class _Maker:
 
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.08:  # no content at all
+            kinds = r.sample(("nav", "header", "footer", "form", "notice", "comments", "aside", "ad"), r.randint(1, 3))
+            return f"<html><body>{''.join(self.side(k, False) for k in kinds)}</body></html>"
         if self.plain and r.random() < 0.3:  # a bare text or bare paragraphs
             text = r.choice((f"\0{self.prose(9)}", "".join(f"<p>\0{self.prose()}</p>" for _ in range(r.randint(1, 6))), f"<h1>\0{self.words(1, 6)}</h1>" + "".join(f"<p>\0{self.prose()}" for _ in range(r.randint(1, 6)))))
             return r.choice((text, f"<html><body>{text}</body></html>", f"<div>{text}</div>"))
