@@ -305,7 +305,7 @@ class _Maker:
         if kind == "nav":
             return self.box(kind, self.links() if r.random() < 0.9 else self.words(1, 5))
         if kind == "header":
-            return self.box(kind, r.choice((self.words(1, 4), f"<p>{self.sentence()}</p>", f'<a href="/">{self.words(1, 2)}</a>' + self.links())))
+            return self.box(kind, r.choice((self.words(1, 4), f"<h1>{self.words(1, 4)}</h1>", f"<p>{self.sentence()}</p>", f'<a href="/">{self.words(1, 2)}</a>' + self.links())))
         if kind == "footer":
             return self.box(kind, r.choice((f"&copy; {self.words(1, 3)} &middot; {self.sentence()}", f"<p>&copy; {self.words(1, 4)}</p>" + self.links(), f"<p>{self.prose(2)}</p>")))
         if kind == "aside":
@@ -343,6 +343,8 @@ class _Maker:
             return r.choice((f"<div{name}>{''.join(out)}</div>", f"<div><div{name}>{''.join(out)}</div></div>", "".join(out), f"<section{name}>{''.join(out)}</section>"))
         tag = r.choice(("article", "article", "article", "main", "div"))
         name = f' class="{r.choice(_CONTENT_NAMES)}"' if tag == "div" or r.random() < 0.3 else ""
+        if tag == "article" and out[:1] and out[0].startswith("<h1>") and r.random() < 0.1:
+            out[0] = f"<header>{out[0]}</header>"
         return f"<{tag}{name}>{''.join(out)}</{tag}>"
 
     def code(self) -> str:
