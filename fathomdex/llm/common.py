@@ -36,15 +36,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_dir(spark).rstrip('/')}/fathomdex-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.work_tables = (path,)
+    return out
+
+
+def made_so_far(spark: SparkSession) -> int:
+    """How many working tables there are."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def drop_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Deletes the working tables made since made_so_far gave mark, but for those behind keep.
+
+    Call it when all that reads them has been written itself: later stages, and what is
+    computed anew after an executor's loss, start from the tables that are kept.
+    """
+    kept = {path for df in keep for path in df.work_tables}
+    made = _made.setdefault(spark.sparkContext.applicationId, [])
+    _delete(spark, [path for path in made[mark:] if path not in kept])
+    made[mark:] = [path for path in made[mark:] if path in kept]
 
 
 def drop_work_tables(spark: SparkSession) -> None:
     """Deletes the tables that `materialize` has written in this application. Results that
     haven't been written or collected yet read them, so call this last."""
+    _delete(spark, _made.pop(spark.sparkContext.applicationId, []))
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _made.pop(spark.sparkContext.applicationId, []):
+    for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
 
@@ -94,6 +117,8 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     neighbours or children doesn't meet in one task either.
     Every round is written to the shared folder; only counts reach the driver.
     """
+    spark = edges.sparkSession
+    mark = made_so_far(spark)
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = materialize(edges.select(low.alias("a"), high.alias("b")).filter("a < b").distinct(), f"{name}-edges")
     for _ in range(most_rounds):
@@ -109,9 +134,12 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
         rest = lookup(now.select("a", "b"), parent.filter("n > 1"), "b", "n", total, nodes).filter("a > p").select(F.col("p").alias("a"), F.col("a").alias("b"), F.lit(True).alias("moved"))
         then = tree.unionByName(rest).groupBy("a", "b").agg(F.max("moved").alias("moved"))
         now = materialize(then, f"{name}-round")
+        drop_since(spark, mark, now)
         if not now.filter("moved").head(1):
             break
     else:
         raise RuntimeError(f"no end after {most_rounds} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
-    return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(roots)
+    out = now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(roots)
+    out.work_tables = now.work_tables
+    return out

@@ -47,7 +47,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomdex.llm.common import components, lookup, materialize
+from fathomdex.llm.common import components, drop_since, lookup, made_so_far, materialize
 from fathomdex.llm.shingles import mix, shingle_sets
 
 WIDTH = 4
@@ -544,8 +544,13 @@ def _voronoi(batches: Iterator[pd.DataFrame], rule: Rule = RULE) -> Iterator[pd.
 def similar_links(docs: DataFrame, described: DataFrame, sets: DataFrame, part: int = PART, rule: Rule = RULE) -> DataFrame:
     """Links (a, b) between documents (doc_id, text) of different sets; sets: one row
     (key, node, n) for each distinct set, node its smallest id."""
-    regions = components(candidate_ties(docs, described, sets, rule), "candidates").withColumnsRenamed({"node": "key", "root": "region"})
+    spark = docs.sparkSession
+    mark = made_so_far(spark)
+    groups = components(candidate_ties(docs, described, sets, rule), "candidates")
+    drop_since(spark, mark, groups)
+    regions = groups.withColumnsRenamed({"node": "key", "root": "region"})
     members = materialize(regions.join(sets.select("key", F.col("node").alias("doc_id"), "n").hint("merge"), "key").drop("key"), "members")
+    drop_since(spark, mark, members)
     return region_links(docs, members, part, rule)
 
 
@@ -594,9 +599,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     meta = described.select("doc_id", "n", "digest", "key")
     sets = meta.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("key").alias("key"), F.count(F.lit(1)).alias("weight"))
     sets = materialize(sets, "sets")
+    mark = made_so_far(docs.sparkSession)
     links = materialize(similar_links(rows, described, sets.filter("node IS NOT NULL"), part, rule), "links")
+    drop_since(docs.sparkSession, mark, links)
     root = components(links, "links")
     table = materialize(sets.join(root.hint("merge"), "node", "left").select("digest", "weight", F.coalesce("root", "node").alias("root")), "roots")
+    drop_since(docs.sparkSession, mark, table)
     total = table.agg(F.sum("weight")).first()[0] or 0
     found = lookup(meta.filter("n > 0"), table, "digest", "weight", total)
     component = F.when(F.col("doc_id").isNotNull(), F.col("root"))

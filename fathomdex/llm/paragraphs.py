@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomdex.llm.common import components, lookup, materialize
+from fathomdex.llm.common import components, drop_since, lookup, made_so_far, materialize
 from fathomdex.llm.jaccard_join import Rule, region_links
 from fathomdex.llm.shingles import BATCH_BYTES, SPACE, _rolled, mix, word_hashes
 
@@ -363,9 +363,13 @@ def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_runs(rows: DataFrame) -> DataFrame:
     """doc_id, first, last, keeper_doc_id and keeper_first of every equal passage of rows (doc_id, text), keepers included."""
+    spark = rows.sparkSession
+    mark = made_so_far(spark)
     every = materialize(rows.mapInPandas(_run_rows, "gram long, run long, doc_id long, first int, last int"), "runs")
     grams = materialize(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n_gram")).filter("n_gram > 1"), "grams")
     met = materialize(lookup(every, grams, "gram", "n_gram", grams.agg(F.sum("n_gram")).first()[0] or 0).drop("n_gram"), "met-runs")
+    drop_since(spark, mark, met)
+    mark = made_so_far(spark)
     met = met.select(F.struct("gram", "run").alias("key"), "doc_id", "first", "last")
     groups = materialize(met.groupBy("key").agg(F.min(F.struct("doc_id", "first", "last")).alias("head"), F.count(F.lit(1)).alias("n")), "runs-groups")
 
@@ -380,6 +384,7 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     earlier = earlier.filter("doc_id != to.doc_id OR first != to.first").groupBy("key").agg(F.collect_set(F.struct("offset", "to.doc_id", "to.first")).alias("before"))
     known = groups.join(earlier.hint("merge"), "key", "left").filter("n > 1 OR before IS NOT NULL")
     known = materialize(known.select("key", "n", F.col("head.doc_id").alias("head_doc_id"), F.col("head.first").alias("head_first"), "before"), "known")
+    drop_since(spark, mark, known)
     found = lookup(met, known, "key", "n", known.agg(F.sum("n")).first()[0] or 0).select("doc_id", "first", "last", "head_doc_id", "head_first", "before")
     found = found.mapInPandas(_kept, "doc_id long, first int, last int, keeper_doc_id long, keeper_first int").distinct().withColumn("apart", F.expr("first - keeper_first"))
     order = ["doc_id", "keeper_doc_id", "apart", "first"]
@@ -391,6 +396,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row for each member of a group of repeats: doc_id, first and last (words, end
     exclusive), keeper_doc_id, keeper_first, and removed (false for the keeper)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    mark = made_so_far(rows.sparkSession)
     found = rows.mapInPandas(_unit_rows, "cell long, doc_id long, first int, last int, check long, of_doc_id long, of_first int, of_last int")
     met = found.repartition("cell").sortWithinPartitions("cell", "check", *_NAMES).mapInPandas(_meet, "doc_id_a long, first_a int, last_a int, doc_id_b long, first_b int, last_b int, kind int, check_a long, check_b long")
     met = materialize(met.distinct(), "met")
@@ -399,6 +405,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = pairs.filter(F.col("kind") == SAME).select("a", "b").unionByName(_verified(rows, pairs.filter(F.col("kind") == PAIR)))
     links = links.unionByName(_joined_cells(rows, pairs.filter(F.col("kind") == TIE)))
     groups = components(links, "repeats")
+    drop_since(rows.sparkSession, mark, groups)
 
     node, root = _passage("node"), _passage("root")
     lines = groups.select(*(x.alias(n) for n, x in node.items()), root["doc_id"].alias("keeper_doc_id"), root["first"].cast("int").alias("keeper_first"))
@@ -423,11 +430,13 @@ def _joined_cells(rows: DataFrame, ties: DataFrame) -> DataFrame:
     heads = F.explode(F.array(*(F.struct(F.col(f"check_{s}").alias("check"), F.struct(F.col(s).alias("key"), F.col(f"u{s}").alias("u")).alias("head")) for s in "ab")))
     heads = ties.select(heads.alias("x")).select("x.*").groupBy("check").agg(F.min("head").alias("head"))
     heads = materialize(heads.select("check", "head.key", "head.u"), "heads")
+    mark = made_so_far(rows.sparkSession)
     regions = components(ties.select(F.col("check_a").alias("a"), F.col("check_b").alias("b")), "cells")
     spans = heads.groupBy(F.col("u.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("u.first", "u.last", "check")).alias("spans"))
     lines = rows.join(spans.hint("merge"), "doc_id").select("text", "spans").mapInPandas(_lines_of, "doc_id long, n long, text string")
     lines = materialize(lines.dropDuplicates(["doc_id"]), "lines")
     members = materialize(lines.select("doc_id", "n").join(regions.select(F.col("node").alias("doc_id"), F.col("root").alias("region")).hint("merge"), "doc_id"), "members")
+    drop_since(rows.sparkSession, mark, lines, members)
     found = region_links(lines.select("doc_id", "text"), members, rule=Rule(WIDTH, NUM, DEN))
     a, b = (heads.select(F.col("check").alias(f"check_{s}"), F.col("key").alias(s)) for s in "ab")
     found = found.withColumnsRenamed({"a": "check_a", "b": "check_b"})
