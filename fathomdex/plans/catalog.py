@@ -17,6 +17,7 @@ from fathomdex.plans.compiler import FIELD_BOOST, K1, MAX_COUNT, PHRASE_BOOST, B
 from fathomdex.plans.query_lang import FIELDS, And, Not, Phrase, Term, fields_of, parse
 from fathomdex.session import shared_folder
 from fathomdex.sources.documents import documents
+from fathomdex.sources.segment_text import SegmentTextSource
 
 SEARCHES = {
     "search_term": "anea",
@@ -130,6 +131,31 @@ def _store_get(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([r for i in ("11", "14") if (r := engine.get(i))], "id string, title string, body string")
 
 
+_texts: dict[tuple[str, str], str] = {}
+
+
+def _segment_text(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    """The documents table in the text format, written once, and read as one of its tables."""
+    spark.dataSource.register(SegmentTextSource)
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _texts:
+        path = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
+        documents(spark, sf).repartition(4, "id").write.format("segment_text").mode("append").save(path)
+        _texts[key] = path
+    return spark.read.format("segment_text").option("table", table).load(_texts[key])
+
+
+def _segment_postings(spark: SparkSession, sf: str) -> DataFrame:
+    ids = _segment_text(spark, sf, "documents").select("file", "doc", F.col("id").cast("long").alias("doc_id"))
+    return _segment_text(spark, sf, "postings").join(ids, ["file", "doc"]).select("doc_id", "field", "term", "tf", _spelled("positions"))
+
+
+def _reopened(spark: SparkSession, sf: str) -> DataFrame:
+    """A store opened anew: the manifest's segments, and the buffer from the log."""
+    engine = Engine(spark, _store(spark, sf, "flushed").path)
+    return _hits(index_scores(engine.documents(), engine.postings(), SEARCHES["search_or"]))
+
+
 def _spelled(positions: str):
     return F.array_join(F.col(positions).cast("array<string>"), ",").alias("positions")
 
@@ -152,6 +178,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["store_stats"] = _store_stats
     out["store_list"] = lambda spark, sf: _store(spark, sf, "deleted").list()
     out["store_get"] = _store_get
+    out["reopen_then_search"] = _reopened
+    out["segment_text_documents"] = lambda spark, sf: _segment_text(spark, sf, "documents").select("id", "title", "title_len", "body_len")
+    out["segment_text_postings"] = _segment_postings
     out["search_topk"] = lambda spark, sf: ranked(_hits(scan_hits(documents(spark, sf), TOP)), TOP_K)
     out["search_total"] = lambda spark, sf: scan_hits(documents(spark, sf), TOP).agg(F.count(F.lit(1)).alias("total"))
     out["analyze_tokens"] = lambda spark, sf: with_tokens(documents(spark, sf)).select("id", *(F.array_join(f"{f}_tokens", " ").alias(f"{f}_tokens") for f in FIELDS))
@@ -231,7 +260,7 @@ def oracle_sql() -> dict[str, str]:
     out = {name: search_sql(q) for name, q in SEARCHES.items()}
     for name in ("search_and", "search_or", "search_phrase", "search_nested"):
         out[f"index_{name}"] = out[name]
-    out["flush_invariance"] = out["merge_invariance"] = search_sql(SEARCHES["search_or"])
+    out["flush_invariance"] = out["merge_invariance"] = out["reopen_then_search"] = search_sql(SEARCHES["search_or"])
     out["search_topk"] = f"SELECT * FROM ({search_sql(TOP)}) ORDER BY score DESC, id LIMIT {TOP_K}"
     out["search_total"] = f"SELECT count(*) AS total FROM ({search_sql(TOP)})"
     out["delete_then_search"] = search_sql(SEARCHES["search_or"], "WHERE doc_id % 7 <> 0")
@@ -243,7 +272,8 @@ def oracle_sql() -> dict[str, str]:
         f"p AS (SELECT CAST(id AS BIGINT) AS doc_id, field, term, least(count(*), {MAX_COUNT})::INTEGER AS tf, "
         f"coalesce(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE pos <= {MAX_COUNT}), '') AS positions FROM x GROUP BY id, field, term)"
     )
-    out["postings"] = out["merged_postings"] = f"WITH {rows} SELECT * FROM p"
+    out["segment_text_documents"] = f"WITH {_base()} SELECT id, title, len(title_tokens) AS title_len, len(body_tokens) AS body_len FROM t"
+    out["postings"] = out["merged_postings"] = out["segment_text_postings"] = f"WITH {rows} SELECT * FROM p"
     out["index_build"] = f"WITH {rows} SELECT field, count(*) AS postings, count(DISTINCT term) AS terms FROM p GROUP BY field"
     out["index_search_top"] = f"SELECT t.id, t.title, length(t.body) AS body_chars, t.score FROM ({search_sql(TOP, shown=True)}) t ORDER BY score DESC, id LIMIT {TOP_K}"
     live = "WHERE doc_id % 7 <> 0"

@@ -1,8 +1,10 @@
 """The line-based text format of a segment, as a Spark data source named "segment_text".
 
 A file holds a header, a document count, four lines for each document and the two field
-indexes. Reading gives one row for each stored document; `parse_segment` also gives the
-postings. Writing takes (id, title, body) rows and puts one segment file per partition.
+indexes. Reading gives one row for each stored document or, with the option table=postings,
+for each posting (and with field=title or field=body those of one field). A file is read
+line by line; what isn't asked for is skipped. `parse_segment` gives a whole segment. Writing
+takes (id, title, body) rows and puts one segment file per partition.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ HEADER = "INDEXDB 1"
 MAX_U16 = 65535
 MAX_U32 = 4294967295
 
+POSTING_SCHEMA = "file string, field string, term string, doc int, tf int, positions array<int>"
 DOCUMENT_SCHEMA = "file string, doc int, id string, title string, body string, title_len long, body_len long"
 
 
@@ -46,43 +49,57 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", lambda m: {"n": "\n", "r": "\r"}.get(m[1], m[1]), text, flags=re.DOTALL)
 
 
-def parse_segment(text: str, name: str = "segment") -> SegmentFile:
-    rest = iter(text.split("\n")[:-1] if text.endswith("\n") else text.split("\n"))
+class _SegmentLines:
+    """The parts of a segment file in order, read as they are asked for."""
+
+    def __init__(self, lines: Iterable[str], name: str):
+        self.rest, self.name = iter(lines), name
+        if self._line() != HEADER:
+            raise SegmentError(f"not a segment file: {name}")
+        self.many = self._count()
 
-    def line() -> str:
-        if (x := next(rest, None)) is None:
-            raise SegmentError(f"truncated segment file: {name}")
-        return x.removesuffix("\r")
+    def _line(self) -> str:
+        if (x := next(self.rest, None)) is None:
+            raise SegmentError(f"truncated segment file: {self.name}")
+        return x.removesuffix("\n").removesuffix("\r")
 
-    def count() -> int:
-        if not re.fullmatch("[0-9]+", x := line()):
-            raise SegmentError(f"bad count in segment file: {name}")
+    def _count(self) -> int:
+        if not re.fullmatch("[0-9]+", x := self._line()):
+            raise SegmentError(f"bad count in segment file: {self.name}")
         return int(x)
 
-    if line() != HEADER:
-        raise SegmentError(f"not a segment file: {name}")
-    out = SegmentFile()
-    for _ in range(count()):
-        id_, title, body = (unescape(line()) for _ in range(3))
-        lengths = line().split()
-        if len(lengths) < 2 or not all(re.fullmatch("[0-9]+", x) for x in lengths[:2]):
-            raise SegmentError(f"bad document length in segment file: {name}")
-        out.docs.append((id_, title, body, int(lengths[0]), int(lengths[1])))
-    for fld in ("title", "body"):
-        if line() != fld:
-            raise SegmentError(f"missing {fld} index in segment file: {name}")
-        for _ in range(count()):
-            term = line()
-            rows = []
-            for _ in range(count()):
-                numbers = line().split()
-                if len(numbers) < 3 or not all(re.fullmatch("[0-9]+", x) for x in numbers):
-                    raise SegmentError(f"bad posting in segment file: {name}")
-                doc, tf, n, *positions = map(int, numbers)
-                if doc >= len(out.docs) or tf > MAX_U16 or len(positions) != n or any(p > MAX_U16 for p in positions):
-                    raise SegmentError(f"bad posting in segment file: {name}")
-                rows.append((doc, tf, positions))
-            out.index[fld][term] = sorted(rows, key=lambda r: r[0])
+    def documents(self) -> Iterator[tuple[str, str, str, int, int]]:
+        for _ in range(self.many):
+            id_, title, body = (unescape(self._line()) for _ in range(3))
+            lengths = self._line().split()
+            if len(lengths) < 2 or not all(re.fullmatch("[0-9]+", x) for x in lengths[:2]):
+                raise SegmentError(f"bad document length in segment file: {self.name}")
+            yield id_, title, body, int(lengths[0]), int(lengths[1])
+
+    def postings(self) -> Iterator[tuple[str, str, list[tuple[int, int, list[int]]]]]:
+        """field, term and its rows; after documents() has ended."""
+        for fld in ("title", "body"):
+            if self._line() != fld:
+                raise SegmentError(f"missing {fld} index in segment file: {self.name}")
+            for _ in range(self._count()):
+                term = self._line()
+                yield fld, term, sorted((self._posting() for _ in range(self._count())), key=lambda r: r[0])
+
+    def _posting(self) -> tuple[int, int, list[int]]:
+        numbers = self._line().split()
+        if len(numbers) < 3 or not all(re.fullmatch("[0-9]+", x) for x in numbers):
+            raise SegmentError(f"bad posting in segment file: {self.name}")
+        doc, tf, n, *positions = map(int, numbers)
+        if doc >= self.many or tf > MAX_U16 or len(positions) != n or any(p > MAX_U16 for p in positions):
+            raise SegmentError(f"bad posting in segment file: {self.name}")
+        return doc, tf, positions
+
+
+def parse_segment(text: str, name: str = "segment") -> SegmentFile:
+    lines = _SegmentLines(text.split("\n")[:-1] if text.endswith("\n") else text.split("\n"), name)
+    out = SegmentFile(list(lines.documents()))
+    for fld, term, rows in lines.postings():
+        out.index[fld][term] = rows
     return out
 
 
@@ -129,17 +146,27 @@ class _File(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, table: str, field: str):
+        self.path, self.table, self.field = path, table, field
 
     def partitions(self) -> list[InputPartition]:
         return [_File(p) for p in _files(self.path)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.path, encoding="utf-8", newline="") as f:
-            segment = parse_segment(f.read(), partition.path)
-        for n, row in enumerate(segment.docs):
-            yield (os.path.basename(partition.path), n, *row)
+        file = os.path.basename(partition.path)
+        with open(partition.path, encoding="utf-8", newline="\n") as f:
+            lines = _SegmentLines(f, partition.path)
+            documents = (row for row in enumerate(lines.documents()))
+            if self.table == "documents":
+                for n, row in documents:
+                    yield (file, n, *row)
+                return
+            for _ in documents:
+                pass
+            for fld, term, rows in lines.postings():
+                if self.field in ("", fld):
+                    for doc, tf, positions in rows:
+                        yield (file, fld, term, doc, tf, positions)
 
 
 @dataclass
@@ -188,11 +215,16 @@ class SegmentTextSource(DataSource):
     def name(cls) -> str:
         return "segment_text"
 
+    def _table(self) -> str:
+        if (table := self.options.get("table", "documents")) not in ("documents", "postings"):
+            raise ValueError(f"no such table of a segment: {table}")
+        return table
+
     def schema(self) -> str:
-        return DOCUMENT_SCHEMA
+        return POSTING_SCHEMA if self._table() == "postings" else DOCUMENT_SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], self._table(), self.options.get("field", ""))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Writer(self.options["path"])
