@@ -8,7 +8,11 @@ its added tokens taken out of the raw text first.
 
 Decoding joins the tokens of the ids by spaces, as the library does where the file names no
 decoder. Defined results: null text is empty and gives no ids and empty text; texts of any
-length are read whole, in memory of a few times one text; repeated rows give repeated rows.
+length are read whole, in memory of a few times one text; repeated rows give repeated rows;
+an empty table gives none. Only the id and text columns are read, so other columns may have
+any names. Characters that this module's Unicode tables split unlike the library's are found
+by comparing each new character once; a text with such a character is split (not encoded) by
+the library.
 """
 
 from __future__ import annotations

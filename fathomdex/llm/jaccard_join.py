@@ -10,13 +10,15 @@ that lie across the bound of two size classes are copied to the cells of both.
 
 Cells, second level. Counts of shingles by hash, one for each few shingles, differ by no
 more than the sets do, so their L1 distance is a metric that bounds the other from below. Pairs of
-small cells stay if that bound lets them link. In a large cell about PIVOTS sets, drawn by
-hash, are pivots, and every set is compared with these only, a chunk of the cell to a task:
-it is tied to each pivot within one and a half times the bound (the window of a pivot's
-region). Sets within half the bound of a pivot are done, since by the triangle inequality
-all that can link with them is tied to it too. The others, unless their ties hold them
-together as it is, are dealt over slices anew, within their cell, and joined recursively.
-The components of all ties are the candidate regions, which hold every link inside.
+small cells stay if that bound lets them link. In a larger cell sets are tied to each pivot
+within one and a half times the bound (the window of a pivot's region). Sets within half the
+bound of a pivot are done, since by the triangle inequality all that can link with them is
+tied to it too. In a cell of CHUNK sets or less every other set becomes a pivot itself. In
+cells beyond, about PIVOTS sets, drawn by hash, are pivots, and every set is compared with
+these only, a chunk of the cell to a task; the sets that are left, unless their ties hold
+them together as it is, are dealt over slices anew, within their cell, and joined
+recursively, so no task grows with the square of a cell. The components of all ties are the
+candidate regions, which hold every link inside.
 
 Regions, third level. Exact Jaccard distances to the region's pivots (one for each PART of
 shingles) put each document in its Voronoi cell and in every cell whose window of twice the
@@ -54,9 +56,9 @@ WIDTH = 4
 NUM, DEN = 85, 100
 #: Shingles that a task holds at once, from each of two parts.
 PART = 2_000_000
-#: About so many pivots for a large cell, and so many at most for a region.
+#: About so many pivots for a cell that is split, and so many at most for a region.
 PIVOTS = 32
-#: Sets of a large cell that are compared with its pivots in one task.
+#: Sets of one cell that are compared in one task.
 CHUNK = 4_096
 #: Shingles of a region in one chunk, and the fewest documents.
 CHUNK_SHINGLES, CHUNK_DOCS = 8_192, 64
@@ -322,12 +324,17 @@ def _tied(batches: Iterator[pd.DataFrame], rule: Rule = RULE) -> Iterator[pd.Dat
     for rows in _grouped(batches, ["cell", "chunk"]):
         cells, chunks = rows["cell"].to_numpy(), rows["chunk"].to_numpy()
         starts = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]) | (chunks[1:] != chunks[:-1])])
+        split = rows["split"].to_numpy()
         keys, pivot, own, counts = rows["key"].to_numpy(), rows["pivot"].to_numpy(), rows["own"].to_numpy(), rows["counts"].to_numpy()
         ties, again = [], []
         for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
             many = int(pivot[i:j].sum())
             all_counts = np.frombuffer(b"".join(counts[i:j]), dtype=np.uint8).reshape(j - i, -1).astype(np.int16)
             members = keys[i + many : j]
+            if not split[i]:
+                most = all_counts.shape[1] * rule.per_count
+                ties += _led(all_counts, keys[i:j], most_apart(most, most, rule))
+                continue
             # every size of the class lies below its upper bound
             most = all_counts.shape[1] * rule.per_count
             bound = most_apart(most, most, rule)
@@ -351,6 +358,8 @@ def _tied(batches: Iterator[pd.DataFrame], rule: Rule = RULE) -> Iterator[pd.Dat
             if len(left):
                 mine = np.where(some[left], label[first[left]], _NO_LABEL) if many else np.full(len(left), _NO_LABEL)
                 again.append((np.full(len(left), cells[i]), members[left], own[i + many : j][left], mine))
+        if not ties:
+            continue
         a, b = np.concatenate(ties, axis=1)
         out = pd.DataFrame({"a": a, "b": b})
         yield out[out["a"] != out["b"]].drop_duplicates().assign(own=False, label=_NO_LABEL, again=False)
@@ -359,6 +368,36 @@ def _tied(batches: Iterator[pd.DataFrame], rule: Rule = RULE) -> Iterator[pd.Dat
             yield pd.DataFrame({"a": a, "b": b, "own": o, "label": mine, "again": True})
 
 
+def _led(x: np.ndarray, keys: np.ndarray, bound: int) -> list[np.ndarray]:
+    """Ties of all sets of a cell: each is tied to a pivot that it lies in the window of, and
+    pivots that share a set are tied. A set in no pivot's inner half is the next pivot."""
+    out, pivots, used = [], np.zeros((16, x.shape[1]), dtype=x.dtype), 0
+    of, root = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for k in range(0, len(x), 64):
+        block = x[k : k + 64]
+        left = np.flatnonzero(~_windows(block, pivots[:used], bound)[1])
+        fresh: list[int] = []
+        for r in left.tolist():
+            if not fresh or not _windows(block[r : r + 1], block[fresh], bound)[1][0]:
+                fresh.append(r)
+        if fresh:
+            while used + len(fresh) > len(pivots):
+                pivots = np.concatenate((pivots, np.zeros_like(pivots)))
+            pivots[used : used + len(fresh)] = block[fresh]
+            of, root = np.r_[of, k + np.array(fresh)], np.r_[root, np.arange(used, used + len(fresh))]
+            used += len(fresh)
+        near = _windows(block, pivots[:used], bound)[0]
+        first = near.argmax(axis=1)  # every row has one, its own if it is a pivot
+        out.append(np.stack((keys[of[first]], keys[k : k + 64])))
+        row, other = np.nonzero(near)
+        while len(apart := np.flatnonzero(root[first[row]] != root[other])):
+            a, b = first[row[apart[0]]], other[apart[0]]
+            out.append(np.array([[keys[of[a]]], [keys[of[b]]]]))
+            root[root == root[b]] = root[a]
+            row, other = row[apart], other[apart]
+    return out
+
+
 def _windows(x: np.ndarray, pivots: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each row, which pivots lie within one and a half times the bound, and whether any lies within half of it."""
     near, core = np.zeros((len(x), len(pivots)), dtype=bool), np.zeros(len(x), dtype=bool)
@@ -401,8 +440,9 @@ def _meeting(cells: DataFrame, known: DataFrame, rule: Rule, turn: int) -> tuple
         return pairs, None
     rows = lookup(large, sizes, "cell", "size", total, keys).join(known.hint("merge"), ["key", "own"])
     chunks = F.ceil(F.col("size") / CHUNK)
-    to = _copies(F.pmod(F.xxhash64("key"), chunks), chunks, _draw(F.lit(turn), "key") * F.col("size") < PIVOTS)
-    rows = rows.select("cell", "key", "own", "counts", to.alias("to")).select("cell", "to.chunk", "to.pivot", "key", "own", "counts")
+    split = F.col("size") > CHUNK
+    to = _copies(F.pmod(F.xxhash64("key"), chunks), chunks, split & (_draw(F.lit(turn), "key") * F.col("size") < PIVOTS))
+    rows = rows.select("cell", "key", "own", "counts", split.alias("split"), to.alias("to")).select("cell", "to.chunk", "to.pivot", "key", "own", "counts", "split")
     rows = rows.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", F.desc("pivot"), "key")
     tied = materialize(rows.mapInPandas(partial(_tied, rule=rule), "a long, b long, own boolean, label long, again boolean"), f"{name}-tied")
     again = tied.filter("again").select(F.col("a").alias("cell"), F.col("b").alias("key"), "own", "label")

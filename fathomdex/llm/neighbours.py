@@ -20,6 +20,7 @@ Defined results: vectors that are null, zero, of another length than most, or ho
 non-finite components take no part, nor do rows without an id. Fewer rows than asked for:
 all of them. Ties go to the smaller id; copies of a vector have exactly equal scores. A
 query's own row is the one of its id. Repeated rows count once. An empty table gives no rows.
+Only the id and vector columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations

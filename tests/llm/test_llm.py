@@ -239,6 +239,9 @@ def test_columns_of_any_name(spark):
         assert kept == CLASHES or "ids" in out.columns
         for r in out.select("doc_id", *kept).collect():
             assert [r[c] for c in kept] == [f"{c}-{r['doc_id']}" for c in kept]
+    assert lm_score.score(docs).count() == jaccard_join.similar_groups(docs).count() == 5
+    vectors = spark.range(1, 61).select(F.col("id").alias("vec_id"), F.array(*(F.sin(F.col("id") * k) for k in range(1, 9))).alias("embedding"), *(F.lit(1).alias(c) for c in ("v", "rank", "score", "is_query", "order", "mine", "other", "bits")))
+    assert neighbours.search(vectors.unionByName(vectors), F.col("vec_id") % 20 == 0).count() == 60
     pages = docs.select("doc_id", F.col("text").alias("body"), *(c for c in CLASHES if c != "html"), F.col("text").alias("html"))
     assert {r["texts"] for r in html_text.extract(pages).collect()} == {f"texts-{i}" for i in range(5)}
 
