@@ -375,18 +375,23 @@ def _led(x: np.ndarray, keys: np.ndarray, bound: int) -> list[np.ndarray]:
     of, root = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     for k in range(0, len(x), 64):
         block = x[k : k + 64]
-        left = np.flatnonzero(~_windows(block, pivots[:used], bound)[1])
-        fresh: list[int] = []
-        for r in left.tolist():
-            if not fresh or not _windows(block[r : r + 1], block[fresh], bound)[1][0]:
+        apart = _apart(block, pivots[:used])
+        left = np.flatnonzero(~(2 * apart <= bound).any(axis=1))
+        between = _apart(block[left], block[left])
+        done, fresh = np.zeros(len(left), dtype=bool), []
+        for r in range(len(left)):
+            if not done[r]:
                 fresh.append(r)
+                done |= 2 * between[r] <= bound
         if fresh:
+            fresh = left[fresh]
+            apart = np.concatenate((apart, _apart(block, block[fresh])), axis=1)
             while used + len(fresh) > len(pivots):
                 pivots = np.concatenate((pivots, np.zeros_like(pivots)))
             pivots[used : used + len(fresh)] = block[fresh]
-            of, root = np.r_[of, k + np.array(fresh)], np.r_[root, np.arange(used, used + len(fresh))]
+            of, root = np.r_[of, k + fresh], np.r_[root, np.arange(used, used + len(fresh))]
             used += len(fresh)
-        near = _windows(block, pivots[:used], bound)[0]
+        near = 2 * apart <= 3 * bound
         first = near.argmax(axis=1)  # every row has one, its own if it is a pivot
         out.append(np.stack((keys[of[first]], keys[k : k + 64])))
         row, other = np.nonzero(near)
@@ -400,15 +405,19 @@ def _led(x: np.ndarray, keys: np.ndarray, bound: int) -> list[np.ndarray]:
 
 def _windows(x: np.ndarray, pivots: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each row, which pivots lie within one and a half times the bound, and whether any lies within half of it."""
-    near, core = np.zeros((len(x), len(pivots)), dtype=bool), np.zeros(len(x), dtype=bool)
-    if not len(pivots):
-        return near, core
-    step = max(1, 2_000_000 // max(1, pivots.size))
-    for k in range(0, len(x), step):
-        apart = np.abs(x[k : k + step, None, :] - pivots[None]).sum(axis=2, dtype=np.int32)
-        near[k : k + step] = 2 * apart <= 3 * bound
-        core[k : k + step] = (2 * apart <= bound).any(axis=1)
-    return near, core
+    apart = _apart(x, pivots)
+    return 2 * apart <= 3 * bound, (2 * apart <= bound).any(axis=1)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """L1 distances of each row of x to each of y, in memory of a few megabytes besides the result."""
+    out = np.zeros((len(x), len(y)), dtype=np.int32)
+    step = max(1, 500_000 // max(1, y.size))
+    for k in range(0, len(x) if len(y) else 0, step):
+        differ = x[k : k + step, None, :] - y[None]
+        np.abs(differ, out=differ)
+        out[k : k + step] = differ.sum(axis=2, dtype=np.int32)
+    return out
 
 
 def _copies(home: Column, parts: Column, pivot: Column) -> Column:
