@@ -460,6 +460,11 @@ def test_lm(spark):
     assert lm_score.score(empty(spark)).count() == 0
 
 
+def test_lm_with_blocks_of_one_blank_text(spark):
+    rows = [(0, "a b c", None, None, 0), (1, None, None, None, 0), (2, "x " * 50, None, None, 0), (3, "", None, None, 0)]
+    assert lm_score.score(spark.createDataFrame(rows, SCHEMA).repartition(4, "doc_id")).count() == 4
+
+
 def test_lm_gains_on_a_tiny_corpus(spark):
     pick = random.Random(12)
     halves = WORDS[:200], WORDS[200:]
