@@ -18,7 +18,10 @@ cells beyond, about PIVOTS sets, drawn by hash, are pivots, and every set is com
 these only, a chunk of the cell to a task; the sets that are left, unless their ties hold
 them together as it is, are dealt over slices anew, within their cell, and joined
 recursively, so no task grows with the square of a cell. The components of all ties are the
-candidate regions, which hold every link inside.
+candidate regions, which hold every link inside. A set takes its counts to each of its larger
+cells. As more cells become larger ones the more sets there are, these rows grow faster than
+the sets, so they are dealt in waves of whole cells, one after the other, each of a size in
+proportion to the counts of all sets, and a wave's shuffle files go before the next.
 
 Regions, third level. Exact Jaccard distances to the region's pivots (one for each PART of
 shingles) put each document in its Voronoi cell and in every cell whose window of twice the
@@ -49,7 +52,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomdex.llm.common import components, drop_since, lookup, made_so_far, materialize
+from fathomdex.llm.common import components, drop_since, free_shuffles, lookup, made_so_far, materialize
 from fathomdex.llm.shingles import mix, shingle_sets
 
 WIDTH = 4
@@ -64,6 +67,8 @@ CHUNK = 4_096
 CHUNK_SHINGLES, CHUNK_DOCS = 8_192, 64
 SMALL_CELL = 16
 HELD_ROWS = 100_000
+#: Bytes that the larger cells of a wave take, in times the bytes of all counts, and of a row besides its counts.
+WAVE, ROW_BYTES = 8, 32
 #: Shingles for each count of the second metric.
 PER_COUNT = 8
 _NO_LABEL = np.iinfo(np.int64).min
@@ -432,11 +437,20 @@ def _draw(*cols) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(1 << 30)
 
 
+def _waves(large: DataFrame, known: DataFrame) -> int:
+    """In how many waves the rows (cell, key, own) of larger cells are dealt with their counts."""
+    row = F.octet_length("counts") + ROW_BYTES
+    here = large.groupBy("key", "own").agg(F.count(F.lit(1)).alias("here"))
+    rows = here.join(known.select("key", "own", row.alias("row")).hint("merge"), ["key", "own"]).agg(F.sum(F.col("here") * F.col("row"))).first()[0] or 0
+    return max(1, -(-rows // (WAVE * known.agg(F.sum(row)).first()[0])))
+
+
 def _meeting(cells: DataFrame, known: DataFrame, rule: Rule, turn: int) -> tuple[DataFrame, DataFrame | None]:
     """Ties among sets that share cells (cell, key, own), and the rows that are to be dealt anew."""
     name = f"met-{turn}"
     met = cells.repartition("cell").sortWithinPartitions("cell", "key").mapInPandas(_meet, "a long, b long, own_a boolean, own_b boolean, large boolean")
     met = materialize(met.distinct(), name)
+    free_shuffles(met.sparkSession)
 
     def side(s: str) -> DataFrame:
         return known.select(F.col("key").alias(s), F.col("own").alias(f"own_{s}"), F.col("n").alias(f"n_{s}"), F.col("counts").alias(f"counts_{s}")).hint("merge")
@@ -447,13 +461,19 @@ def _meeting(cells: DataFrame, known: DataFrame, rule: Rule, turn: int) -> tuple
     total, keys = sizes.agg(F.sum("size"), F.count(F.lit(1))).first()
     if not keys:
         return pairs, None
-    rows = lookup(large, sizes, "cell", "size", total, keys).join(known.hint("merge"), ["key", "own"])
-    chunks = F.ceil(F.col("size") / CHUNK)
-    split = F.col("size") > CHUNK
-    to = _copies(F.pmod(F.xxhash64("key"), chunks), chunks, split & (_draw(F.lit(turn), "key") * F.col("size") < PIVOTS))
-    rows = rows.select("cell", "key", "own", "counts", split.alias("split"), to.alias("to")).select("cell", "to.chunk", "to.pivot", "key", "own", "counts", "split")
-    rows = rows.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", F.desc("pivot"), "key")
-    tied = materialize(rows.mapInPandas(partial(_tied, rule=rule), "a long, b long, own boolean, label long, again boolean"), f"{name}-tied")
+    waves = _waves(large, known)
+    tied = None
+    for wave in range(waves):
+        mine = F.pmod(F.xxhash64(F.lit("wave"), "cell"), F.lit(waves)) == wave
+        rows = lookup(large.filter(mine), sizes.filter(mine), "cell", "size", total, keys).join(known.hint("merge"), ["key", "own"])
+        chunks = F.ceil(F.col("size") / CHUNK)
+        split = F.col("size") > CHUNK
+        to = _copies(F.pmod(F.xxhash64("key"), chunks), chunks, split & (_draw(F.lit(turn), "key") * F.col("size") < PIVOTS))
+        rows = rows.select("cell", "key", "own", "counts", split.alias("split"), to.alias("to")).select("cell", "to.chunk", "to.pivot", "key", "own", "counts", "split")
+        rows = rows.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", F.desc("pivot"), "key")
+        some = materialize(rows.mapInPandas(partial(_tied, rule=rule), "a long, b long, own boolean, label long, again boolean"), f"{name}-tied")
+        free_shuffles(met.sparkSession)
+        tied = some if tied is None else tied.unionByName(some)
     again = tied.filter("again").select(F.col("a").alias("cell"), F.col("b").alias("key"), "own", "label")
     # Sets of a cell that ties to the same group of pivots hold together need no more.
     apart = again.groupBy("cell").agg(F.count(F.lit(1)).alias("left"), F.min("label").alias("low"), F.max("label").alias("high"))
@@ -600,6 +620,7 @@ def similar_links(docs: DataFrame, described: DataFrame, sets: DataFrame, part:
     regions = groups.withColumnsRenamed({"node": "key", "root": "region"})
     members = materialize(regions.join(sets.select("key", F.col("node").alias("doc_id"), "n").hint("merge"), "key").drop("key"), "members")
     drop_since(spark, mark, members)
+    free_shuffles(spark)
     return region_links(docs, members, part, rule)
 
 
@@ -622,6 +643,7 @@ def region_links(docs: DataFrame, members: DataFrame, part: int = PART, rule: Ru
     placed = placed.repartition("region", "chunk").sortWithinPartitions("region", "chunk", F.desc("pivot"), "doc_id")
     placed = placed.mapInPandas(partial(_voronoi, rule=rule), "region long, cell int, pivot_id long, doc_id long, n long, inside boolean")
     placed = materialize(placed, "voronoi")
+    free_shuffles(docs.sparkSession)
     spokes = placed.filter("inside AND doc_id != pivot_id").select(F.col("pivot_id").alias("a"), F.col("doc_id").alias("b"))
 
     # A cell with nothing outside its radius is done. Where a cell is too large for a task,
@@ -651,6 +673,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mark = made_so_far(docs.sparkSession)
     links = materialize(similar_links(rows, described, sets.filter("node IS NOT NULL"), part, rule), "links")
     drop_since(docs.sparkSession, mark, links)
+    free_shuffles(docs.sparkSession)
     root = components(links, "links")
     table = materialize(sets.join(root.hint("merge"), "node", "left").select("digest", "weight", F.coalesce("root", "node").alias("root")), "roots")
     drop_since(docs.sparkSession, mark, table)

@@ -208,6 +208,22 @@ def test_jaccard_join_splits_large_cells(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows)
 
 
+def test_jaccard_join_deals_large_cells_in_waves(spark, monkeypatch):
+    """Near copies meet in nearly all their cells: their counts are shuffled in several waves, with all links."""
+    waves, write = [], jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, name: waves.append(name) or write(df, name))
+    pick = random.Random(22)
+    rows = []
+    for base in [pick.choices(WORDS, k=100) for _ in range(3)]:
+        for _ in range(30):
+            w = list(base)
+            w[pick.randrange(100)] = pick.choice(WORDS)
+            rows.append((len(rows), " ".join(w), "", "", 0))
+    got = jaccard_join.similar_groups(table(spark, rows)).collect()
+    assert waves.count("met-0-tied") > 1
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows)
+
+
 @pytest.mark.parametrize("part", [2_000_000, 1500])
 def test_jaccard_join(spark, part):
     pick = random.Random(8)
