@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomdex.llm.common import in_batches
+
 #: Fixed values of the tokenizer file: how it splits words, and its word end.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
@@ -268,7 +270,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long,{' ids binary,' if with_ids else ''} ids_sha256 string, decoded_sha256 string"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, schema)
+    return in_batches(rows, run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

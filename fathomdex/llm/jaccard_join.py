@@ -52,7 +52,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomdex.llm.common import components, drop_since, free_shuffles, lookup, made_so_far, materialize
+from fathomdex.llm.common import components, drop_since, free_shuffles, give_back, in_batches, lookup, made_so_far, materialize
 from fathomdex.llm.shingles import mix, shingle_sets
 
 WIDTH = 4
@@ -448,14 +448,14 @@ def _waves(large: DataFrame, known: DataFrame) -> int:
 def _meeting(cells: DataFrame, known: DataFrame, rule: Rule, turn: int) -> tuple[DataFrame, DataFrame | None]:
     """Ties among sets that share cells (cell, key, own), and the rows that are to be dealt anew."""
     name = f"met-{turn}"
-    met = cells.repartition("cell").sortWithinPartitions("cell", "key").mapInPandas(_meet, "a long, b long, own_a boolean, own_b boolean, large boolean")
+    met = in_batches(cells.repartition("cell").sortWithinPartitions("cell", "key"), _meet, "a long, b long, own_a boolean, own_b boolean, large boolean")
     met = materialize(met.distinct(), name)
     free_shuffles(met.sparkSession)
 
     def side(s: str) -> DataFrame:
         return known.select(F.col("key").alias(s), F.col("own").alias(f"own_{s}"), F.col("n").alias(f"n_{s}"), F.col("counts").alias(f"counts_{s}")).hint("merge")
 
-    pairs = met.filter("NOT large").join(side("a"), ["a", "own_a"]).join(side("b"), ["b", "own_b"]).mapInPandas(partial(_close, rule=rule), "a long, b long")
+    pairs = in_batches(met.filter("NOT large").join(side("a"), ["a", "own_a"]).join(side("b"), ["b", "own_b"]), partial(_close, rule=rule), "a long, b long")
     large = met.filter("large").select(F.col("a").alias("cell"), F.col("b").alias("key"), F.col("own_b").alias("own"))
     sizes = materialize(large.groupBy("cell").agg(F.count(F.lit(1)).alias("size")), f"{name}-sizes")
     total, keys = sizes.agg(F.sum("size"), F.count(F.lit(1))).first()
@@ -471,7 +471,7 @@ def _meeting(cells: DataFrame, known: DataFrame, rule: Rule, turn: int) -> tuple
         to = _copies(F.pmod(F.xxhash64("key"), chunks), chunks, split & (_draw(F.lit(turn), "key") * F.col("size") < PIVOTS))
         rows = rows.select("cell", "key", "own", "counts", split.alias("split"), to.alias("to")).select("cell", "to.chunk", "to.pivot", "key", "own", "counts", "split")
         rows = rows.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", F.desc("pivot"), "key")
-        some = materialize(rows.mapInPandas(partial(_tied, rule=rule), "a long, b long, own boolean, label long, again boolean"), f"{name}-tied")
+        some = materialize(in_batches(rows, partial(_tied, rule=rule), "a long, b long, own boolean, label long, again boolean"), f"{name}-tied")
         free_shuffles(met.sparkSession)
         tied = some if tied is None else tied.unionByName(some)
     again = tied.filter("again").select(F.col("a").alias("cell"), F.col("b").alias("key"), "own", "label")
@@ -488,7 +488,7 @@ def candidate_ties(docs: DataFrame, described: DataFrame, sets: DataFrame, rule:
     both = F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("counts_own").alias("counts")), F.struct(F.lit(False).alias("own"), F.col("counts_next").alias("counts"))))
     known = described.filter("doc_id IS NOT NULL").select("key", "n", both.alias("x")).select("key", "n", "x.own", "x.counts").filter("counts IS NOT NULL")
     known = materialize(known.dropDuplicates(["key", "own"]), "counts")
-    cells = docs.filter("doc_id IS NOT NULL").select("text").mapInPandas(partial(_cell_rows, rule=rule), "cell long, key long, own boolean")
+    cells = in_batches(docs.filter("doc_id IS NOT NULL").select("text"), partial(_cell_rows, rule=rule), "cell long, key long, own boolean")
     ties, again = _meeting(cells, known, rule, 0)
     turn = 0
     while again is not None:
@@ -496,7 +496,7 @@ def candidate_ties(docs: DataFrame, described: DataFrame, sets: DataFrame, rule:
         places = again.groupBy("key").agg(F.collect_set(F.struct("cell", "own")).alias("places"))  # no more than a set has slices
         places = places.join(sets.select("key", F.col("node").alias("doc_id")).hint("merge"), "key").select("doc_id", "places")
         texts = docs.join(places.hint("merge"), "doc_id").select("text", "places")
-        cells = texts.mapInPandas(partial(_again_rows, rule=rule, turn=turn), "cell long, key long, own boolean")
+        cells = in_batches(texts, partial(_again_rows, rule=rule, turn=turn), "cell long, key long, own boolean")
         more, again = _meeting(cells, known, rule, turn)
         ties = ties.unionByName(more)
     return ties
@@ -585,6 +585,8 @@ def star_links(ids: np.ndarray, sets: list[np.ndarray], rule: Rule = RULE) -> li
 def _join_part(group: pd.DataFrame, rule: Rule = RULE) -> pd.DataFrame:
     group = group.drop_duplicates("doc_id")
     links = star_links(group["doc_id"].to_numpy(), list(shingle_sets(list(group["text"]), rule.width)), rule)
+    if len(group) > CHUNK_DOCS:
+        give_back()
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
@@ -641,7 +643,7 @@ def region_links(docs: DataFrame, members: DataFrame, part: int = PART, rule: Ru
     to = _copies(F.pmod(F.xxhash64("doc_id"), "chunks"), F.col("chunks"), F.col("pivot"))
     placed = placed.select("region", "doc_id", "n", "text", to.alias("to")).select("region", "to.chunk", "to.pivot", "doc_id", "n", "text")
     placed = placed.repartition("region", "chunk").sortWithinPartitions("region", "chunk", F.desc("pivot"), "doc_id")
-    placed = placed.mapInPandas(partial(_voronoi, rule=rule), "region long, cell int, pivot_id long, doc_id long, n long, inside boolean")
+    placed = in_batches(placed, partial(_voronoi, rule=rule), "region long, cell int, pivot_id long, doc_id long, n long, inside boolean")
     placed = materialize(placed, "voronoi")
     free_shuffles(docs.sparkSession)
     spokes = placed.filter("inside AND doc_id != pivot_id").select(F.col("pivot_id").alias("a"), F.col("doc_id").alias("b"))
@@ -666,7 +668,7 @@ def region_links(docs: DataFrame, members: DataFrame, part: int = PART, rule: Ru
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, rule: Rule = RULE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = materialize(rows.mapInPandas(partial(_describe, rule=rule), "doc_id long, n long, digest binary, key long, counts_own binary, counts_next binary"), "described")
+    described = materialize(in_batches(rows, partial(_describe, rule=rule), "doc_id long, n long, digest binary, key long, counts_own binary, counts_next binary"), "described")
     meta = described.select("doc_id", "n", "digest", "key")
     sets = meta.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("key").alias("key"), F.count(F.lit(1)).alias("weight"))
     sets = materialize(sets, "sets")

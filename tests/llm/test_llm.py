@@ -147,6 +147,29 @@ def plain_components(rows, width=4, num=85, den=100):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("operator", [bpe.encode, lambda docs: language.classify(docs, {}), lambda docs: jaccard_join.similar_groups(docs)])
+def test_python_batches_are_bounded(spark, operator):
+    """Pipeline's Python stages take few bytes at once, however many rows that is; a lower bound of the caller stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(300, numPartitions=1).selectExpr("id AS doc_id", "concat('w', repeat(cast(id % 10 AS string), 40000)) AS text")
+
+    def bytes_at_once(batches):
+        for batch in batches:
+            yield batch.assign(text=batch["text"].str.len()).agg({"text": ["sum"]}).astype("int64")
+
+    try:
+        spark.conf.unset(key)
+        operator(docs)
+        got = [r["text"] for r in docs.select("text").mapInPandas(bytes_at_once, "text long").collect()]
+        assert sum(got) == 300 * 40_001
+        assert max(got) <= 1.1 * common.BATCH_BYTES
+        spark.conf.set(key, "1m")
+        operator(docs)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_star_links_against_all_pairs():
     pick = random.Random(31)
     for _ in range(20):
