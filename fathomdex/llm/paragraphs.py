@@ -35,12 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomdex.llm.common import components, drop_since, lookup, made_so_far, materialize
 from fathomdex.llm.jaccard_join import Rule, region_links
-from fathomdex.llm.shingles import BATCH_BYTES, SPACE, _rolled, mix, word_hashes
+from fathomdex.llm.shingles import BATCH_BYTES, _rolled, mix, placed_words, word_hashes
 
 WIDTH = 5
 NUM, DEN = 8, 10
@@ -75,13 +77,11 @@ def _spans(h: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64) -
 def units(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Of these texts' lines, a row for each band: text number, first word and end in it, cell, check."""
     data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
-    h, counts = word_hashes(texts)
+    h, counts, begin = placed_words(texts)
     none = np.zeros(0, dtype=np.int64)
     if len(h) < LEAST_WORDS:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    letter = ~SPACE[data]
-    edge = np.flatnonzero(np.diff(np.r_[False, letter, False].view(np.int8)))
-    line = np.cumsum(data == 10)[edge[::2]]
+    line = np.cumsum(data == 10)[begin]
     text = np.repeat(np.arange(len(texts)), counts)
     offset = np.repeat(np.cumsum(counts) - counts, counts)
     new = np.r_[True, line[1:] != line[:-1]]
@@ -97,14 +97,17 @@ def units(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         np.add.at(inside, end - WIDTH + 1, -1)
         inside = np.cumsum(inside)[: len(rolled)] > 0
         shingles = rolled[inside]
+        x = np.empty_like(shingles)
         sizes = end - start - WIDTH + 1
         at = np.cumsum(sizes) - sizes
         check = _spans(h, start, end, _Q)
         for band in range(BANDS):
             cell = np.full(len(start), np.uint64(band))
             for k in range(band * ROWS, (band + 1) * ROWS):
-                x = (shingles ^ _SEEDS[k]) * (_SEEDS[k] | np.uint64(1))
-                cell = mix(cell * _P + np.minimum.reduceat(x ^ (x >> np.uint64(29)), at))
+                np.bitwise_xor(shingles, _SEEDS[k], out=x)
+                np.multiply(x, _SEEDS[k] | np.uint64(1), out=x)
+                least = np.minimum.reduceat(x, at)
+                cell = mix(cell * _P + (least ^ (least >> np.uint64(29))))
             out.append((text[start], start - offset[start], end - offset[start], cell, check))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none, none.view(np.uint64), none.view(np.uint64))
 
@@ -139,10 +142,19 @@ def _batched(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         at = end
 
 
+def _span(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """First and last word as one number of the same order."""
+    return first.astype(np.int64) << 32 | last.astype(np.int64)
+
+
+def _unpacked(rows: pd.DataFrame, of: str = "") -> dict[str, np.ndarray]:
+    span = rows[f"{of}span"].to_numpy()
+    return {"doc_id": rows[f"{of}doc_id"].to_numpy(), "first": (span >> 32).astype(np.int32), "last": span.astype(np.int32)}
+
+
 def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of cells (of_last is 0), and links of copies to the one of their content that this
+    """Rows of cells (of_span is 0), and links of copies to the one of their content that this
     task has given to the cells. Which copies a task combines doesn't change the groups."""
-    names = ["doc_id", "first", "last"]
     known: dict[int, tuple] = {}  # contents that repeat within a batch: what very common lines do
     for batch in batches:
         ids = batch["doc_id"].to_numpy()
@@ -150,7 +162,7 @@ def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text, start, end, cell, check = units(part)
             if not len(cell):
                 continue
-            rows = pd.DataFrame({"cell": cell.view(np.int64), "doc_id": ids[at + text], "first": start.astype(np.int32), "last": end.astype(np.int32), "check": check.view(np.int64)})
+            rows = pd.DataFrame({"cell": cell.view(np.int64), "doc_id": ids[at + text], "span": _span(start, end), "check": check.view(np.int64)})
             key, head, of = np.unique(mix(cell * _P + check), return_index=True, return_inverse=True)
             heads = rows.iloc[head].reset_index(drop=True)
             before = np.flatnonzero(np.isin(key, np.fromiter(known, dtype=np.uint64, count=len(known))))
@@ -161,13 +173,15 @@ def _unit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             old[before] = True
             for k in np.flatnonzero((np.bincount(of) > 1) & ~old)[: MOST_KNOWN - len(known)].tolist():
                 known[int(key[k])] = tuple(heads.iloc[k])
-            to = heads.iloc[of].reset_index(drop=True)
-            same = ((rows["cell"] == to["cell"]) & (rows["check"] == to["check"])).to_numpy()
-            copy = same & (old[of] | (head[of] != np.arange(len(of))))
-            yield rows[~copy].assign(of_doc_id=0, of_first=0, of_last=0)
-            links = pd.concat((rows.loc[copy, names], to.loc[copy, names].add_prefix("of_")), axis=1).drop_duplicates()
-            spread = mix(links["doc_id"].to_numpy().view(np.uint64) + links["first"].to_numpy().astype(np.uint64) * _P)
-            yield links.assign(cell=spread.view(np.int64), check=0)[[*rows.columns, *(f"of_{x}" for x in names)]]
+            copy = old[of] | (head[of] != np.arange(len(of)))
+            for x in ("cell", "check"):
+                copy &= rows[x].to_numpy() == heads[x].to_numpy()[of]
+            yield rows[~copy].assign(of_doc_id=0, of_span=0)
+            place = ["doc_id", "span"]
+            to = heads[place].iloc[of[copy]].reset_index(drop=True).add_prefix("of_")
+            links = pd.concat((rows.loc[copy, place].reset_index(drop=True), to), axis=1).drop_duplicates()
+            spread = mix(links["doc_id"].to_numpy().view(np.uint64) + (links["span"].to_numpy() >> 32).astype(np.uint64) * _P)
+            yield links.assign(cell=spread.view(np.int64), check=0)[[*rows.columns, "of_doc_id", "of_span"]]
 
 
 _NAMES = ["doc_id", "first", "last"]
@@ -208,12 +222,15 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: pd.DataFrame | None = None  # the contents' heads of the last cell
     large: int | None = None  # that cell, if some of its heads have been handed on
     for batch in batches:
-        linked = batch[batch["of_last"] > 0]
-        if len(linked):
-            yield _apart(linked[[f"of_{x}" for x in _NAMES] + _NAMES].set_axis([f"{x}_a" for x in _NAMES] + [f"{x}_b" for x in _NAMES], axis=1).assign(kind=SAME, check_a=0, check_b=0))
-        batch = batch[batch["of_last"] == 0]
+        of = batch["of_span"].to_numpy() > 0
+        if of.any():
+            linked = batch[of]
+            found = {f"{x}_{side}": v for side, o in (("a", "of_"), ("b", "")) for x, v in _unpacked(linked, o).items()}
+            yield _apart(pd.DataFrame(found | {"kind": SAME, "check_a": 0, "check_b": 0}))
+            batch = batch[~of]
         if not len(batch):
             continue
+        batch = pd.DataFrame({"cell": batch["cell"].to_numpy()} | _unpacked(batch) | {"check": batch["check"].to_numpy()})
         rows = batch if held is None else pd.concat((held, batch), ignore_index=True)
         cell, check, place = rows["cell"].to_numpy(), rows["check"].to_numpy(), np.arange(len(rows))
         new_cell = np.r_[True, cell[1:] != cell[:-1]]
@@ -258,26 +275,24 @@ def _hashed(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[tuple]]]:
         yield h, [(ids[at + k], int(base[k]), spans[at + k]) for k in range(len(part))]
 
 
-def _shingles_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The distinct shingles of the wanted spans of each text."""
+def _passages_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The wanted spans of each text with the size of their sets: heads as texts of their own,
+    others with their distinct shingles. No field of a span is null, as pandas has lists of
+    numbers with a null as floats."""
     for batch in batches:
+        whole = iter(batch["text"])
         for h, texts in _hashed(batch):
             rolled = _rolled(h, WIDTH)
-            out = [(i, s["first"], s["last"], np.unique(rolled[base + s["first"] : base + s["last"] - WIDTH + 1]).tobytes()) for i, base, spans in texts for s in spans]
-            yield pd.DataFrame(out, columns=["doc_id", "first", "last", "shingles"])
-
-
-def _lines_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The wanted contents of each text as texts of their own, with the size of their sets."""
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch["text"], batch["spans"], strict=True):
-            raw = text.encode().split()
-            for s in spans:
-                line = b" ".join(raw[s["first"] : s["last"]])
-                h, _ = word_hashes([line])
-                out.append((s["check"], len(np.unique(_rolled(h, WIDTH))), line.decode()))
-        yield pd.DataFrame(out, columns=["doc_id", "n", "text"])
+            out = []
+            for i, base, spans in texts:
+                text, raw = next(whole), None
+                for s in spans:
+                    line, found = None, np.unique(rolled[base + s["first"] : base + s["last"] - WIDTH + 1])
+                    if s["head"]:
+                        raw = text.encode().split() if raw is None else raw
+                        line = b" ".join(raw[s["first"] : s["last"]]).decode()
+                    out.append((i, s["first"], s["last"], s["head"], s["check"], len(found), line, None if s["head"] else found.tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "first", "last", "head", "check", "n", "text", "shingles"])
 
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -298,35 +313,55 @@ def _run_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"gram": gram.view(np.int64), "run": run.view(np.int64), "doc_id": ids[at + text], "first": first.astype(np.int32), "last": last.astype(np.int32)})
 
 
-def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _lists(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """How many structs each list has, and the fields of all of them in a row."""
+    many = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten()
+    return many, {f.name: flat.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(flat.type)}
+
+
+def _batch(columns: dict[str, tuple[np.ndarray, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(kind.to_pandas_dtype(), copy=False), kind) for x, kind in columns.values()], names=list(columns))
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of the wanted runs of each text, by content (one and two)."""
     for batch in batches:
-        for h, texts in _hashed(batch):
-            wanted = [(i, base, s["first"], s["last"], s["gram"], s["run"]) for i, base, spans in texts for s in spans]
-            if not wanted:
+        ids = batch["doc_id"].to_numpy()
+        wanted, spans = _lists(batch["spans"])
+        begin = np.r_[0, np.cumsum(wanted)]
+        for k, part in _batched(batch["text"].cast(pa.binary()).to_pylist()):
+            h, counts = word_hashes(part)
+            here = slice(begin[k], begin[k + len(part)])
+            text = np.repeat(np.arange(len(part)), wanted[k : k + len(part)])
+            if not len(text):
                 continue
-            doc, base, first, last, gram, run = np.array(wanted, dtype=np.int64).T
+            first, last = (spans[x][here].astype(np.int64) for x in ("first", "last"))
             many = last - first - LEAST_WORDS + 1
             offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             at = np.repeat(first, many) + offset
-            there = at + np.repeat(base, many)
+            there = at + np.repeat((np.cumsum(counts) - counts)[text], many)
             one, two = (_spans(h, there, there + LEAST_WORDS, b).view(np.int64) for b in (_P, _Q))
-            yield pd.DataFrame({"one": one, "two": two, "doc_id": np.repeat(doc, many), "first": at.astype(np.int32), "gram": np.repeat(gram, many), "run": np.repeat(run, many), "offset": offset.astype(np.int32)})
+            doc, gram, run = (np.repeat(x, many) for x in (ids[k + text], spans["gram"][here], spans["run"][here]))
+            long, short = pa.int64(), pa.int32()
+            yield _batch({"one": (one, long), "two": (two, long), "doc_id": (doc, long), "first": (at, short), "gram": (gram, long), "run": (run, long), "offset": (offset, short)})
 
 
-def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each run the windows in a row that have keepers in a row, and those keepers."""
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each run the windows in a row that have keepers in a row, and those keepers. A keeper of
+    many copies comes once for each batch that has them; `_joined` makes one of these rows."""
     names = ["doc_id", "first", "last", "keeper_doc_id", "keeper_first"]
     for batch in batches:
-        many = (batch["last"] - batch["first"] - LEAST_WORDS + 1).to_numpy()
-        row = np.repeat(np.arange(len(batch)), many)
-        offset = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-        doc, at = batch["doc_id"].to_numpy()[row], batch["first"].to_numpy()[row] + offset
-        to_doc, to = batch["head_doc_id"].to_numpy()[row].copy(), batch["head_first"].to_numpy()[row] + offset
+        first = batch["first"].to_numpy().astype(np.int64)
+        many = batch["last"].to_numpy() - first - LEAST_WORDS + 1
+        row = np.repeat(np.arange(len(many)), many)
         base = np.cumsum(many) - many
-        for k, before in enumerate(batch["before"]):
-            for b in before if before is not None else ():
-                to_doc[base[k] + b["offset"]], to[base[k] + b["offset"]] = b["doc_id"], b["first"]
+        offset = np.arange(len(row)) - np.repeat(base, many)
+        doc, at = batch["doc_id"].to_numpy()[row], first[row] + offset
+        to_doc, to = batch["head_doc_id"].to_numpy()[row], batch["head_first"].to_numpy()[row] + offset
+        known, before = _lists(batch["before"])
+        place = np.repeat(base, known) + before["offset"]
+        to_doc[place], to[place] = before["doc_id"], before["first"]
         far = (to_doc != doc) | (at - to >= LEAST_WORDS)
         row, doc, at, to_doc, to = (x[far] for x in (row, doc, at, to_doc, to))
         if not len(row):
@@ -335,7 +370,8 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         new = np.flatnonzero(new)
         length = at[np.r_[new[1:], len(at)] - 1] + LEAST_WORDS - at[new]
         doc, at, to_doc, to = (x[new] for x in (doc, at, to_doc, to))
-        yield pd.DataFrame(dict(zip(names, (np.r_[doc, to_doc], np.r_[at, to], np.r_[at + length, to + length], np.r_[to_doc, to_doc], np.r_[to, to]), strict=True))).drop_duplicates()
+        found = pd.DataFrame(dict(zip(names, (np.r_[doc, to_doc], np.r_[at, to], np.r_[at + length, to + length], np.r_[to_doc, to_doc], np.r_[to, to]), strict=True))).drop_duplicates()
+        yield _batch({x: (found[x].to_numpy(), pa.int64() if "doc_id" in x else pa.int32()) for x in names})
 
 
 def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -376,7 +412,7 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     several = materialize(groups.groupBy(F.col("key.gram").alias("gram")).agg(F.count(F.lit(1)).alias("n_runs")).filter("n_runs > 1"), "several")
     unsure = lookup(groups.select(F.col("key.gram").alias("gram"), "key.run", "head"), several, "gram", "n_runs", several.agg(F.sum("n_runs")).first()[0] or 0)
     spans = unsure.groupBy(F.col("head.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("gram", "run", "head.first", "head.last")).alias("spans"))
-    windows = rows.join(spans.hint("merge"), "doc_id").mapInPandas(_window_rows, "one long, two long, doc_id long, first int, gram long, run long, offset int")
+    windows = rows.join(spans.hint("merge"), "doc_id").mapInArrow(_window_rows, "one long, two long, doc_id long, first int, gram long, run long, offset int")
     windows = materialize(windows, "windows").select(F.struct("one", "two").alias("content"), "doc_id", "first", F.struct("gram", "run").alias("key"), "offset")
     firsts = windows.groupBy("content").agg(F.min(F.struct("doc_id", "first")).alias("to"), F.count(F.lit(1)).alias("n_windows")).filter("n_windows > 1")
     firsts = materialize(firsts, "windows-first")
@@ -386,7 +422,7 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     known = materialize(known.select("key", "n", F.col("head.doc_id").alias("head_doc_id"), F.col("head.first").alias("head_first"), "before"), "known")
     drop_since(spark, mark, known)
     found = lookup(met, known, "key", "n", known.agg(F.sum("n")).first()[0] or 0).select("doc_id", "first", "last", "head_doc_id", "head_first", "before")
-    found = found.mapInPandas(_kept, "doc_id long, first int, last int, keeper_doc_id long, keeper_first int").distinct().withColumn("apart", F.expr("first - keeper_first"))
+    found = found.mapInArrow(_kept, "doc_id long, first int, last int, keeper_doc_id long, keeper_first int").withColumn("apart", F.expr("first - keeper_first"))
     order = ["doc_id", "keeper_doc_id", "apart", "first"]
     found = found.repartition("doc_id").sortWithinPartitions(*order).mapInPandas(_joined, "doc_id long, first int, last int, keeper_doc_id long, keeper_first int, apart int")
     return found.drop("apart")
@@ -397,13 +433,16 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     exclusive), keeper_doc_id, keeper_first, and removed (false for the keeper)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     mark = made_so_far(rows.sparkSession)
-    found = rows.mapInPandas(_unit_rows, "cell long, doc_id long, first int, last int, check long, of_doc_id long, of_first int, of_last int")
-    met = found.repartition("cell").sortWithinPartitions("cell", "check", *_NAMES).mapInPandas(_meet, "doc_id_a long, first_a int, last_a int, doc_id_b long, first_b int, last_b int, kind int, check_a long, check_b long")
+    found = rows.mapInPandas(_unit_rows, "cell long, doc_id long, span long, check long, of_doc_id long, of_span long")
+    met = found.repartition("cell").sortWithinPartitions("cell", "check", "doc_id", "span").mapInPandas(_meet, "doc_id_a long, first_a int, last_a int, doc_id_b long, first_b int, last_b int, kind int, check_a long, check_b long")
     met = materialize(met.distinct(), "met")
     units = (F.struct(*(F.col(f"{x}_{s}").alias(x) for x in _NAMES)).alias(f"u{s}") for s in "ab")
     pairs = met.select("kind", *units, _key("a").alias("a"), _key("b").alias("b"), "check_a", "check_b")
-    links = pairs.filter(F.col("kind") == SAME).select("a", "b").unionByName(_verified(rows, pairs.filter(F.col("kind") == PAIR)))
-    links = links.unionByName(_joined_cells(rows, pairs.filter(F.col("kind") == TIE)))
+    unsure, ties = pairs.filter(F.col("kind") == PAIR), pairs.filter(F.col("kind") == TIE)
+    heads = _heads(ties)
+    passages = _passages(rows, unsure, heads)
+    links = pairs.filter(F.col("kind") == SAME).select("a", "b").unionByName(_verified(passages, unsure))
+    links = links.unionByName(_joined_cells(passages, ties, heads))
     groups = components(links, "repeats")
     drop_since(rows.sparkSession, mark, groups)
 
@@ -414,29 +453,37 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return both.withColumn("removed", F.expr("keeper_doc_id != doc_id OR keeper_first != first"))
 
 
-def _verified(rows: DataFrame, unsure: DataFrame) -> DataFrame:
+def _heads(ties: DataFrame) -> DataFrame:
+    """The first unit (u) of each content of large cells, by its check."""
+    heads = F.explode(F.array(*(F.struct(F.col(f"check_{s}").alias("check"), F.struct(F.col(s).alias("key"), F.col(f"u{s}").alias("u")).alias("head")) for s in "ab")))
+    heads = ties.select(heads.alias("x")).select("x.*").groupBy("check").agg(F.min("head").alias("head"))
+    return materialize(heads.select("check", "head.key", "head.u"), "heads")
+
+
+def _passages(rows: DataFrame, unsure: DataFrame, heads: DataFrame) -> DataFrame:
+    """The units of unsure pairs and the heads, as `_passages_of` gives them, by one reading of the texts."""
+    wanted = unsure.select(F.explode(F.array("ua", "ub")).alias("u")).distinct().select("u.*", F.lit(False).alias("head"), F.lit(0).cast("long").alias("check"))
+    wanted = wanted.unionByName(heads.select("u.*", F.lit(True).alias("head"), "check"))
+    spans = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "head", "check")).alias("spans"))
+    found = rows.join(spans.hint("merge"), "doc_id").mapInPandas(_passages_of, "doc_id long, first int, last int, head boolean, check long, n long, text string, shingles binary")
+    return materialize(found.dropDuplicates(["doc_id", "first", "last", "head", "check"]), "passages")
+
+
+def _verified(passages: DataFrame, unsure: DataFrame) -> DataFrame:
     """The links (a, b) of those pairs of lines whose Jaccard similarity is high enough."""
-    wanted = unsure.select(F.explode(F.array("ua", "ub")).alias("u")).distinct()
-    spans = wanted.groupBy(F.col("u.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("u.first", "u.last")).alias("spans"))
-    texts = rows.join(spans.hint("merge"), "doc_id").mapInPandas(_shingles_of, "doc_id long, first int, last int, shingles binary")
-    texts = texts.dropDuplicates(["doc_id", "first", "last"]).select(F.struct("doc_id", "first", "last").alias("u"), "shingles")
-    texts = materialize(texts, "passages")
+    texts = passages.filter("NOT head").select(F.struct("doc_id", "first", "last").alias("u"), "shingles")
     both = unsure.join(texts.select(F.col("u").alias("ua"), F.col("shingles").alias("sa")), "ua").join(texts.select(F.col("u").alias("ub"), F.col("shingles").alias("sb")), "ub")
     return both.select("a", "b", "sa", "sb").mapInPandas(_similar, "a decimal(38,0), b decimal(38,0)")
 
 
-def _joined_cells(rows: DataFrame, ties: DataFrame) -> DataFrame:
+def _joined_cells(passages: DataFrame, ties: DataFrame, heads: DataFrame) -> DataFrame:
     """The links (a, b) among the contents of large cells, by an exact join of each component of cells."""
-    heads = F.explode(F.array(*(F.struct(F.col(f"check_{s}").alias("check"), F.struct(F.col(s).alias("key"), F.col(f"u{s}").alias("u")).alias("head")) for s in "ab")))
-    heads = ties.select(heads.alias("x")).select("x.*").groupBy("check").agg(F.min("head").alias("head"))
-    heads = materialize(heads.select("check", "head.key", "head.u"), "heads")
-    mark = made_so_far(rows.sparkSession)
+    spark = passages.sparkSession
+    mark = made_so_far(spark)
     regions = components(ties.select(F.col("check_a").alias("a"), F.col("check_b").alias("b")), "cells")
-    spans = heads.groupBy(F.col("u.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("u.first", "u.last", "check")).alias("spans"))
-    lines = rows.join(spans.hint("merge"), "doc_id").select("text", "spans").mapInPandas(_lines_of, "doc_id long, n long, text string")
-    lines = materialize(lines.dropDuplicates(["doc_id"]), "lines")
+    lines = passages.filter("head").select(F.col("check").alias("doc_id"), "n", "text")
     members = materialize(lines.select("doc_id", "n").join(regions.select(F.col("node").alias("doc_id"), F.col("root").alias("region")).hint("merge"), "doc_id"), "members")
-    drop_since(rows.sparkSession, mark, lines, members)
+    drop_since(spark, mark, members)
     found = region_links(lines.select("doc_id", "text"), members, rule=Rule(WIDTH, NUM, DEN))
     a, b = (heads.select(F.col("check").alias(f"check_{s}"), F.col("key").alias(s)) for s in "ab")
     found = found.withColumnsRenamed({"a": "check_a", "b": "check_b"})

@@ -461,6 +461,27 @@ def repeated_words(rows):
     return gone
 
 
+def test_paragraphs_texts_are_read_once_for_all_lines(spark):
+    """Lines, their verification, runs and windows each read the texts once: small and large cells share a reading."""
+    pick = random.Random(8)
+    line = pick.choices(WORDS, k=60)
+    near = [" ".join([*line[:k], "x", *line[k + 1 :]]) for k in range(2 * paragraphs.SMALL_CELL)]
+    pair = pick.choices(WORDS, k=60)
+    lines = [*near, " ".join(pair), " ".join([*pair[:-1], "x"]), *(prose(40, pick) for _ in range(5))]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    got = paragraphs.repeated_paragraphs(docs.mapInPandas(counted, docs.schema)).collect()
+    whole = {r["doc_id"]: r["keeper_doc_id"] for r in got if (r["first"], r["last"]) == (0, 60)}
+    assert whole == dict.fromkeys(range(len(near)), 0) | {len(near): len(near), len(near) + 1: len(near)}
+    assert read.value == 4 * len(lines)
+
+
 def test_paragraphs_runs_anywhere(spark):
     pick = random.Random(5)
     passages = [prose(55, pick) for _ in range(12)]
