@@ -1,4 +1,4 @@
-"""The analyzer as one native column expression: split, lower, drop stop words, stem.
+"""The analyzer as a column: split, lower, drop stop words, stem.
 
 Positions are indices into the filtered list, so stop words leave no gap. Only ASCII
 letters and digits form tokens; the split comes before lowering, since lowering first
@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 #: The words that are not indexed.
 STOPWORDS = (
@@ -71,37 +72,19 @@ class Analyzer:
         return tokens
 
 
-#: The same cuts as one pattern over words between spaces; what is kept is in a group of its rule.
-_STEMS = "|".join(
-    (
-        r"([a-z0-9]{3,})ing",
-        r"([a-z0-9]{3,})ed",
-        r"([a-z0-9]{2,}[sxz]|[a-z0-9]+[cs]h)es",
-        r"([a-z0-9]{2,}[a-rt-z0-9])s",
-    )
-)
-
-
-def _words(text: Column) -> Column:
-    """The indexed words, not stemmed, lower-cased, between spaces: native and in one string."""
-    spaced = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+", " "))
-    return F.trim(F.regexp_replace(F.trim(spaced), rf"\b(?:{'|'.join(STOPWORDS)})\b ?", ""))
-
-
-def _listed(words: Column) -> Column:
-    return F.when(words == "", F.array().cast("array<string>")).otherwise(F.split(words, " "))
-
-
 def analyze(text: Column) -> Column:
-    """What Analyzer() gives, by three patterns over the whole text, which is about ten times
-    as fast as functions over an array of words, since these aren't compiled."""
-    return _listed(F.regexp_replace(_words(text), rf"\b(?:{_STEMS})\b", "$1$2$3$4"))
+    """What Analyzer() gives, for whole Arrow batches at once (see batch.py): functions over an
+    array of words aren't compiled, and patterns over the text take over twenty times as long."""
+    from fathomdex.functions import batch
+
+    return F.arrow_udf(batch.token_lists, ArrayType(StringType()))(text)
 
 
 def count_words(text: Column) -> Column:
     """How many tokens analyze gives."""
-    words = _words(text)
-    return F.when(words == "", F.lit(0)).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + 1)
+    from fathomdex.functions import batch
+
+    return F.arrow_udf(batch.token_counts, IntegerType())(text)
 
 
 def stem_word(word: str) -> str:

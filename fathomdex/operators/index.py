@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomdex.functions import batch
 from fathomdex.functions.analysis import analyze, count_words
-from fathomdex.operators.search import with_tokens
+from fathomdex.operators.search import ready, with_tokens
 from fathomdex.plans.compiler import MAX_COUNT
 from fathomdex.plans.query_lang import FIELDS
 
+POSTINGS = "seg int, field string, term string, doc long, tf int, positions array<int>"
+
 
 def number_documents(docs: DataFrame, seg: int) -> DataFrame:
     """docs (id, title, body) with seg and doc, the document's number in the segment.
@@ -23,6 +28,7 @@ def number_documents(docs: DataFrame, seg: int) -> DataFrame:
 def stored_documents(numbered: DataFrame, analyzer=analyze) -> DataFrame:
     """numbered with the lengths of both fields in tokens."""
     if analyzer is analyze:
+        ready(numbered)
         return numbered.withColumns({f"{f}_len": count_words(F.col(f)) for f in FIELDS})
     return with_tokens(numbered, analyzer).drop("title_tokens", "body_tokens")
 
@@ -30,11 +36,14 @@ def stored_documents(numbered: DataFrame, analyzer=analyze) -> DataFrame:
 def build_postings(numbered: DataFrame, analyzer=analyze) -> DataFrame:
     """One row (seg, field, term, doc, tf, positions) for each term of each field.
 
-    Counts stop at 65535 and positions beyond it are not kept. Documents are dealt by their
-    number before they are analysed: texts are less to move than tokens are, and all of a
-    document's tokens are then in one task, so that the aggregate needs no shuffle.
+    Counts stop at 65535 and positions beyond it are not kept. Numbers are taken as unique:
+    a document's tokens are all in one row, so there is no shuffle.
     """
-    tokens = with_tokens(numbered.select("seg", "doc", *FIELDS).repartition("seg", "doc"), analyzer)
+    texts = numbered.select(F.col("seg").cast("int"), F.col("doc").cast("long"), *FIELDS)
+    if analyzer is analyze:
+        ready(numbered)
+        return texts.mapInArrow(partial(batch.postings, fields=FIELDS, most=MAX_COUNT), POSTINGS)
+    tokens = with_tokens(texts.repartition("seg", "doc"), analyzer)
     per_field = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"{f}_tokens").alias("tokens")) for f in FIELDS)))
     rows = tokens.select("seg", "doc", per_field.alias("x")).select("seg", "doc", "x.field", F.posexplode("x.tokens").alias("pos", "term"))
     return (
@@ -47,6 +56,18 @@ def build_postings(numbered: DataFrame, analyzer=analyze) -> DataFrame:
     )
 
 
+def merged_numbers(postings: DataFrame, documents: DataFrame) -> DataFrame:
+    """postings with the rows of documents of one number as those of one document; documents
+    has a row with seg and doc for each. Where numbers are unique nothing is moved."""
+    if not documents.groupBy("seg", "doc").count().filter("count > 1").head(1):
+        return postings
+    return (
+        postings.groupBy("seg", "field", "term", "doc")
+        .agg(F.least(F.sum("tf"), F.lit(MAX_COUNT)).cast("int").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+        .select("seg", "field", "term", "doc", "tf", "positions")
+    )
+
+
 def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 

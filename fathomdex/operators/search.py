@@ -1,46 +1,51 @@
 """Search: a scan over raw documents, or a lookup in a built index. Both rank alike.
 
 Scan mode reads the documents twice: one aggregate for the corpus figures (a single row to
-the driver), which needs no stems, since the words that a query term stands for are known
-beforehand; and one pass for match and score, which analyses only documents that hold one
-of those words. There is no shuffle but the aggregate. Index mode reads only the postings
+the driver), and one pass for match and score. Both get a row of a few numbers for each
+document from the batch analyzer: lengths, counts of the query's terms, and whether it has
+the query's phrases. There is no shuffle but the aggregate. Index mode reads only the postings
 of the query's terms and shuffles those once, whatever the depth of the query; titles and
 bodies are read for the hits that are shown only.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructType
 
-from fathomdex.functions.analysis import analyze, count_words, words_of_stem
+from fathomdex.functions import batch
+from fathomdex.functions.analysis import analyze
 from fathomdex.plans.compiler import MAX_COUNT, FieldColumns, Similarity, compile_query
-from fathomdex.plans.query_lang import FIELDS, Phrase, leaves, parse, query_terms
+from fathomdex.plans.query_lang import FIELDS, Phrase, fields_of, leaves, parse, query_terms
+from fathomdex.session import bound_batches, ship
 
 DEFAULT_LIMIT = 10
 HIT = ("id", "title", "body", "score")
 
 
+def ready(docs: DataFrame) -> None:
+    """What the batch analyzer needs: the package on executors, and batches of few bytes."""
+    ship(docs.sparkSession)
+    bound_batches(docs.sparkSession)
+
+
 def with_tokens(docs: DataFrame, analyzer=analyze) -> DataFrame:
     """docs (id, title, body) with the analysed tokens and lengths of both fields.
 
-    A generator of one row makes the tokens, so filters and projections above use them as
-    columns; as plain expressions they would be repeated wherever a later filter is pushed.
+    A generator of one row makes the tokens of an analyzer of expressions, so filters and
+    projections above use them as columns; else they would be repeated wherever a later
+    filter is pushed.
     """
-    tokens = F.array(F.struct(*(analyzer(F.col(f)).alias(f"{f}_tokens") for f in FIELDS)))
-    out = docs.select("*", F.inline(tokens))
+    if analyzer is analyze:
+        ready(docs)
+        out = docs.withColumns({f"{f}_tokens": analyze(F.col(f)) for f in FIELDS})
+    else:
+        out = docs.select("*", F.inline(F.array(F.struct(*(analyzer(F.col(f)).alias(f"{f}_tokens") for f in FIELDS)))))
     return out.withColumns({f"{f}_len": F.size(f"{f}_tokens") for f in FIELDS})
 
 
-def _holds(fld: str, term: str) -> Column:
-    """Whether the raw field has a word that the analyzer turns into term: exact, without analysis."""
-    if not (words := words_of_stem(term)):
-        return F.lit(False)
-    pattern = f"(?<![A-Za-z0-9])(?i:{'|'.join(words)})(?![A-Za-z0-9])"
-    # Every word begins with the stem; to look for that is far cheaper than the pattern.
-    return F.coalesce(F.contains(F.lower(F.col(fld)), F.lit(term)) & F.rlike(F.col(fld), F.lit(pattern)), F.lit(False))
-
-
 def _count(fld: str, term: str) -> Column:
     return F.least(F.size(F.filter(F.col(f"{fld}_tokens"), lambda t: t == F.lit(term))), F.lit(MAX_COUNT))
 
@@ -60,25 +65,42 @@ def _figures(row: dict, terms: list[tuple[str, str]]) -> Similarity:
     )
 
 
+def _figured(docs: DataFrame, used: list[str], terms: list[tuple[str, str]], phrases: list[tuple[str, tuple[str, ...]]]) -> tuple[DataFrame, FieldColumns]:
+    """docs with a row of numbers in each, and how to find them."""
+    ready(docs)
+    kind = StructType()
+    for f in used:
+        kind.add(f"{f}_len", IntegerType())
+    for k in range(len(terms)):
+        kind.add(f"tf{k}", IntegerType())
+    for k in range(len(phrases)):
+        kind.add(f"adj{k}", BooleanType())
+
+    def figures(*texts: pa.Array) -> pa.Array:
+        return batch.figures(dict(zip(used, texts, strict=True)), terms, phrases, MAX_COUNT)
+
+    # Taken as one of changing results it is made once, and not again in a filter.
+    found = F.arrow_udf(figures, kind).asNondeterministic()(*(F.col(f) for f in used))
+    x = F.col("_found")
+    return docs.withColumn("_found", found), FieldColumns(lambda f, t: x[f"tf{terms.index((f, t))}"], lambda f: x[f"{f}_len"], lambda f, p: x[f"adj{phrases.index((f, p))}"])
+
+
 def scan_hits(docs: DataFrame, query: str, analyzer=analyze) -> DataFrame:
     """All hits of a query over docs (id, title, body), unordered: id, title, body, score."""
     node = parse(query)
     terms = query_terms(node)
-    plain = analyzer is analyze
-    tokens = docs if plain else with_tokens(docs, analyzer)
     used = [f for f in FIELDS if any(f == g for g, _ in terms)]
-    figures = tokens.agg(
+    if analyzer is analyze:
+        phrases = [(f, leaf.terms) for leaf in leaves(node) if isinstance(leaf, Phrase) and len(leaf.terms) > 1 for f in fields_of(leaf)]
+        tokens, cols = _figured(docs, used, terms, phrases)
+    else:
+        tokens, cols = with_tokens(docs, analyzer), FieldColumns(_count, lambda f: F.col(f"{f}_len"), _adjacent)
+    figures = tokens.select(*(cols.length(f).alias(f"{f}_len") for f in used), *((cols.tf(f, t) > 0).alias(f"has{i}") for i, (f, t) in enumerate(terms))).agg(
         F.count(F.lit(1)).alias("n"),
-        *(F.sum(count_words(F.col(f)) if plain else F.col(f"{f}_len")).alias(f"{f}_total") for f in used),
-        *(F.count_if(_holds(f, t) if plain else F.array_contains(f"{f}_tokens", F.lit(t))).alias(f"df{i}") for i, (f, t) in enumerate(terms)),
+        *(F.sum(f"{f}_len").alias(f"{f}_total") for f in used),
+        *(F.count_if(F.col(f"has{i}")).alias(f"df{i}") for i in range(len(terms))),
     )
     sim = _figures(figures.first().asDict(), terms)
-    if plain:
-        some = F.lit(False)
-        for f, t in terms:
-            some = some | _holds(f, t)
-        tokens = with_tokens(docs.filter(some), analyzer)
-    cols = FieldColumns(_count, lambda f: F.col(f"{f}_len"), _adjacent)
     match, score = compile_query(node, cols, sim)
     return tokens.filter(match).select("id", "title", "body", score.alias("score"))
 

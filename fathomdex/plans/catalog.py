@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fathomdex.functions.analysis import SIBILANT_ES, STOPWORDS
 from fathomdex.functions.text import snippet_column
-from fathomdex.operators.index import build_postings, corpus_stats, document_frequency, stored_documents
+from fathomdex.operators.index import build_postings, corpus_stats, document_frequency, merged_numbers, stored_documents
 from fathomdex.operators.search import index_scores, ranked, scan_hits, with_tokens
 from fathomdex.operators.store import Engine
 from fathomdex.plans.compiler import FIELD_BOOST, K1, MAX_COUNT, PHRASE_BOOST, B
@@ -160,8 +160,13 @@ def _spelled(positions: str):
     return F.array_join(F.col(positions).cast("array<string>"), ",").alias("positions")
 
 
+def _postings(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _numbered(spark, sf)
+    return merged_numbers(build_postings(docs), docs.select("seg", "doc"))
+
+
 def _flat(spark: SparkSession, sf: str) -> DataFrame:
-    p = build_postings(_numbered(spark, sf))
+    p = _postings(spark, sf)
     return p.select(F.col("doc").alias("doc_id"), "field", "term", "tf", _spelled("positions"))
 
 
@@ -184,12 +189,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["search_topk"] = lambda spark, sf: ranked(_hits(scan_hits(documents(spark, sf), TOP)), TOP_K)
     out["search_total"] = lambda spark, sf: scan_hits(documents(spark, sf), TOP).agg(F.count(F.lit(1)).alias("total"))
     out["analyze_tokens"] = lambda spark, sf: with_tokens(documents(spark, sf)).select("id", *(F.array_join(f"{f}_tokens", " ").alias(f"{f}_tokens") for f in FIELDS))
-    out["doc_lengths"] = lambda spark, sf: with_tokens(documents(spark, sf)).select("id", *(F.col(f"{f}_len").cast("long").alias(f"{f}_len") for f in FIELDS))
+    out["doc_lengths"] = lambda spark, sf: stored_documents(_numbered(spark, sf)).select("id", *(F.col(f"{f}_len").cast("long").alias(f"{f}_len") for f in FIELDS))
     out["postings"] = lambda spark, sf: _flat(spark, sf)
-    out["term_frequency"] = lambda spark, sf: build_postings(_numbered(spark, sf)).groupBy("field", "term").agg(F.sum("tf").cast("long").alias("total_tf"))
-    out["document_frequency"] = lambda spark, sf: document_frequency(build_postings(_numbered(spark, sf)))
+    out["term_frequency"] = lambda spark, sf: _postings(spark, sf).groupBy("field", "term").agg(F.sum("tf").cast("long").alias("total_tf"))
+    out["document_frequency"] = lambda spark, sf: document_frequency(_postings(spark, sf))
     out["corpus_stats"] = lambda spark, sf: corpus_stats(stored_documents(_numbered(spark, sf))).select("documents", *(F.round(c, 6).alias(c) for c in ("avg_title", "avg_body")))
-    out["index_stats"] = lambda spark, sf: build_postings(_numbered(spark, sf)).groupBy("field").agg(F.countDistinct("term").alias("terms"), F.countDistinct("doc").alias("docs"))
+    out["index_stats"] = lambda spark, sf: _postings(spark, sf).groupBy("field").agg(F.countDistinct("term").alias("terms"), F.countDistinct("doc").alias("docs"))
     out["get_by_id"] = lambda spark, sf: documents(spark, sf, F.col("doc_id") == 11)
     out["list_docs"] = lambda spark, sf: documents(spark, sf).select("id", "title")
     out["snippet"] = lambda spark, sf: documents(spark, sf).select("id", snippet_column(F.col("body")).alias("snippet"))

@@ -3,12 +3,16 @@
 import itertools
 import math
 import random
+import time
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from fathomdex.functions import batch
 from fathomdex.functions.analysis import Analyzer, analyze, analyze_words, count_words, words_of_stem
 from fathomdex.functions.text import snippet, snippet_column
-from fathomdex.operators.index import build_postings, number_documents, stored_documents
+from fathomdex.operators.index import build_postings, merged_numbers, number_documents, stored_documents
 from fathomdex.operators.search import index_hits, scan_hits, search
 from fathomdex.plans.query_lang import And, Not, Phrase, Term, fields_of, parse
 
@@ -184,3 +188,56 @@ def test_scan_analyses_only_documents_with_a_word(spark):
     docs = spark.createDataFrame([(str(i), "t", f"w{i} Searches x") for i in range(4)] + [("k", "t", "\u212aw1 w1s")], "id string, title string, body string")
     assert {r["id"] for r in search(docs, "w1").collect()} == {"1", "k"}
     assert search(docs, "search").count() == 4
+
+
+def test_pieces_and_edges_of_texts(monkeypatch):
+    """A word ends where its text does, however many texts are analysed at once."""
+    pick = random.Random(5)
+    texts = ["tail", "s", "", None, "ing", "\u00e9", "thes\u00e9s", "x"] + ["".join(pick.choices("aAbsSeEdDxing \u00e9.,9", k=pick.randint(0, 40))) for _ in range(300)]
+    want = [analyze_words(t or "") for t in texts]
+    for most in (batch.AT_ONCE, 50, 1):
+        monkeypatch.setattr(batch, "AT_ONCE", most)
+        column = pa.array(["cut", *texts]).slice(1)
+        assert batch.token_lists(column).to_pylist() == want
+        assert batch.token_counts(column).to_pylist() == list(map(len, want))
+        found = batch.figures({"body": column}, [("body", "x"), ("body", "none")], [("body", ("x", "x"))], 65535).to_pylist()
+        assert [r["tf0"] for r in found] == [w.count("x") for w in want] and not any(r["tf1"] for r in found)
+        assert [r["adj0"] for r in found] == [("x", "x") in itertools.pairwise(w) for w in want]
+    assert batch.token_lists(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_documents_of_one_number(spark):
+    rows = [(1, 7, "t", "otter heron"), (1, 7, "t", "otter"), (1, None, "", "otter"), (1, None, "", "otter otter")]
+    docs = spark.createDataFrame(rows, "seg int, doc long, title string, body string")
+    got = merged_numbers(build_postings(docs), docs.select("seg", "doc")).filter("field = 'body'").collect()
+    assert {(r["doc"], r["term"], r["tf"], tuple(r["positions"])) for r in got} == {(7, "otter", 2, (0, 0)), (7, "heron", 1, (1,)), (None, "otter", 3, (0, 0, 1))}
+    assert len(got) == 3
+
+
+def test_analysis_of_megabytes_takes_seconds(spark):
+    """12 MB of text in one task; patterns over the text took over ten seconds for each of these."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda k: F.substring(F.base64(F.sha1(F.concat_ws(" ", k, F.col("id")).cast("binary"))), 1, 5))
+    made = spark.range(1000, numPartitions=1).select(F.col("id").cast("string").alias("id"), F.lit("t").alias("title"), F.array_join(words, " ").alias("body"))
+    docs = made.persist()
+    docs.count()
+    scan_hits(docs.limit(1), "otter").count()
+    try:
+        for run in (lambda: scan_hits(docs, "otter -heron").count(), lambda: build_postings(number_documents(docs, 1)).agg(F.sum("tf")).first(), lambda: stored_documents(number_documents(docs, 1)).agg(F.sum("body_len")).first()):
+            began = time.time()
+            run()
+            assert time.time() - began < 6
+    finally:
+        docs.unpersist()
+
+
+def test_analysis_takes_few_bytes_at_once(spark):
+    """The batches that Python workers get are bounded by bytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame(D6, "id string, title string, body string")
+    try:
+        for run in (lambda: scan_hits(docs, "otter"), lambda: build_postings(number_documents(docs, 1)), lambda: stored_documents(number_documents(docs, 1))):
+            spark.conf.unset(key)
+            run()
+            assert int(spark.conf.get(key)) <= 4_000_000
+    finally:
+        spark.conf.unset(key)
