@@ -56,6 +56,17 @@ def build_postings(numbered: DataFrame, analyzer=analyze) -> DataFrame:
     )
 
 
+def ranged_postings(numbered: DataFrame, field: str) -> DataFrame:
+    """One field's rows (term, doc, tf, positions), ranged and sorted by term and, for about
+    4 MB of text at a time, by document. These many postings of a term are one row until they
+    are sorted."""
+    ready(numbered)
+    kind = "term string, first long, found array<struct<doc: long, tf: int, positions: array<int>>>"
+    groups = numbered.select(F.col("doc").cast("long"), field).mapInArrow(partial(batch.grouped_postings, field=field, most=MAX_COUNT), kind)
+    order = ["term", "first"]
+    return groups.repartitionByRange(*order).sortWithinPartitions(*order).select("term", F.inline("found"))
+
+
 def merged_numbers(postings: DataFrame, documents: DataFrame) -> DataFrame:
     """postings with the rows of documents of one number as those of one document; documents
     has a row with seg and doc for each. Where numbers are unique nothing is moved."""

@@ -1,11 +1,14 @@
 """The store's life cycle, its text format and streaming ingestion."""
 
+import pyarrow as pa
 import pytest
 
 from fathomdex.cli import demo, handle, split_args
+from fathomdex.operators.index import build_postings, number_documents, ranged_postings
 from fathomdex.operators.store import Engine, StoreError
 from fathomdex.plans.query_lang import QueryError
-from fathomdex.sources.segment_text import SegmentError, SegmentTextSource, build_segment, escape, format_segment, parse_segment, unescape
+from fathomdex.sources import segment_text
+from fathomdex.sources.segment_text import SegmentError, SegmentTextSource, build_segment, escape, format_segment, parse_segment, segment_lines, unescape
 from fathomdex.streaming.ingest import ingest
 
 from .test_search import D6, EXPECTED, evaluate
@@ -191,3 +194,50 @@ def test_repl(spark, tmp_path):
 
 def test_demo(spark, tmp_path):
     assert demo(spark, str(tmp_path)) == []
+
+
+def test_segment_lines_against_the_plain_ones():
+    rows = [*D6, ("w", "t9", " ".join(["x1"] * 65535 + ["mark", "tail", "x1", "x1"])), ("e", "", ""), ("o\\d", "a\nb", "\u00e9s otter\r\u00e9")]
+    want = format_segment(build_segment(rows))
+    assert "".join(segment_lines(*(pa.array(c, pa.string()) for c in zip(*rows, strict=True)))) == want
+    assert segment_text.parse_segment(want).docs[0][0] == "otter"
+
+
+def test_text_of_a_partition_goes_to_files_of_few_megabytes(spark, tmp_path):
+    """One partition of 12 MB: no file, and so no writer or reader, holds all of it."""
+    spark.dataSource.register(SegmentTextSource)
+    docs = spark.range(60, numPartitions=1).selectExpr("string(id) AS id", "concat('Title ', id) AS title", "concat(repeat(concat('w', id, ' '), 50000), 'tail ', repeat('the ', 12500)) AS body")
+    docs.write.format("segment_text").mode("append").save(str(tmp_path / "s"))
+    files = list((tmp_path / "s").glob("*.seg"))
+    assert len(files) >= 3
+    assert (tmp_path / "s" / "manifest").read_text().splitlines() == sorted(f.name for f in files)
+    for f in files:
+        assert sum(len(body) for _, _, body, _, _ in parse_segment(f.read_text()).docs) <= 1.1 * segment_text.SEGMENT_BYTES
+    assert spark.read.format("segment_text").load(str(tmp_path / "s")).count() == 60
+    tails = spark.read.format("segment_text").option("table", "postings").option("ids", "true").load(str(tmp_path / "s")).filter("term = 'tail' OR field = 'title'").collect()
+    assert len(tails) == 180 and all(r["term"] in ("tail", "title", r["id"]) for r in tails)
+    assert {r["id"]: list(r["positions"]) for r in tails if r["term"] == "tail"} == {str(i): [50_000] for i in range(60)}
+
+
+def test_postings_of_odd_files(spark, tmp_path, monkeypatch):
+    """Rows out of order, other blanks, a file cut short: as the plain reader has them."""
+    spark.dataSource.register(SegmentTextSource)
+    head = "INDEXDB 1\n2\n" + "".join(f"{i}\nt\nb\n1 1\n" for i in "ab")
+    for k, (rows, message) in enumerate([("2\n1 1 1 0\n0  2 2 1\t3\r\n", None), ("2\n0 1 1 0\n", "bad count|truncated|bad posting"), ("1\n2 1 1 0\n", "bad posting"), ("1\n0 1 2 0\n", "bad posting"), ("1\n0 1 1 65536\n", "bad posting"), ("1\n0 x 1 0\n", "bad posting"), ("3\n0 1 1 0\n", "truncated|bad posting")]):
+        path = tmp_path / f"{k}.seg"
+        path.write_bytes(f"{head}title\n0\nbody\n1\nb\n{rows}".encode())
+        read = spark.read.format("segment_text").option("table", "postings").load(str(path))
+        if message:
+            with pytest.raises(Exception, match=message):
+                read.collect()
+        else:
+            assert [(r["doc"], r["tf"], list(r["positions"])) for r in read.collect()] == [(0, 2, [1, 3]), (1, 1, [0])]
+
+
+def test_ranged_postings(spark):
+    """The same rows as build_postings, in the order of their terms, with far fewer rows sorted."""
+    docs = number_documents(spark.createDataFrame(D6, "id string, title string, body string").coalesce(1), 3)
+    want = {(r["term"], r["doc"], r["tf"], tuple(r["positions"])) for r in build_postings(docs).filter("field = 'body'").collect()}
+    rows = ranged_postings(docs, "body").collect()
+    assert {(r["term"], r["doc"], r["tf"], tuple(r["positions"])) for r in rows} == want and len(rows) == len(want)
+    assert [(r["term"], r["doc"]) for r in rows] == sorted((r["term"], r["doc"]) for r in rows)
