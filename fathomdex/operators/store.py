@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomdex.operators.index import build_postings, number_documents, stored_documents
+from fathomdex.operators.index import build_postings, number_documents, ranged_postings, stored_documents
 from fathomdex.operators.search import DEFAULT_LIMIT, index_scores
 from fathomdex.plans.query_lang import FIELDS, QueryError
 from fathomdex.sources.segment_text import escape
@@ -253,8 +253,9 @@ class Engine:
         again = self.spark.read.parquet(f"{path}/documents").select("seg", "doc", "id", "title", "body")
         count = again.count()
         if count:
-            order = ["field", "term", "doc"]
-            build_postings(again).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
+            for f in FIELDS:
+                rows = ranged_postings(again, f).select(F.lit(seg).alias("seg"), "term", "doc", "tf", "positions")
+                rows.write.mode("overwrite").parquet(f"{path}/postings/field={f}")
             self.sealed = [n for n in self.sealed if n not in replace] + [name]
             self.dead[name] = 0
             self._counts[name] = count
