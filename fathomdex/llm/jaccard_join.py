@@ -21,7 +21,11 @@ recursively, so no task grows with the square of a cell. The components of all t
 candidate regions, which hold every link inside. A set takes its counts to each of its larger
 cells. As more cells become larger ones the more sets there are, these rows grow faster than
 the sets, so they are dealt in waves of whole cells, one after the other, each of a size in
-proportion to the counts of all sets, and a wave's shuffle files go before the next.
+proportion to the counts of all sets, and a wave's shuffle files go before the next. So are
+small cells' pairs, and the cells that sets are dealt over anew: a set takes as many rows to
+these as it has slices, for each larger cell that it is left in, so all of them together
+outgrow the rows of the first cells. Their waves are of the larger cells within which they are
+dealt, and each has about three quarters as many rows as the first cells have.
 
 Regions, third level. Exact Jaccard distances to the region's pivots (one for each PART of
 shingles) put each document in its Voronoi cell and in every cell whose window of twice the
@@ -52,7 +56,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomdex.llm.common import components, drop_since, free_shuffles, give_back, in_batches, lookup, made_so_far, materialize
+from fathomdex.llm.common import components, drop_since, drop_tables, free_shuffles, give_back, in_batches, lookup, made_so_far, materialize
 from fathomdex.llm.shingles import mix, shingle_sets
 
 WIDTH = 4
@@ -69,6 +73,8 @@ SMALL_CELL = 16
 HELD_ROWS = 100_000
 #: Bytes that the larger cells of a wave take, in times the bytes of all counts, and of a row besides its counts.
 WAVE, ROW_BYTES = 8, 32
+#: Shingles dealt anew in a wave, in times the shingles of all sets, and what a set counts for besides its own.
+AGAIN, SET_ROWS = 0.75, 10
 #: Shingles for each count of the second metric.
 PER_COUNT = 8
 _NO_LABEL = np.iinfo(np.int64).min
@@ -445,9 +451,19 @@ def _waves(large: DataFrame, known: DataFrame) -> int:
     return max(1, -(-rows // (WAVE * known.agg(F.sum(row)).first()[0])))
 
 
+def _pair_waves(pairs: int, known: DataFrame) -> int:
+    """In how many waves so many pairs of small cells are looked up with the counts of both."""
+    total, many = known.agg(F.sum(F.octet_length("counts") + ROW_BYTES), F.count(F.lit(1))).first()
+    return max(1, -(-2 * pairs // (WAVE * many))) if total else 1
+
+
+def _in_wave(cell: Column, salt: str, wave: int, waves: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), cell), F.lit(waves)) == wave
+
+
 def _meeting(cells: DataFrame, known: DataFrame, rule: Rule, turn: int) -> tuple[DataFrame, DataFrame | None]:
     """Ties among sets that share cells (cell, key, own), and the rows that are to be dealt anew."""
-    name = f"met-{turn}"
+    name, mark = f"met-{turn}", made_so_far(known.sparkSession)
     met = in_batches(cells.repartition("cell").sortWithinPartitions("cell", "key"), _meet, "a long, b long, own_a boolean, own_b boolean, large boolean")
     met = materialize(met.distinct(), name)
     free_shuffles(met.sparkSession)
@@ -455,16 +471,25 @@ def _meeting(cells: DataFrame, known: DataFrame, rule: Rule, turn: int) -> tuple
     def side(s: str) -> DataFrame:
         return known.select(F.col("key").alias(s), F.col("own").alias(f"own_{s}"), F.col("n").alias(f"n_{s}"), F.col("counts").alias(f"counts_{s}")).hint("merge")
 
-    pairs = in_batches(met.filter("NOT large").join(side("a"), ["a", "own_a"]).join(side("b"), ["b", "own_b"]), partial(_close, rule=rule), "a long, b long")
+    spark, some = met.sparkSession, met.filter("NOT large")
+    waves = _pair_waves(some.count(), known)
+    pairs, kept = None, []
+    for wave in range(waves):
+        mine = some.filter(_in_wave(F.col("a"), "pairs", wave, waves))
+        close = in_batches(mine.join(side("a"), ["a", "own_a"]).join(side("b"), ["b", "own_b"]), partial(_close, rule=rule), "a long, b long")
+        kept.append(materialize(close, f"{name}-close"))
+        free_shuffles(spark)
+        pairs = kept[-1] if pairs is None else pairs.unionByName(kept[-1])
     large = met.filter("large").select(F.col("a").alias("cell"), F.col("b").alias("key"), F.col("own_b").alias("own"))
     sizes = materialize(large.groupBy("cell").agg(F.count(F.lit(1)).alias("size")), f"{name}-sizes")
     total, keys = sizes.agg(F.sum("size"), F.count(F.lit(1))).first()
     if not keys:
+        drop_since(spark, mark, *kept)
         return pairs, None
     waves = _waves(large, known)
     tied = None
     for wave in range(waves):
-        mine = F.pmod(F.xxhash64(F.lit("wave"), "cell"), F.lit(waves)) == wave
+        mine = _in_wave(F.col("cell"), "wave", wave, waves)
         rows = lookup(large.filter(mine), sizes.filter(mine), "cell", "size", total, keys).join(known.hint("merge"), ["key", "own"])
         chunks = F.ceil(F.col("size") / CHUNK)
         split = F.col("size") > CHUNK
@@ -472,12 +497,14 @@ def _meeting(cells: DataFrame, known: DataFrame, rule: Rule, turn: int) -> tuple
         rows = rows.select("cell", "key", "own", "counts", split.alias("split"), to.alias("to")).select("cell", "to.chunk", "to.pivot", "key", "own", "counts", "split")
         rows = rows.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", F.desc("pivot"), "key")
         some = materialize(in_batches(rows, partial(_tied, rule=rule), "a long, b long, own boolean, label long, again boolean"), f"{name}-tied")
-        free_shuffles(met.sparkSession)
+        kept.append(some)
+        free_shuffles(spark)
         tied = some if tied is None else tied.unionByName(some)
     again = tied.filter("again").select(F.col("a").alias("cell"), F.col("b").alias("key"), "own", "label")
     # Sets of a cell that ties to the same group of pivots hold together need no more.
     apart = again.groupBy("cell").agg(F.count(F.lit(1)).alias("left"), F.min("label").alias("low"), F.max("label").alias("high"))
     apart = materialize(apart.filter((F.col("left") > 1) & ((F.col("low") < F.col("high")) | (F.col("low") == _NO_LABEL))).select("cell", "left"), f"{name}-apart")
+    drop_since(spark, mark, apart, *kept)
     total, keys = apart.agg(F.sum("left"), F.count(F.lit(1))).first()
     again = lookup(again, apart, "cell", "left", total, keys).select("cell", "key", "own") if keys else None
     return pairs.unionByName(tied.filter("NOT again").select("a", "b")), again
@@ -489,16 +516,30 @@ def candidate_ties(docs: DataFrame, described: DataFrame, sets: DataFrame, rule:
     known = described.filter("doc_id IS NOT NULL").select("key", "n", both.alias("x")).select("key", "n", "x.own", "x.counts").filter("counts IS NOT NULL")
     known = materialize(known.dropDuplicates(["key", "own"]), "counts")
     cells = in_batches(docs.filter("doc_id IS NOT NULL").select("text"), partial(_cell_rows, rule=rule), "cell long, key long, own boolean")
+    spark = docs.sparkSession
     ties, again = _meeting(cells, known, rule, 0)
+    shingles = known.agg(F.coalesce(F.sum(F.col("n") + SET_ROWS), F.lit(0))).first()[0]
     turn = 0
     while again is not None:
         turn += 1
         places = again.groupBy("key").agg(F.collect_set(F.struct("cell", "own")).alias("places"))  # no more than a set has slices
-        places = places.join(sets.select("key", F.col("node").alias("doc_id")).hint("merge"), "key").select("doc_id", "places")
-        texts = docs.join(places.hint("merge"), "doc_id").select("text", "places")
-        cells = in_batches(texts, partial(_again_rows, rule=rule, turn=turn), "cell long, key long, own boolean")
-        more, again = _meeting(cells, known, rule, turn)
-        ties = ties.unionByName(more)
+        places = places.join(sets.select("key", F.col("node").alias("doc_id"), "n").hint("merge"), "key").select("doc_id", "places", "n")
+        places = materialize(places, "places")
+        dealt = places.agg(F.sum(F.size("places") * (F.col("n") + SET_ROWS))).first()[0] or 0
+        waves = max(1, -int(-dealt // (AGAIN * shingles)))
+        # Texts are moved to their places once, and every wave reads them there.
+        texts = materialize(docs.join(places.hint("merge"), "doc_id").select("text", "places"), "placed-texts")
+        free_shuffles(spark)
+        again = None
+        for wave in range(waves):
+            mine = F.filter("places", lambda p: _in_wave(p["cell"], "again", wave, waves))  # noqa: B023
+            here = texts.select("text", mine.alias("places")).filter(F.size("places") > 0)
+            cells = in_batches(here, partial(_again_rows, rule=rule, turn=turn), "cell long, key long, own boolean")
+            more, left = _meeting(cells, known, rule, turn)
+            ties = ties.unionByName(more)
+            if left is not None:
+                again = left if again is None else again.unionByName(left)
+        drop_tables(spark, places, texts)
     return ties
 
 

@@ -247,6 +247,40 @@ def test_jaccard_join_deals_large_cells_in_waves(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows)
 
 
+def test_jaccard_join_deals_sets_anew_in_waves(spark, monkeypatch):
+    """Sets that are left in many larger cells are dealt anew a part of these at a time, and texts
+    go to their places once; small cells' pairs go in waves too. No link is lost."""
+    made, write = [], jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, name: made.append((name, write(df, name))) or made[-1][1])
+    for name, value in (("PIVOTS", 2), ("CHUNK", 16), ("AGAIN", 0.05), ("WAVE", 1)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    pick = random.Random(19)
+    shared = [pick.choices(WORDS, k=40) for _ in range(2)]
+    rows = []
+    for i in range(0, 320, 2):
+        w = [*pick.choices(WORDS, k=30), *pick.choice(shared), *pick.choices(WORDS, k=30)]
+        rows.append((i, " ".join(w), "", "", 0))
+        w[pick.randrange(100)] = "changed"
+        rows.append((i + 1, " ".join(w), "", "", 0))
+    got = jaccard_join.similar_groups(table(spark, rows), part=4000).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows)
+    names = [name for name, _ in made]
+    assert names.count("met-1") > 1 and names.count("placed-texts") == 1 and names.count("met-0-close") > 1
+    left = [path for name, df in made for path in df.work_tables if name.startswith(("met-", "placed")) and os.path.exists(path.removeprefix("file:"))]
+    assert not left
+
+
+def test_pipeline_drops_what_a_stage_has_read(spark, tmp_path, monkeypatch):
+    """Besides the result's own, one stage's rows are on disk once the next are written."""
+    made, write = [], corpus_pipeline.materialize
+    monkeypatch.setattr(corpus_pipeline, "materialize", lambda df, name: made.append(write(df, name)) or made[-1])
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(k), lambda spark, docs, sf_dir, k=k: docs.filter(f"doc_id > {k}")) for k in range(4)])
+    spark.range(9).selectExpr("id AS doc_id", "'x' AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert [os.path.exists(df.work_tables[0].removeprefix("file:")) for df in made] == [False, False, True]
+    assert sorted(r["doc_id"] for r in got.collect()) == [4, 5, 6, 7, 8]
+
+
 @pytest.mark.parametrize("part", [2_000_000, 1500])
 def test_jaccard_join(spark, part):
     pick = random.Random(8)
